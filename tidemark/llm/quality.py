@@ -20,8 +20,8 @@ THRESHOLD = 0.7
 
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
-_DIGITS = b"0123456789"
-_SYMBOLS = b"!#$%&*+/<=>?@[\\]^_`{|}~"
+#: Marks that addresses and numbers need (+ - . _ @ ( ) /) are no sign of bad lines.
+_SYMBOLS = b"!#$%&*<=>?[\\]^`{|}~"
 _STOPS = b".,;:"
 
 
@@ -50,7 +50,6 @@ def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
                 _share(line, _UPPER) / letters,
                 _share(line, _SYMBOLS) / size,
                 _share(line, _SYMBOLS) / n,
-                _share(line, _DIGITS) / size,
                 _share(line, _STOPS) / n,
                 letters / size,
                 sum(map(len, words)) / n,
