@@ -1 +1 @@
-"""See the README for what belongs here."""
+"""Bindings of the operators to tables, the registered queries, and the SQL that checks them."""
