@@ -18,6 +18,7 @@ CHUNK = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: How byte-level BPE vocabularies of this family divide a chunk that isn't white space.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACE + r"\p{L}\p{N}]+"
 CONTRACTIONS = ("'re", "'ve", "'ll")
+NEVER = 1 << 40
 #: Chunks that a task remembers before it starts anew.
 CACHE = 500_000
 
@@ -34,8 +35,8 @@ class PrefixCounter:
 
     For each prefix of a piece exactly one token can end its encoding: the token t for which the
     last token of the prefix before t followed by t is what the merges make of those two tokens'
-    bytes. So the counts of all prefixes follow from one pass over the piece, looking up the
-    tokens that end at each byte: count[i] = count[i - len(t)] + 1.
+    bytes. So the counts of all prefixes follow from one pass over the piece, trying the tokens
+    that begin at each byte: count[i + len(t)] = count[i] + 1.
     """
 
     def __init__(self, path: str) -> None:
@@ -43,53 +44,89 @@ class PrefixCounter:
             spec = json.load(f)
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
-        self.ids = {raw(s): i for s, i in spec["model"]["vocab"].items()}
-        self.bytes = {i: b for b, i in self.ids.items()}
-        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.ranks = {(self.ids[raw(a)], self.ids[raw(b)]): (k, self.ids[raw(a + b)]) for k, (a, b) in enumerate(merges)}
-        self.longest = max(map(len, self.ids))
+        ids = {raw(s): i for s, i in spec["model"]["vocab"].items()}
+        self.size = max(ids.values(), default=0) + 1
+        self.ranks: dict[int, int] = {}
+        made: dict[int, tuple[int, int, int]] = {}
+        for rank, merge in enumerate(spec["model"]["merges"]):
+            a, b = map(raw, merge.split(" ") if isinstance(merge, str) else merge)
+            self.ranks[ids[a] * self.size + ids[b]] = rank
+            made[ids[a + b]] = (rank, ids[a], ids[b])
+        self.ends = {t: self._spine(t, made, 2) for t in ids.values()}
+        self.starts = {t: self._spine(t, made, 1) for t in ids.values()}
+        #: token of each vocabulary entry, and -1 for what only begins one
+        self.tokens = {b[:k]: -1 for b in ids for k in range(1, len(b))} | ids
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
         self.chunk, self.piece, self.blank = regex.compile(CHUNK), regex.compile(PIECE), regex.compile(f"[{SPACE}]+")
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.totals: dict[str, int] = {}
+        self.parts: dict[str, int] = {}
+
+    @staticmethod
+    def _spine(token: int, made: dict[int, tuple[int, int, int]], side: int) -> list[tuple[int, int]]:
+        """The tokens that stand at one end of `token` as its merges go on, each with the rank of the merge that takes it in."""
+        out, until = [], NEVER
+        while True:
+            out.append((token, until))
+            if token not in made:
+                return out
+            until, token = made[token][0], made[token][side]
 
     def _fits(self, a: int, b: int) -> bool:
-        """Whether the merges leave tokens a and b apart when their bytes stand together."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            parts = [self.ids[bytes([x])] for x in self.bytes[a] + self.bytes[b]]
-            while len(parts) > 1:
-                rank, i, made = min(((self.ranks[p][0], i, self.ranks[p][1]) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in self.ranks), default=(0, -1, 0))
-                if i < 0:
-                    break
-                parts[i : i + 2] = [made]
-            known = self.pairs[a, b] = parts == [a, b]
-            if len(self.pairs) > 4 * CACHE:
-                self.pairs.clear()
-        return known
+        """Whether the merges leave tokens a and b apart when their bytes stand together.
+
+        They don't if some token at the end of a and some at the start of b have a merge that comes before
+        the merges that take them into a and b; of equal merges the left one comes first.
+        """
+        ranks, size = self.ranks, self.size
+        for x, until_x in self.ends[a]:
+            for y, until_y in self.starts[b]:
+                rank = ranks.get(x * size + y, NEVER)
+                if rank < until_x and rank <= until_y and rank != NEVER:
+                    return False
+        return True
 
     def piece_counts(self, data: bytes) -> list[int]:
         """Tokens of data[:i] for i = 0..len(data), for bytes that the pre-tokenizer keeps together."""
-        ids, fits, longest = self.ids, self._fits, self.longest
-        last, counts = [-1], [0]
-        for end in range(1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ids.get(data[start:end])
-                if token is not None and (start == 0 or fits(last[start], token)):
-                    last.append(token)
-                    counts.append(counts[start] + 1)
+        tokens, pairs, size, n = self.tokens, self.pairs, self.size, len(data)
+        last, counts = [-1] * (n + 1), [0] * (n + 1)
+        for start in range(n):
+            before = last[start] * size
+            count = counts[start] + 1
+            for end in range(start + 1, n + 1):
+                token = tokens.get(data[start:end])
+                if token is None:
                     break
+                if token >= 0 and last[end] < 0:
+                    if start:
+                        fits = pairs.get(before + token)
+                        if fits is None:
+                            fits = pairs[before + token] = self._fits(last[start], token)
+                        if not fits:
+                            continue
+                    last[end] = token
+                    counts[end] = count
+        if len(pairs) > 4 * CACHE:
+            pairs.clear()
         return counts
 
     def pieces(self, chunk: str) -> list[str]:
         return [chunk] if self.blank.fullmatch(chunk) else self.piece.findall(chunk)
 
     def _total(self, chunk: str) -> int:
-        """Tokens of a whole chunk, remembered."""
+        """Tokens of a whole chunk, remembered; so are those of its pieces, which more chunks share."""
         if len(self.totals) > CACHE:
             self.totals.clear()
-        total = self.totals[chunk] = sum(self.piece_counts(p.encode())[-1] for p in self.pieces(chunk))
+        if len(self.parts) > CACHE:
+            self.parts.clear()
+        total = 0
+        for part in self.pieces(chunk):
+            known = self.parts.get(part)
+            if known is None:
+                known = self.parts[part] = self.piece_counts(part.encode())[-1]
+            total += known
+        self.totals[chunk] = total
         return total
 
     def segments(self, text: str) -> Iterator[tuple[bool, str]]:
