@@ -41,7 +41,7 @@ def minutes(later: Column, earlier: Column) -> Column:
 
 def shifted(t: Column, by_minutes: Column | float) -> Column:
     by = by_minutes if isinstance(by_minutes, Column) else F.lit(by_minutes)
-    return F.timestamp_micros((F.unix_micros(t) + by * 60_000_000).cast("long"))
+    return F.timestamp_micros(F.unix_micros(t) + F.round(by * F.lit(6e7)).cast("long"))
 
 
 def floor_to(t: Column, step_minutes: int) -> Column:
@@ -50,6 +50,11 @@ def floor_to(t: Column, step_minutes: int) -> Column:
     return F.timestamp_micros(F.floor(F.unix_micros(t) / F.lit(step).cast("decimal(20,0)")).cast("long") * step)
 
 
+def ceil_to(t: Column, step_minutes: int) -> Column:
+    """The first mark of a grid of `step_minutes` at or after t."""
+    return floor_to(F.timestamp_micros(F.unix_micros(t) + F.lit(step_minutes * 60_000_000 - 1).cast("long")), step_minutes)
+
+
 def minute_mark(t: Column) -> Column:
     return F.date_trunc("minute", t)
 

@@ -32,8 +32,8 @@ def feature_columns(groups: Sequence[str]) -> list[str]:
 
 def message_sightings(rows: DataFrame, key: str, text: str, time: str) -> DataFrame:
     """(key, type, code, time) of each message first seen; messages are 'type:code' joined by |."""
-    token = F.explode(F.filter(F.split(F.coalesce(text, F.lit("")), "[|]"), lambda x: x != ""))
-    parts = rows.select(key, time, F.split(token, ":", 2).alias("_m")).select(key, time, F.element_at("_m", 1).alias("type"), F.coalesce(F.try_element_at("_m", F.lit(2)), F.lit("")).alias("code"))
+    tokens = F.filter(F.split(F.coalesce(text, F.lit("")), "[|]"), lambda x: x != "")
+    parts = rows.select(key, time, F.explode(F.transform(tokens, lambda x: F.split(x, ":", 2))).alias("_m")).select(key, time, F.element_at("_m", 1).alias("type"), F.coalesce(F.try_element_at("_m", F.lit(2)), F.lit("")).alias("code"))
     return first_seen(parts, [key, "type", "code"], time)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.times import floor_to, minutes, shifted
+from ..functions.times import ceil_to, floor_to, minutes, shifted
 from ..functions.trains import path
 from .asof import asof_join
 
@@ -18,10 +18,10 @@ def events_on_grid(plan: DataFrame, obs: DataFrame, g_from: Column, g_to: Column
     plan: eva, key, event, pt, line, first_seen. obs: key, obs, ct, cs.
     """
     low = shifted(F.col("pt"), -around)
-    first = F.greatest(floor_to(shifted(low, step - 1e-6), step), floor_to(g_from, step))
+    first = F.greatest(ceil_to(low, step), floor_to(g_from, step))
     last = F.least(floor_to(shifted(F.col("pt"), max(back, around)), step), floor_to(g_to, step))
     span = F.sequence(F.unix_micros(first), F.unix_micros(last), F.lit(step * 60_000_000).cast("long"))
-    seen = plan.where(first <= last).withColumn("g", F.timestamp_micros(F.explode(span))).where("first_seen <= g")
+    seen = plan.where(first <= last).withColumn("_g", F.explode(span)).withColumn("g", F.timestamp_micros("_g")).drop("_g").where("first_seen <= g")
     state = asof_join(seen, obs.select("key", "obs", "ct", "cs"), ["key"], "g", "obs", ["ct", "cs"], tie=["ct", "cs"])
     cancel = F.coalesce(F.col("cs") == "c", F.lit(False))
     delay = minutes(F.coalesce("ct", "pt"), F.col("pt"))

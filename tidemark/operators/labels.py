@@ -96,7 +96,7 @@ def at_cutoffs(pairs: DataFrame, obs: DataFrame, polls: DataFrame, cutoffs: Sequ
             )
         )
     )
-    return rows.drop("_poll").withColumn("exclusion_reason", reason).withColumn("eligible", F.col("exclusion_reason").isNull())
+    return rows.withColumn("exclusion_reason", reason).withColumn("eligible", F.col("exclusion_reason").isNull()).drop("_poll")
 
 
 def summary(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 EPS = 1e-6
 #: Scores are laid out in so many value ranges before prefix sums; only the ranges' totals meet.
@@ -135,7 +136,7 @@ def bootstrap_gain(rows: DataFrame, day: str, label: str, model: str, base: str,
     days = [r[0] for r in daily.select(day).orderBy(day).collect()]
     if not days:
         raise ValueError("no rows to compare")
-    numbers = F.broadcast(spark.createDataFrame([(d, i) for i, d in enumerate(days)], daily.select(day).schema.add("_d", "int")))
+    numbers = F.broadcast(spark.createDataFrame([(d, i) for i, d in enumerate(days)], daily.select(day).schema.add("_d", IntegerType())))
     weights = F.broadcast(spark.createDataFrame([(-1, i, 1.0) for i in range(len(days))] + draw_weights(len(days), draws, seed), "_draw int, _d int, _w double"))
     summed = daily.join(numbers, day).join(weights, "_d").groupBy("_draw").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in ("lm", "lb", "bm", "bb")])
     gains = summed.select("_draw", (1 - F.col("lm") / F.col("lb")).alias("log_loss_gain"), (1 - F.col("bm") / F.col("bb")).alias("brier_gain"))

@@ -76,7 +76,7 @@ def partial_correlation(rows: DataFrame, x: str, y: str, given: Sequence[str]) -
     import numpy as np
 
     spark = rows.sparkSession
-    means = rows.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(given)]).first()
+    means = rows.agg(F.count("*"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(given)]).first()[1:]
     cov: list[Column] = [F.lit(1.0)]
     for i, c in enumerate(given):
         cov += [F.coalesce(F.col(c), F.lit(means[i] or 0.0)).cast("double"), F.col(c).isNull().cast("double")]

@@ -127,8 +127,8 @@ def _dataset(spark, sf):
 @query
 def dataset_rows(spark, sf):
     return _dataset(spark, sf).select(
-        "stop_id_a", "stop_id_b", "cutoff_min", "label_fail", "fail_reason", "exclusion_reason", "eligible", "b_cancel_known", r6("db_delay_a_min").alias("db_delay_a_min"), r6("db_delay_b_min").alias("db_delay_b_min"),
-        r6("db_slack_min").alias("db_slack_min"), r6("real_slack_min").alias("real_slack_min"), r6("collector_age_min").alias("collector_age_min"),
+        "stop_id_a", "stop_id_b", "cutoff_min", "label_fail", "fail_reason", "exclusion_reason", "eligible", "b_cancel_known",
+        *[F.round(F.col(c) * 6e7).cast("long").alias(c.replace("_min", "_us")) for c in ("db_delay_a_min", "db_delay_b_min", "db_slack_min", "real_slack_min", "collector_age_min")],
     )
 
 
@@ -224,7 +224,7 @@ def freshness_features(spark, sf):
 def context_features(spark, sf):
     rows = plan(spark, sf).select("stop_id", F.col("pt").alias("pt_a"), F.col("pp").alias("pp_a"), F.when(F.col("cat") == "S", F.col("pp")).alias("pp_b"), "cat")
     out = features.context(rows, holidays=("2024-01-01",))
-    return out.select("stop_id", r6("hour_sin").alias("hour_sin"), r6("hour_cos").alias("hour_cos"), "day_type", "same_platform", segment(F.col("cat")).alias("segment"))
+    return out.select("stop_id", (r6("hour_sin") + 0.0).alias("hour_sin"), (r6("hour_cos") + 0.0).alias("hour_cos"), "day_type", "same_platform", segment(F.col("cat")).alias("segment"))
 
 
 # ---- evaluation
