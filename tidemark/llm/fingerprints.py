@@ -64,34 +64,31 @@ def with_next(df: DataFrame, id_col: str, text_col: str, columns: list[str], pre
     ids = df.select(F.col(id_col).alias("i"))
     bounds = ids.agg(F.percentile_approx("i", [k / n for k in range(1, n)], 20 * n).alias("b")).first()["b"] or []
     bounds = sorted(set(bounds))
-    table = F.array(*[F.lit(b) for b in bounds])
-    steps = F.array(*[F.lit(1 << k) for k in range(max(1, len(bounds).bit_length()) - 1, -1, -1)])
+    id_type = df.schema[id_col].dataType.simpleString()
+    array = lambda x, kind: F.array(*map(F.lit, x)).cast(f"array<{kind}>")
+    table, steps = array(bounds, id_type), array([1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)], "int")
 
     def bucket_of(x: Column) -> Column:
         """How many bounds are below x, by bisection; -1 for null."""
-        if not bounds:
-            return F.when(x.isNull(), F.lit(-1)).otherwise(F.lit(0))
-        found = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(table, F.least(at + s, F.lit(len(bounds))) - 1) < x), at + s).otherwise(at))
+        below = lambda at: F.get(table, F.least(at, F.lit(len(bounds))) - 1) < x
+        found = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & below(at + s), at + s).otherwise(at)) if bounds else F.lit(0)
         return F.when(x.isNull(), F.lit(-1)).otherwise(found)
 
-    heads = {r["b"]: r["first"] for r in ids.groupBy(bucket_of(F.col("i")).alias("b")).agg(F.max("i").alias("first")).collect()}
-    order = sorted(heads, reverse=True)
-    null_head = df.where(F.col(id_col).isNull()).agg(F.min(F.coalesce(text_col, F.lit(""))).alias("t")).first()["t"] if -1 in heads else None
-    copies = []
-    for b, following in zip(order, [*order[1:], order[0]] if order else [], strict=True):
-        is_head = F.col(id_col) == F.lit(heads[following]) if following >= 0 else F.col(id_col).isNull() & (F.coalesce(text_col, F.lit("")) == F.lit(null_head))
-        copies.append((is_head, b, following == order[0]))
+    # the first id of each bucket, from the highest bucket down, and the bucket before it that gets a copy
+    found = ids.groupBy(bucket_of(F.col("i")).alias("b")).agg(F.max("i").alias("first")).collect()
+    heads = sorted(((r["b"], r["first"]) for r in found), reverse=True)
+    before = [b for b, _ in heads[-1:] + heads[:-1]]
+    null_head = df.where(F.col(id_col).isNull()).agg(F.min(F.coalesce(text_col, F.lit(""))).alias("t")).first()["t"] if heads and heads[-1][0] < 0 else None
+    real = [(first, b) for (bucket, first), b in zip(heads, before, strict=True) if bucket >= 0]
+    place = F.array_position(array([first for first, _ in real], id_type), F.col(id_col))
+    to = F.when(place > 0, F.get(array([b for _, b in real], "int"), place.cast("int") - 1))
+    wrap = F.col(id_col) == F.lit(heads[0][1]) if real else F.lit(True)
+    if null_head is not None:
+        first_null = F.col(id_col).isNull() & (F.coalesce(text_col, F.lit("")) == F.lit(null_head))
+        to, wrap = F.when(first_null, F.lit(before[-1])).otherwise(to), F.coalesce(wrap, F.lit(not real))
     own = F.struct(bucket_of(F.col(id_col)).cast("int").alias("b"), F.lit(False).alias("wrap"), F.lit(False).alias("copy"))
-    targets = F.array(own)
-    if copies:
-        by_id = {}
-        for is_head, b, wrap in copies:
-            by_id[b] = F.when(is_head, F.struct(F.lit(b).alias("b"), F.lit(wrap).alias("wrap"), F.lit(True).alias("copy")))
-        # most rows are no head: one look-up in the set of heads spares them the list
-        first_ids = [F.lit(v) for v in heads.values() if v is not None]
-        maybe = F.coalesce(F.col(id_col).isin(*first_ids) if first_ids else F.lit(False), F.lit(True))
-        targets = F.when(maybe, F.filter(F.array(own, *by_id.values()), lambda x: x.isNotNull())).otherwise(targets)
-    spread = df.withColumn("_at", F.explode(targets))
+    copy = F.struct(to.cast("int").alias("b"), F.coalesce(wrap, F.lit(False)).alias("wrap"), F.lit(True).alias("copy"))
+    spread = df.withColumn("_at", F.explode(F.when(to.isNotNull(), F.array(own, copy)).otherwise(F.array(own))))
     w = Window.partitionBy("_at.b").orderBy(F.col("_at.wrap"), F.col(id_col).desc_nulls_last(), F.coalesce(text_col, F.lit("")))
     led = spread.select("*", *[F.lead(c).over(w).alias(prefix + c) for c in columns])
     return led.where(~F.col("_at.copy")).drop("_at")
