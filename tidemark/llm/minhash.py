@@ -150,17 +150,21 @@ def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(agreement("sa", "sb") >= least).select("a", "b")
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets have 100 * intersection >= percent * union."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union, by their full sets."""
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            n = (len(x) + len(y)) // 8
-            union = len(np.unique(np.frombuffer(x + y, dtype=np.uint64)))
-            out.append(100 * (n - union) >= percent * union)
-        return pd.Series(out, dtype=bool)
+        return pd.Series([_linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
@@ -168,30 +172,64 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(fits).where(linked("sa", "sb")).select("a", "b")
 
 
-def _across(leaves: DataFrame, roots: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """Similar pairs of different components in nodes too large to be compared at once, all of them, in blocks."""
+def _across(leaves: DataFrame, roots: DataFrame, sigs: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links between different components in nodes too large to be compared at once: all pairs, in blocks.
+
+    A first pass finds, by the tokens, the members that are close to one of another component; only
+    their sets are fetched for the second, which confirms links and gives no more of them than it
+    takes to join the members of a block.
+    """
     known = leaves.where(F.col("n") > SMALL).join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = known.groupBy("node").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select(F.col("node").alias("_node"))
     rows = known.join(mixed, known["node"] == mixed["_node"]).select("node", "rep", "n", "root").join(sigs, "rep")
-    dealt = in_blocks(rows, "node", "rep", "n", BLOCK, ["root", "sig"])
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def close(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        """(member, the members after it that are close and of another component), by position."""
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        own, root = table.column("block").to_numpy(), table.column("root").to_numpy()
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, TOKENS)
+        every = np.arange(len(own))
+        first, second = (every, every) if i == j else (every[own == i], every[own == j])
+        for k in first:
+            to = second[(second > k) | (i != j)]
+            to = to[root[to] != root[k]]
+            yield k, to[(sig[to] == sig[k]).mean(1) >= least]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["key", "i", "j"]):
-            i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-            ids, own, root = (table.column(c).to_numpy() for c in ("id", "block", "root"))
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, TOKENS)
-            first, second = (np.arange(len(ids)),) * 2 if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
+            some = np.zeros(table.num_rows, dtype=bool)
+            for k, to in close(table):
+                some[to] = True
+                some[k] |= len(to) > 0
+            if some.any():
+                yield from table.filter(pa.array(some)).combine_chunks().to_batches()
+
+    schema = "key long, i int, j int, id long, block int, root long, sig binary"
+    near = save(in_blocks(rows, "node", "rep", "n", BLOCK, ["root", "sig"]).mapInArrow(found, schema))
+    near = near.join(sets, near["id"] == sets["rep"]).drop("rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["key", "i", "j"]):
+            ids, root = table.column("id").to_numpy(), dict(enumerate(table.column("root").to_pylist()))
+            shingles_of = [np.frombuffer(x, dtype=np.uint64) for x in table.column("shingles").to_pylist()]
+            joined = {r: r for r in root.values()}
+
+            def top(x: int, joined: dict[int, int] = joined) -> int:
+                while joined[x] != x:
+                    joined[x] = x = joined[joined[x]]
+                return x
+
             a, b = [], []
-            for k in first:
-                to = second[(ids[second] > ids[k]) | (i != j)]
-                to = to[root[to] != root[k]]
-                to = to[(sig[to] == sig[k]).mean(1) >= least]
-                a.append(np.minimum(ids[to], ids[k]))
-                b.append(np.maximum(ids[to], ids[k]))
+            for k, to in close(table):
+                for m in to.tolist():
+                    if top(root[k]) != top(root[m]) and _linked(shingles_of[k], shingles_of[m], percent):
+                        joined[top(root[k])] = top(root[m])
+                        a.append(min(ids[k], ids[m]))
+                        b.append(max(ids[k], ids[m]))
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return dealt.mapInArrow(compared, "a long, b long").distinct()
+    return near.mapInArrow(confirmed, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,9 +255,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     sigs = classes.where("rep IS NOT NULL").select("rep", "sig")
     leaves = _leaves(_paths(sigs))
 
-    # full sets of the classes that share a node with another
-    wanted = leaves.select("rep").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("binary").alias("text")).where(F.col(text_col).isNotNull()).join(wanted, "rep", "left_semi")
+    small = leaves.where(F.col("n") <= SMALL)
+    large = leaves.where(F.col("n") > SMALL)
+    other = small.select(F.col("node"), F.col("rep").alias("b"))
+    pairs = small.select("node", F.col("rep").alias("a")).join(other, "node").where("a < b").select("a", "b")
+    pivots = large.groupBy("node").agg(F.min("rep").alias("p"), F.min_by("rep", F.xxhash64("rep")).alias("q"))
+    to_pivot = large.join(pivots, "node").select("rep", F.explode(F.array("p", "q")).alias("p")).where("rep <> p")
+    first = save(_alike(pairs.union(to_pivot.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))).distinct(), sigs, least))
+
+    # full sets of the classes that may be linked; these ids grow with the corpus, so they are never broadcast
+    wanted = first.select(F.col("a").alias("rep")).union(first.select("b")).union(large.select("rep")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("binary").alias("text")).where(F.col(text_col).isNotNull())
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -228,18 +274,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
                 known.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, known).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["rep", "shingles"])
 
-    sets = save(texts.mapInArrow(listed, "rep long, shingles binary"))
-
-    small = leaves.where(F.col("n") <= SMALL)
-    other = small.select(F.col("node"), F.col("rep").alias("b"))
-    pairs = small.select("node", F.col("rep").alias("a")).join(other, "node").where("a < b").select("a", "b")
-    pivots = leaves.where(F.col("n") > SMALL).groupBy("node").agg(F.min("rep").alias("p"), F.min_by("rep", F.xxhash64("rep")).alias("q"))
-    to_pivot = leaves.where(F.col("n") > SMALL).join(pivots, "node").select("rep", F.explode(F.array("p", "q")).alias("p")).where("rep <> p")
-    first = pairs.union(to_pivot.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))).distinct()
-    links = save(_verified(_alike(first, sigs, least), sets, percent))
+    sets = save(texts.join(wanted.hint("merge"), "rep", "left_semi").mapInArrow(listed, "rep long, shingles binary"))
+    links = save(_verified(first, sets, percent))
     roots = components(links)
-
-    more = save(_verified(_across(leaves, roots, sigs, least), sets, percent))
+    more = save(_across(leaves, roots, sigs, sets, least, percent))
     if not more.isEmpty():
         roots = components(links.union(more))
 
