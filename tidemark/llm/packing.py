@@ -48,7 +48,7 @@ def chunk_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
             known.clear()
         split = [(text if b"<|" in text else STOP.sub(rb" \1", text.lower())).split() for text in texts]
         plain, other = [], []
-        for chunk in {c for chunks in split for c in chunks if c not in known}:
+        for chunk in set().union(*split).difference(known):
             word = chunk.decode()
             if word.isalpha() and max(word) <= "\xff":
                 plain.append((chunk, word))
@@ -56,7 +56,8 @@ def chunk_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
                 other.append((chunk, word))
         for i in range(0, len(plain), 4096):
             part = plain[i : i + 4096]
-            ids = np.array(tokenizer.encode(" ".join(w for _, w in part), add_special_tokens=False).ids, dtype="<u4")
+            [joined] = tokenizer.encode_batch_fast([" ".join(w for _, w in part)], add_special_tokens=False)
+            ids = np.array(joined.ids, dtype="<u4")
             ends = np.flatnonzero(last[ids]) + 1
             if len(ends) != len(part):
                 other += part
@@ -74,10 +75,10 @@ def chunk_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
     return encode
 
 
-def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Tokenises each document, ends it with id 0 and cuts it into pieces of at most `capacity` ids.
 
-    Returns doc_id, piece, start, length, ids_crc32; with the ids themselves in `ids` (binary).
+    Returns doc_id, piece, start, length, ids_crc32; and the ids themselves in `ids` (binary) unless they aren't asked for.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -95,14 +96,15 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col:
                     start.append(at // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
-                    ids.append(part)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
-            )
+                    if with_ids:
+                        ids.append(part)
+            columns = {"doc_id": batch.column(0).take(pa.array(row, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
+            if with_ids:
+                columns["ids"] = pa.array(ids, pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(pieces, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, ids binary")
+    return rows.mapInArrow(pieces, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def best_two_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -209,7 +211,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     documents longer than `capacity` are cut. Pieces of equal length, id, number and checksum may
     swap places. Other columns are not read. An empty table gives an empty result.
     """
-    return pack(save(cut(docs, tokenizer_path, capacity, id_col, text_col).drop("ids")), capacity)
+    return pack(save(cut(docs, tokenizer_path, capacity, id_col, text_col, with_ids=False)), capacity)
 
 
 def sequences(placed: DataFrame, cut_pieces: DataFrame) -> DataFrame:
