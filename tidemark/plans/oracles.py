@@ -132,7 +132,7 @@ FROM (SELECT cutoff_min, count(*) AS rows, count(*) FILTER (reason IS NULL) AS e
 LEFT JOIN (SELECT cutoff_min, {area("rp", "y")} AS ap, {area("rd", "y")} AS ad FROM e GROUP BY cutoff_min) a USING (cutoff_min)""",
     "dataset_exclusions": f"WITH {LABELLED} SELECT cutoff_min, coalesce(reason, 'none') AS reason, count(*) AS rows FROM ds GROUP BY ALL",
     "label_sensitivity": f"WITH {LABELLED} SELECT m AS min_transfer, count(*) AS pairs, round(avg(coalesce(real_slack < m, false)::INT), 6) AS delay_fail FROM lab, (VALUES (3), (4), (5), (7)) v(m) GROUP BY m",
-    "hub_grid_state": f"WITH {GRID} SELECT eva, epoch_us(g) AS g_us, round(share_cancel, 6) AS share_cancel, round(mean_delay, 6) AS mean_delay, round(share_late, 6) AS share_late FROM hub",
+    "hub_grid_state": f"WITH {GRID} SELECT eva, epoch_us(g) AS g_us, round(share_cancel, 6) AS share_cancel, floor(mean_delay * 6e7 + 0.1234)::BIGINT AS mean_delay_us, round(share_late, 6) AS share_late FROM hub",
     "line_grid_state": f"WITH {GRID} SELECT eva, epoch_us(g) AS g_us, line, round(line_delay, 6) AS mean_delay FROM line",
     "hub_features": f"""WITH {GRID} SELECT r.stop_id, round(h.share_cancel, 6) AS share_cancel, round(h.mean_delay, 6) AS mean_delay, round(l.line_delay, 6) AS line_delay
 FROM rows_ r LEFT JOIN hub h ON h.eva = r.eva AND h.g = r.gg LEFT JOIN line l ON l.eva = r.eva AND l.g = r.gg AND l.line = r.line""",
@@ -146,7 +146,7 @@ FROM rows_ r LEFT JOIN firsts f ON f.key = r.key AND f.obs <= r.t_cut GROUP BY r
     "plan_change_keys": "SELECT l_orderkey, l_linenumber, count(DISTINCT l_shipdate) AS planned_times FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_shipdate) > 1",
     "trend_features": f"""WITH {ROWS}, q AS (SELECT r.*, b, t_cut - to_minutes(b) AS t FROM rows_ r, (VALUES (0), (60), (1440)) v(b)),
 s AS (SELECT q.stop_id, q.b, {mins("coalesce(o.ct, q.pt)", "q.pt")} AS d FROM q ASOF LEFT JOIN obs o ON q.key = o.key AND q.t >= o.obs)
-SELECT stop_id, round(max(d) FILTER (b = 0) - max(d) FILTER (b = 60), 6) AS trend_60, round(max(d) FILTER (b = 0) - max(d) FILTER (b = 1440), 6) AS trend_1440 FROM s GROUP BY stop_id""",
+SELECT stop_id, round((max(d) FILTER (b = 0) - max(d) FILTER (b = 60)) * 6e7)::BIGINT AS trend_60_us, round((max(d) FILTER (b = 0) - max(d) FILTER (b = 1440)) * 6e7)::BIGINT AS trend_1440_us FROM s GROUP BY stop_id""",
     "freshness_features": f"""WITH {ROWS}, q AS (SELECT *, date_trunc('minute', t_cut) AS mark FROM rows_)
 SELECT q.stop_id, round({mins("q.mark", "date_trunc('minute', o.obs)")}, 6) AS age_min FROM q ASOF LEFT JOIN obs o ON q.key = o.key AND q.mark >= o.obs""",
     "context_features": f"""WITH {PLAN}, l AS (SELECT *, {BERLIN.format("pt")} AS loc FROM plan), h AS (SELECT *, (hour(loc) + minute(loc) / 60.0::DOUBLE) * (2 * pi() / 24) AS a FROM l)
@@ -172,7 +172,7 @@ SELECT day % 4 AS fold, count(*) AS days, round(avg(gain), 6) AS mean_gain, coun
 t AS (SELECT * FROM r WHERE l_shipdate < TIMESTAMP '1998-01-01'), n AS (SELECT * FROM r WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_quantity > 10),
 lt AS (SELECT unnest(['l_quantity', 'discount', 'l_extendedprice']) AS input, unnest([l_quantity, discount, l_extendedprice]) AS x FROM t), ln AS (SELECT unnest(['l_quantity', 'discount', 'l_extendedprice']) AS input, unnest([l_quantity, discount, l_extendedprice]) AS x FROM n),
 e AS (SELECT input, list_distinct(quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS edges FROM lt GROUP BY input),
-b AS (SELECT 'e' AS side, input, coalesce(len(list_filter(edges, lambda q: q <= x))::VARCHAR, 'm') AS bin FROM lt JOIN e USING (input) UNION ALL SELECT 'a', input, coalesce(len(list_filter(edges, lambda q: q <= x))::VARCHAR, 'm') FROM ln JOIN e USING (input)
+b AS (SELECT 'e' AS side, input, CASE WHEN x IS NULL THEN 'm' ELSE len(list_filter(edges, lambda q: q <= x))::VARCHAR END AS bin FROM lt JOIN e USING (input) UNION ALL SELECT 'a', input, CASE WHEN x IS NULL THEN 'm' ELSE len(list_filter(edges, lambda q: q <= x))::VARCHAR END FROM ln JOIN e USING (input)
   UNION ALL SELECT 'e', 'l_returnflag', l_returnflag FROM t UNION ALL SELECT 'a', 'l_returnflag', l_returnflag FROM n),
 s AS (SELECT input, bin, count(*) FILTER (side = 'e') AS ce, count(*) FILTER (side = 'a') AS ca FROM b GROUP BY ALL),
 f AS (SELECT input, greatest(1e-4, ce / sum(ce) OVER (PARTITION BY input)::DOUBLE) AS e, greatest(1e-4, ca / sum(ca) OVER (PARTITION BY input)::DOUBLE) AS a FROM s),

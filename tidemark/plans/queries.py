@@ -160,7 +160,8 @@ def _grid(spark, sf):
 
 @query
 def hub_grid_state(spark, sf):
-    return grid.hub_state(_grid(spark, sf)).select("eva", micros("g").alias("g_us"), r6("hub_share_cancel").alias("share_cancel"), r6("hub_mean_delay").alias("mean_delay"), r6("hub_share_late5").alias("share_late"))
+    # whole microseconds, cut where no mean of a few values lies, so that engines agree
+    return grid.hub_state(_grid(spark, sf)).select("eva", micros("g").alias("g_us"), r6("hub_share_cancel").alias("share_cancel"), F.floor(F.col("hub_mean_delay") * 6e7 + 0.1234).alias("mean_delay_us"), r6("hub_share_late5").alias("share_late"))
 
 
 @query
@@ -212,7 +213,7 @@ def plan_change_keys(spark, sf):
 @query
 def trend_features(spark, sf):
     out = features.trend(_query_rows(spark, sf), observations(spark, sf), "stop_id", "key", "pt_a", (60, 1440))
-    return out.select("stop_id", r6("trend_a_60").alias("trend_60"), r6("trend_a_1440").alias("trend_1440"))
+    return out.select("stop_id", F.round(F.col("trend_a_60") * 6e7).cast("long").alias("trend_60_us"), F.round(F.col("trend_a_1440") * 6e7).cast("long").alias("trend_1440_us"))
 
 
 @query
