@@ -132,6 +132,28 @@ def test_list_decoding_finds_all_exceeding_filters():
     assert set(zip(row.tolist(), chosen.tolist(), strict=True)) == want
 
 
+@pytest.mark.parametrize("dim", [16, 64, 128, 768])
+def test_vectors_of_any_width_meet(spark, dim):
+    rng = np.random.default_rng(dim)
+    x, y = rng.normal(size=(2, 300, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y = 0.981 * x + math.sqrt(1 - 0.981**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    df = spark.createDataFrame([(2 * i + k, v[i].tolist(), 1) for i in range(300) for k, v in enumerate((x, y))], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["component_id"] for r in embeddings.near_vectors(df).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(300)) >= 0.99 * 300
+    per_code = np.bincount(embeddings.decode(x, 0, embeddings.CODES, embeddings.cap(dim, 0.98), embeddings.FEWEST)[0], minlength=300)
+    assert per_code.min() >= embeddings.FEWEST and per_code.mean() < 60
+
+
+def test_vectors_without_filters_get_their_best():
+    x = np.random.default_rng(3).normal(size=(10, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    row, chosen = embeddings.decode(x, 0, 16, 2.0, 4)
+    for i, (a, b) in enumerate(embeddings.products(x, 0, 16)):
+        assert set(chosen[row == i].tolist()) == set(np.argsort(-(a[:, None] + b).ravel())[:4].tolist())
+
+
 def brute_sketch(text):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     words = [w for w in (text or "").lower().replace("\t", " ").replace("\n", " ").split(" ") if w]

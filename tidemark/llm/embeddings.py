@@ -15,8 +15,12 @@ from .common import save
 from .components import components
 from .grouped import in_blocks, runs
 
-#: Directions in each half's code, so CODES ** 2 filters; inner product from which a filter takes a vector; independent codes.
-CODES, ALPHA, CODES_USED = 256, 0.42, 3
+#: Directions in each half's code, so CODES ** 2 filters; independent codes.
+CODES, CODES_USED = 256, 3
+#: Share of random pairs at the cosine asked for that must meet in a filter; pairs drawn to find the caps that do so.
+RECALL, DRAWN = 0.998, 2000
+#: Filters that each vector gets in each code at least, its best ones where too few caps hold it.
+FEWEST = 4
 BLOCK = 1024
 SEED = 8
 
@@ -29,25 +33,55 @@ def codes(dim: int, repeat: int, n: int = CODES) -> tuple[np.ndarray, np.ndarray
     return rotation, directions / np.linalg.norm(directions, axis=2, keepdims=True)
 
 
-def decode(vectors: np.ndarray, repeat: int, n: int = CODES, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
-    """(row, filter) of all filters with an inner product of at least alpha with each unit vector.
+def products(vectors: np.ndarray, repeat: int, n: int) -> np.ndarray:
+    """Inner products of each unit vector's halves with the directions of their codes, two rows of n a vector.
 
-    A filter is a pair of directions, one for each half of the rotated vector; its inner product is the sum
-    of theirs, so a direction of one half is only paired while the best of the other half could
-    still reach alpha. Halves are brought to the same length first, which evens out how many filters
-    the vectors get; close vectors have close halves, so they still meet.
+    Halves are brought to the same length first, which evens out how many filters the vectors get; close
+    vectors have close halves, so they still meet.
     """
     dim = vectors.shape[1] + vectors.shape[1] % 2
     padded = np.pad(vectors, ((0, 0), (0, dim - vectors.shape[1])))
     rotation, directions = codes(dim, repeat, n)
     halves = (padded @ rotation).reshape(len(vectors), 2, dim // 2)
     halves = halves / np.maximum(np.linalg.norm(halves, axis=2, keepdims=True), 1e-30)
-    products = np.einsum("nmd,mkd->nmk", halves, directions) / 2
+    return np.einsum("nmd,mkd->nmk", halves, directions) / 2
+
+
+def cap(dim: int, cosine: float, n: int = CODES, repeats: int = CODES_USED, recall: float = RECALL, drawn: int = DRAWN) -> float:
+    """The largest inner product from which filters may take vectors of dim components, for this recall at this cosine.
+
+    Random pairs at the cosine are put through the codes themselves: a pair meets where the cap reaches
+    down to the filter whose worse product with the two is best.
+    """
+    rng = np.random.default_rng([SEED, dim, repeats])
+    first, other = rng.normal(size=(2, drawn, dim))
+    first /= np.linalg.norm(first, axis=1, keepdims=True)
+    across = other - (other * first).sum(axis=1, keepdims=True) * first
+    across /= np.maximum(np.linalg.norm(across, axis=1, keepdims=True), 1e-30)
+    second = cosine * first + np.sqrt(max(0.0, 1 - cosine * cosine)) * across
+    best = np.full(drawn, -1.0)
+    for repeat in range(repeats):
+        pairs = zip(products(first, repeat, n).astype(np.float32), products(second, repeat, n).astype(np.float32), strict=True)
+        met = [np.minimum(x[0][:, None] + x[1], y[0][:, None] + y[1]).max() for x, y in pairs]
+        best = np.maximum(best, met)
+    return float(np.sort(best)[int((1 - recall) * drawn)]) - 1e-6
+
+
+def decode(vectors: np.ndarray, repeat: int, n: int, alpha: float, fewest: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) of all filters with an inner product of at least alpha with each unit vector.
+
+    A filter is a pair of directions, one for each half of the rotated vector; its inner product is the sum
+    of theirs, so a direction of one half is only paired while the best of the other half could
+    still reach alpha. A vector that fewer than `fewest` filters take gets its best ones instead.
+    """
     rows, filters = [], []
-    for i, (a, b) in enumerate(products):
+    for i, (a, b) in enumerate(products(vectors, repeat, n)):
         left = np.flatnonzero(a >= alpha - b.max())
         right = np.flatnonzero(b >= alpha - a.max())
         u, v = np.nonzero(a[left][:, None] + b[right][None, :] >= alpha)
+        if len(u) < fewest:  # the best sums are among those of each half's best
+            left, right = np.argsort(-a)[:fewest], np.argsort(-b)[:fewest]
+            u, v = np.unravel_index(np.argsort(-(a[left][:, None] + b[right][None, :]), axis=None)[:fewest], (len(left), len(right)))
         rows.append(np.full(len(u), i))
         filters.append(left[u] * n + right[v])
     return np.concatenate([np.empty(0, np.int64), *rows]), np.concatenate([np.empty(0, np.int64), *filters])
@@ -80,7 +114,19 @@ def _prepared(table: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     return rows.mapInArrow(prepared, f"vec_id long, label {label_type}, d1 long, d2 long, unit binary, ok boolean")
 
 
-def _filters(classes: DataFrame, n: int, alpha: float, repeats: int) -> DataFrame:
+def _caps(classes: DataFrame, cosine: float, n: int, repeats: int) -> dict[int, float]:
+    """The cap of each width of vectors, found on the executors; one number for each width comes back."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(dims, pa.int32()), pa.array([cap(d, cosine, n, repeats) for d in dims], pa.float64())], ["dim", "alpha"])
+
+    dims = classes.select((F.octet_length("unit") / 8).cast("int").alias("dim")).distinct()
+    return {r["dim"]: r["alpha"] for r in dims.mapInArrow(found, "dim int, alpha double").collect()}
+
+
+def _filters(classes: DataFrame, n: int, alphas: dict[int, float], repeats: int) -> DataFrame:
     """(key, rep, half): a row for each class and filter; key also holds label, length and code; half is the vector in float16."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +140,7 @@ def _filters(classes: DataFrame, n: int, alpha: float, repeats: int) -> DataFram
                     vectors = np.frombuffer(b"".join(units[i] for i in part), dtype=np.float64).reshape(-1, dim)
                     half = [x.tobytes() for x in vectors.astype(np.float16)]
                     for repeat in range(repeats):
-                        row, chosen = decode(vectors, repeat, n, alpha)
+                        row, chosen = decode(vectors, repeat, n, alphas[int(dim)], FEWEST)
                         key = labels[part][row] * 31 + np.int64(dim)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(key, pa.int64()), pa.array(chosen + repeat * n * n, pa.int64()), pa.array(ids[part][row], pa.int64()), pa.array([half[i] for i in row], pa.binary())],
@@ -130,13 +176,13 @@ def _candidates(filters: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(compared, "a long, b long").distinct()
 
 
-def near_vectors(table: DataFrame, cosine: float = 0.98, n: int = CODES, alpha: float = ALPHA, repeats: int = CODES_USED, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(table: DataFrame, cosine: float = 0.98, n: int = CODES, repeats: int = CODES_USED, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links vectors of one label with a cosine of at least `cosine`.
 
     Vectors with the same label and direction, to the last bit, are one class. Each class is listed under all
     filters whose cap holds it, in three independent product codes; classes that share a filter are
-    compared, and the cosine in double precision decides. At cosine 0.98 and 64 dimensions, three
-    codes find 99.8 % of random pairs, and more of closer ones.
+    compared, and the cosine in double precision decides. The caps follow the vectors' width and the
+    cosine: they are as small as finds RECALL of random pairs at that cosine, and more of closer ones.
 
     Returns vec_id, n_links (other vectors linked directly), component_id (the smallest id reached), kept. Rows
     whose label or vector is null, or whose vector is empty, zero or holds null or non-finite
@@ -146,7 +192,7 @@ def near_vectors(table: DataFrame, cosine: float = 0.98, n: int = CODES, alpha:
     rows = save(_prepared(table, id_col, vector_col, label_col))
     usable = rows.where(F.col("ok") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     classes = save(usable.groupBy("label", "d1", "d2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit")))
-    filters = save(_filters(classes, n, alpha, repeats))
+    filters = save(_filters(classes, n, _caps(classes, cosine, n, repeats), repeats))
 
     @F.pandas_udf("double")
     def product(a: pd.Series, b: pd.Series) -> pd.Series:
