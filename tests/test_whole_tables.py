@@ -34,3 +34,9 @@ def test_no_prediction_lacks_its_outcome(spark):
     _, want = both(spark, "missing_order_days", """WITH k AS (SELECT l_linenumber = 5 AS out FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey, l_linenumber)
         SELECT count(*), count(*) FILTER (NOT out), count(*) FILTER (out), 0 FROM k""")
     assert tuple(got[f"sum({c})"] for c in ("predictions", "evaluated", "excluded", "not_a_candidate")) == want[0]
+
+
+def test_periods_hold_all_years(spark):
+    got, want = both(spark, "period_pivot", "SELECT o_orderpriority, year(o_orderdate), round(avg(o_totalprice), 6) FROM orders GROUP BY ALL")
+    assert [r[:2] for r in got] == [r[:2] for r in want] and {r[1] for r in got} >= set(range(1995, 2002))
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want])
