@@ -169,6 +169,21 @@ def test_sanitised_texts(spark):
     assert pii.sanitise(df.limit(0)).count() == 0
 
 
+def test_disclosing_terms_anywhere_in_their_rows(spark):
+    rng = random.Random(9)
+    filler = lambda n: " ".join(f"word{rng.randrange(60)}" for _ in range(n))
+    texts = [filler(50) for _ in range(300)]
+    # the name stands near the address in one row, far from it in the others, and again far away in the first
+    texts += [f"Trillian {filler(60)} eve@example.org {filler(60)} Trillian", f"{filler(3)} eve@example.org Trillian {filler(60)} Trillian", f"{filler(80)} Trillian {filler(40)} eve@example.org"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(df).where("doc_id >= 300").collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    for i in (300, 301, 302):
+        places = [m.span() for m in re.finditer("Trillian", texts[i])]
+        assert [tuple(map(int, x.split(":")[1:])) for x in spans[i].split(",") if x.startswith("remove")] == places
+        assert "Trillian" not in clean[i] and "[EMAIL]" in clean[i] and "word" in clean[i]
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(1)
     s, trans = rng.normal(size=(1, 5)), rng.normal(size=(2, 2))

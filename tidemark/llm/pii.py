@@ -21,7 +21,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TERM = re.compile(r"\w{3,}")
-#: Terms on either side of an entity that count as its context, and how far they are looked for.
+#: Terms on either side of a span that contexts() lists, and how far they are looked for.
 NEAR, REACH = 8, 160
 #: Share of an entity's information that a term may give away before it is generalised, or removed.
 GENERALISE, REMOVE = 0.75, 0.9
@@ -107,19 +107,25 @@ def _overlaps(covered: list[Span], s: int, e: int) -> bool:
     return any(a < e and s < b for a, b in covered[max(0, i - 8) : i])
 
 
+def occurrences(text: str, spans: list[tuple[str, int, int]], actions: dict[str, str]) -> list[tuple[str, int, int]]:
+    """(action, start, end) of every place outside all spans where the text has one of the terms."""
+    covered = sorted((s, e) for _, s, e in spans)
+    found = ((m[0].lower(), *m.span()) for m in TERM.finditer(text))
+    return [(actions[term], s, e) for term, s, e in found if term in actions and not _overlaps(covered, s, e)]
+
+
 def written(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Counts, base spans and contexts of every row; a row's number ties it to its contexts."""
+    """Counts, base spans and entities of every row, and the text of those with an entity."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             counts: list[list[int]] = [[] for _ in KINDS]
-            base, digest, near = [], [], []
+            base, digest, entities, private = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = base_spans(text or "")
                 kinds = Counter(k for k, _, _ in found)
@@ -127,16 +133,20 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     counts[i].append(kinds[k])
                 base.append(written(found))
                 digest.append(hashlib.sha256(base[-1].encode()).hexdigest())
-                near.append([{"entity": a, "term": t, "start": s, "end": e} for a, t, s, e in contexts(text, found)] if found else [])
+                entities.append(sorted({entity(k, text[s:e]) for k, s, e in found}))
+                private.append(text if found else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), *[pa.array(c, pa.int64()) for c in counts], pa.array(digest), pa.array(base, pa.string()), pa.array(near, context)],
-                ["doc_id", "_text", *[f"n_{k}" for k in KINDS], "base_sha256", "base", "near"],
+                [batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digest), pa.array(base, pa.string()), pa.array(entities, pa.list_(pa.string())), pa.array(private, pa.string())],
+                ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "base", "entities", "private"],
             )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    schema = f"doc_id {id_type}, _text long, {counts}, base_sha256 string, base string, near array<struct<entity: string, term: string, start: int, end: int>>"
-    return rows.mapInArrow(scanned, schema)
+    return rows.mapInArrow(scanned, f"doc_id {id_type}, {counts}, base_sha256 string, base string, entities array<string>, private string")
+
+
+def terms_of(text: str) -> set[str]:
+    return {t.lower() for t in set(TERM.findall(text))}
 
 
 def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -146,7 +156,7 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             counts: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
-                counts.update(set(TERM.findall(text.lower())))
+                counts.update(terms_of(text))
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
@@ -154,16 +164,28 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def disclosing_terms(scan: DataFrame, terms: DataFrame, n_rows: int, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, disclosure, action): how much of an entity's information a term near it gives away.
+    """(entity, term, disclosure, action): how much of an entity's information a term in its rows gives away.
 
     disclosure = PMI(term; entity) / information of the entity
                = log2(n * n_both / (n_term * n_entity)) / log2(n / n_entity), counted over rows.
     It is 1 when the term appears nowhere without the entity. Pairs that fewer than `support`
-    different texts show together are left alone.
+    different texts show together are left alone. Copies of a text are listed once, with their number,
+    and only under the entities that enough texts hold.
     """
-    near = scan.where(F.size("near") > 0).select("_row", "_text", F.explode("near").alias("x")).select("_row", "_text", "x.entity", "x.term")
-    both = near.groupBy("entity", "term", "_text").agg(F.count_distinct("_row").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
-    entities = near.groupBy("entity", "_row").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    texts = scan.where(F.col("private").isNotNull()).groupBy("private").agg(F.count("*").alias("n"), F.first("entities").alias("entities"))
+    texts = save(texts.withColumn("_at", F.monotonically_increasing_id()))
+    held = texts.select("_at", "n", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")).where(F.col("texts") >= support).select("entity", "n_entity")
+    own = held.join(entities, "entity").groupBy("_at").agg(F.collect_list("entity").alias("own"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(terms_of(t)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["own", "n", "terms"])
+
+    rows = texts.join(own, "_at").select("own", "n", "private").mapInArrow(listed, "own array<string>, n long, terms array<string>")
+    each = rows.select("n", "terms", F.explode("own").alias("entity")).select("entity", "n", F.explode("terms").alias("term"))
+    both = each.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
     scored = both.where(F.col("texts") >= support).join(entities, "entity").join(terms, "term")
     pmi = F.log2(F.lit(float(n_rows)) * F.col("n_both") / (F.col("in_rows") * F.col("n_entity")))
     information = F.log2(F.lit(float(n_rows)) / F.col("n_entity"))
@@ -172,21 +194,40 @@ def disclosing_terms(scan: DataFrame, terms: DataFrame, n_rows: int, generalise:
     return scored.where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure", action.alias("action"))
 
 
-def _with_terms(scan: DataFrame, docs: DataFrame, text_col: str, generalise: float, remove: float, support: int) -> DataFrame:
-    """scan with `terms`: the disclosing terms of each row as sorted (action, start, end)."""
-    flagged = disclosing_terms(scan, term_counts(docs, text_col), scan.count(), generalise, remove, support)
-    near = scan.where(F.size("near") > 0).select("_row", F.explode("near").alias("x")).select("_row", "x.*")
-    hits = near.join(flagged.select("entity", "term", "action"), ["entity", "term"]).groupBy("_row", "start", "end").agg(F.max("action").alias("action"))
-    by_row = hits.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("action", "start", "end"))).alias("terms"))
-    return scan.join(by_row, "_row", "left")
+def _actions(scan: DataFrame, row: str, flagged: DataFrame) -> DataFrame:
+    """(row, actions): the terms that disclose an entity of the row, with what to do about each."""
+    by_entity = flagged.groupBy("entity").agg(F.collect_list(F.struct("term", "action")).alias("actions"))
+    rows = scan.select(row, F.explode("entities").alias("entity")).join(by_entity, "entity")
+    return rows.groupBy(row).agg(F.flatten(F.collect_list("actions")).alias("actions"))
+
+
+def _strictest(actions: list[dict[str, str]] | None) -> dict[str, str]:
+    """The action for each term; two entities may ask for different ones."""
+    out: dict[str, str] = {}
+    for x in actions or []:
+        out[x["term"]] = max(x["action"], out.get(x["term"], ""))
+    return out
+
+
+def _with_terms(scan: DataFrame, flagged: DataFrame) -> DataFrame:
+    """scan with `terms`: the places of disclosing terms in each row, as they are written in spans."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            found = [written(sorted(occurrences(text, base_spans(text), _strictest(actions)))) for text, actions in both]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["_row", "terms"])
+
+    hits = scan.join(_actions(scan, "_row", flagged), "_row").select("_row", "private", "actions").mapInArrow(placed, "_row long, terms string")
+    return scan.join(hits, "_row", "left")
 
 
 def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base spans of every whole text, and the terms near them that disclose them.
+    """Base spans of every whole text, and the terms in it that disclose them.
 
-    Protected entities are the values that the base patterns find. Terms are judged only near
-    such a value, so a text without personal data keeps no span. Counts run over all rows; what
-    a row keeps for its entities' surroundings is at most 2 * NEAR terms a span.
+    Protected entities are the values that the base patterns find. Terms are judged in the rows that
+    hold such a value, wherever they stand, and found at each of their places there; a text without
+    personal data keeps no span. Counts run over all rows.
 
     Returns doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (base spans as listed, then
     `generalise` and `remove` spans, each by start; code points, end exclusive). A null text counts as
@@ -194,9 +235,8 @@ def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, remove:
     table gives an empty result.
     """
     scan = save(_scan(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()))
-    rows = _with_terms(scan, docs, text_col, generalise, remove, support)
-    terms = F.array_join(F.transform("terms", lambda x: F.concat_ws(":", x["action"], x["start"], x["end"])), ",")
-    spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size("terms") > 0, terms))
+    rows = _with_terms(scan, disclosing_terms(scan, term_counts(docs, text_col), scan.count(), generalise, remove, support))
+    spans = F.concat_ws(",", *[F.when(F.col(c) != "", F.col(c)) for c in ("base", "terms")])
     return rows.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans"))
 
 
@@ -240,15 +280,15 @@ def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
     private = save(inner.mapInArrow(parted(True), schema).withColumn("_row", F.monotonically_increasing_id()))
     scan = save(_scan(private, "_row", text).withColumnRenamed("doc_id", "_row"))
     flagged = disclosing_terms(scan, term_counts(docs, text_col), docs.count(), generalise, remove, support)
-    near = scan.select("_row", F.explode("near").alias("x")).select("_row", "x.*")
-    hits = near.join(flagged.select("entity", "term", "action"), ["entity", "term"]).groupBy("_row", "start", "end").agg(F.max("action").alias("action"))
-    by_row = hits.groupBy("_row").agg(F.collect_list(F.struct("action", "start", "end")).alias("_terms"))
-    joined = private.join(by_row, "_row", "left").select(*inner.columns, "_terms")
+    joined = private.join(_actions(scan, "_row", flagged), "_row", "left").select(*inner.columns, "actions")
     at = schema.names.index(text)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [clean(t, base_spans(t) + [(x["action"], x["start"], x["end"]) for x in terms or []]) for t, terms in zip(batch.column(at).to_pylist(), batch.column("_terms").to_pylist(), strict=True)]
+            new = []
+            for text_, actions in zip(batch.column(at).to_pylist(), batch.column("actions").to_pylist(), strict=True):
+                found = base_spans(text_)
+                new.append(clean(text_, found + occurrences(text_, found, _strictest(actions))))
             columns = list(batch.columns[:-1])
             columns[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(columns, schema.names)
