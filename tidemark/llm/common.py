@@ -44,6 +44,33 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Keys with more than 1 / HOT of all rows are divided; there are fewer than HOT of them.
+HOT = 1000
+
+
+def join_skewed(left: DataFrame, right: DataFrame, on: Sequence[str], n: str, spread: str, how: str = "inner") -> DataFrame:
+    """left joined with the one row that right has for each key, however many rows of left share a key.
+
+    right[n] is the number of left's rows with the key. A key with more than 1 / HOT of their sum is
+    divided by a hash of left[spread] into parts of about that share, and right's row goes to each
+    part. Such keys are fewer than HOT, so their table (keys and numbers only) is broadcast
+    whatever the size of the data. how: inner or left. Keys are not null.
+    """
+    total = F.broadcast(right.agg(F.sum(n).alias("_total")))
+    weighed = right.crossJoin(total).withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col(n) * HOT / F.col("_total"))).cast("int")).drop("_total")
+    hot = weighed.where(F.col("_parts") > 1).select(*on, "_parts")
+    part = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")), F.lit(0)).cast("int")
+    dealt = left.join(F.broadcast(hot), list(on), "left").withColumn("_part", part).drop("_parts")
+    copied = weighed.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return dealt.join(copied, [*on, "_part"], how).drop("_part")
+
+
+def with_group_size(rows: DataFrame, key: str, name: str, least: int, spread: str) -> DataFrame:
+    """Adds the number of rows of each row's key where it exceeds `least`, else 1."""
+    large = save(rows.groupBy(key).agg(F.count("*").alias(name)).where(F.col(name) > least))
+    return join_skewed(rows, large, [key], name, spread, "left").withColumn(name, F.coalesce(name, F.lit(1)))
+
+
 def with_rank(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Adds the 0-based rank of each row in its group, without one task per group.
 

@@ -24,24 +24,46 @@ def in_blocks(rows: DataFrame, key: str, member: str, size: str, block: int, pay
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The rows of each run of equal keys, from batches in order of them; rows alone in their run are left out."""
+def run_starts(columns: list[np.ndarray]) -> np.ndarray:
+    """Where each run of equal keys begins, and the number of rows at the end."""
+    change = np.zeros(len(columns[0]) - 1, dtype=bool)
+    for c in columns:
+        change |= c[1:] != c[:-1]
+    return np.array([0, *(np.flatnonzero(change) + 1).tolist(), len(columns[0])])
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, run_starts) with no run divided between two tables, from batches in order of the keys."""
     held: list[pa.RecordBatch] = []
-    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(k).to_numpy() for k in keys]
-        change = np.zeros(batch.num_rows - 1, dtype=bool)
-        for c in columns:
-            change |= c[1:] != c[:-1]
-        bounds = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
-        for start, end in zip(bounds, bounds[1:], strict=False):
-            now = tuple(c[start] for c in columns)
-            if now != last:
-                if sum(b.num_rows for b in held) > 1:
-                    yield pa.Table.from_batches(held).combine_chunks()
-                held, last = [], now
-            held.append(batch.slice(start, end - start))
-    if sum(b.num_rows for b in held) > 1:
-        yield pa.Table.from_batches(held).combine_chunks()
+        starts = run_starts([batch.column(k).to_numpy() for k in keys])
+        head, last = int(starts[1]), int(starts[-2])
+        begins = bool(held) and all(held[-1].column(k)[-1] == batch.column(k)[0] for k in keys)
+        if not begins and held:
+            yield _joined(held, keys)
+            held = []
+        if last == 0:  # one run
+            held.append(batch)
+            continue
+        held.append(batch.slice(0, head if begins else last))
+        yield _joined(held, keys)
+        if begins and last > head:
+            yield _joined([batch.slice(head, last - head)], keys)
+        held = [batch.slice(last)]
+    if held:
+        yield _joined(held, keys)
+
+
+def _joined(held: list[pa.RecordBatch], keys: list[str]) -> tuple[pa.Table, np.ndarray]:
+    table = pa.Table.from_batches(held).combine_chunks()
+    return table, run_starts([table.column(k).to_numpy() for k in keys])
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each run of equal keys, from batches in order of them; rows alone in their run are left out."""
+    for table, starts in whole_runs(batches, keys):
+        for start, end in zip(starts, starts[1:], strict=False):
+            if end - start > 1:
+                yield table.slice(start, end - start).combine_chunks()
