@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import join_skewed, save
 from .components import components
 from .grouped import in_blocks, runs
 
@@ -21,6 +21,8 @@ WORDS = 5
 TOKENS, TREES, ROOTS, DEPTH = 128, 6, 2, 4
 #: Nodes of at most SMALL documents are compared pair by pair at once; larger ones branch while they exceed LARGE.
 SMALL, LARGE, BLOCK = 16, 256, 1024
+#: Nodes above BLOCK whose members aren't of one component branch on, by two tokens each time.
+LEVELS, CHILDREN = 4, 2
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,12 +117,12 @@ def _paths(reps: DataFrame) -> DataFrame:
 
 
 def _leaves(paths: DataFrame) -> DataFrame:
-    """(node, rep) for each path's leaf: the first node of at most LARGE documents, or the deepest; none alone."""
-    found, rest = [], paths
+    """(node, rep, n) for each path's leaf: the first node of at most LARGE documents, or the deepest; none alone."""
+    found, rest = [], save(paths)
     for depth in range(DEPTH):
         key = f"p{depth}"
-        sizes = rest.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed(key, "_node")
-        here = save(rest.join(sizes, rest[key] == sizes["_node"]).drop("_node"))
+        sizes = save(rest.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"))
+        here = save(join_skewed(rest, sizes, [key], "n", "rep"))
         last = depth == DEPTH - 1
         found.append((here if last else here.where(F.col("n") <= LARGE)).select(F.col(key).alias("node"), "rep", "n"))
         if last:
@@ -132,22 +134,31 @@ def _leaves(paths: DataFrame) -> DataFrame:
     for more in found[1:]:
         out = out.union(more)
     # nodes with the same members need one visit
-    same = out.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who")).groupBy("n", "who").agg(F.min("node").alias("_node"))
-    return save(out.join(same.select("_node"), out["node"] == same["_node"]).select("node", "rep", "n"))
+    same = out.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who")).groupBy("n", "who").agg(F.min("node").alias("node"))
+    return save(join_skewed(out.drop("n"), save(same.select("node", "n")), ["node"], "n", "rep"))
 
 
-def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """The pairs whose minwise tokens agree often enough."""
+def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of minwise tokens in which two signatures agree."""
+    x, y = (np.frombuffer(b"".join(c), dtype=np.uint32).reshape(-1, TOKENS) for c in (a, b))
+    return pd.Series((x == y).mean(1))
 
-    @F.pandas_udf("double")
-    def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-        x = np.frombuffer(b"".join(a), dtype=np.uint32).reshape(-1, TOKENS)
-        y = np.frombuffer(b"".join(b), dtype=np.uint32).reshape(-1, TOKENS)
-        return pd.Series((x == y).mean(1))
 
-    left = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
-    right = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").where(agreement("sa", "sb") >= least).select("a", "b")
+def _alike(small: DataFrame, large: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of small nodes, and of large nodes' members with two pivots, whose minwise tokens agree often enough.
+
+    A pivot's tokens travel with its node, so a pivot of very many members is no one task's key.
+    """
+    agreement = F.pandas_udf(_agreement, "double")
+    other = small.select("node", F.col("rep").alias("b"))
+    pairs = small.select("node", F.col("rep").alias("a")).join(other, "node").where("a < b").select("a", "b").distinct()
+    of = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
+    near = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(of, "b")
+    pivots = large.groupBy("node").agg(F.count("*").alias("n"), F.array_distinct(F.array(F.min("rep"), F.min_by("rep", F.xxhash64("rep")))).alias("p"))
+    pivots = pivots.select("node", "n", F.explode("p").alias("b")).join(of, "b").groupBy("node", "n").agg(F.collect_list(F.struct("b", "sb")).alias("p"))
+    members = large.select("node", F.col("rep").alias("a")).join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
+    to_pivot = join_skewed(members, save(pivots), ["node"], "n", "a").select("a", "sa", F.explode("p").alias("p")).select("a", "sa", "p.*").where("a <> b")
+    return near.select("a", "b", "sa", "sb").unionByName(to_pivot).where(agreement("sa", "sb") >= least).select("a", "b").distinct()
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -166,10 +177,46 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(a, b, strict=True)], dtype=bool)
 
+    met = pairs.groupBy("b").agg(F.count("*").alias("n"))
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")).join(met, "b")
     fits = (F.least(F.length("sa"), F.length("sb")) * 100) >= F.greatest(F.length("sa"), F.length("sb")) * percent
-    return pairs.join(left, "a").join(right, "b").where(fits).where(linked("sa", "sb")).select("a", "b")
+    return join_skewed(pairs.join(left, "a"), right, ["b"], "n", "a").where(fits).where(linked("sa", "sb")).select("a", "b")
+
+
+def _divided(rows: DataFrame) -> DataFrame:
+    """(node, rep, root, sig, n) with nodes of more than BLOCK members divided by further tokens.
+
+    Each node's members go to CHILDREN nodes at a time, by tokens that the node's name chooses, so a pair that
+    agrees in more than half its tokens is likely to stay together somewhere however deep it goes.
+    Nodes of one component are left out; what is still large after LEVELS is compared as it is.
+    """
+
+    def branched(level: int):
+        def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, TOKENS).astype(np.uint64)
+                parent = batch.column("node").to_numpy().view(np.uint64)
+                for k in range(CHILDREN):
+                    name = _mixed(parent + np.uint64((DEPTH + level) * CHILDREN + k + 1))
+                    chosen = (name % np.uint64(TOKENS - TREES * ROOTS)).astype(np.int64) + TREES * ROOTS
+                    node = _mixed(name + sig[np.arange(len(sig)), chosen] * _GOLD)
+                    yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *(batch.column(c) for c in ("rep", "root", "sig"))], ["node", "rep", "root", "sig"])
+
+        return children
+
+    done = []
+    for level in range(LEVELS):
+        large = rows.where(F.col("n") > BLOCK)
+        if large.isEmpty():
+            break
+        done.append(rows.where(F.col("n") <= BLOCK))
+        made = save(large.select("node", "rep", "root", "sig").mapInArrow(branched(level), "node long, rep long, root long, sig binary"))
+        mixed = made.groupBy("node").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("node", "n")
+        rows = save(join_skewed(made, save(mixed), ["node"], "n", "rep"))
+    for part in done:
+        rows = rows.unionByName(part)
+    return rows
 
 
 def _across(leaves: DataFrame, roots: DataFrame, sigs: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
@@ -179,9 +226,9 @@ def _across(leaves: DataFrame, roots: DataFrame, sigs: DataFrame, sets: DataFram
     their sets are fetched for the second, which confirms links and gives no more of them than it
     takes to join the members of a block.
     """
-    known = leaves.where(F.col("n") > SMALL).join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = known.groupBy("node").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select(F.col("node").alias("_node"))
-    rows = known.join(mixed, known["node"] == mixed["_node"]).select("node", "rep", "n", "root").join(sigs, "rep")
+    known = save(leaves.where(F.col("n") > SMALL).select("node", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")))
+    mixed = known.groupBy("node").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("node", "n")
+    rows = _divided(save(join_skewed(known, save(mixed), ["node"], "n", "rep").join(sigs, "rep")))
 
     def close(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
         """(member, the members after it that are close and of another component), by position."""
@@ -240,7 +287,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     by a further token, up to four levels. A pair at 0.85 shares one of the twelve starts with
     probability 1 - 0.15 ** 12, and one of their deepest nodes with 0.999. Nodes of up to SMALL classes
     are compared exhaustively. In larger ones every class is first compared with two pivots; what
-    isn't of one component then is compared exhaustively too, in blocks, however large the node.
+    isn't of one component then branches on while it exceeds BLOCK, by two tokens a level (a pair
+    at 0.85 then shares a leaf with 0.9997), and is compared exhaustively, in blocks, however large it stays.
     Comparisons estimate by the tokens, with a margin of four deviations, and full sets confirm.
 
     Returns doc_id, n_shingles, component_id (the smallest id reached), kept (doc_id = component_id). Words
@@ -250,18 +298,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     another text count as texts of one document. Other columns are not read.
     """
     least = percent / 100 - 4 * math.sqrt(percent / 100 * (1 - percent / 100) / TOKENS)
-    rows = save(_sketches(docs, id_col, text_col))
-    classes = save(rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    rows = save(_sketches(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()))
+    classes = save(rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
     sigs = classes.where("rep IS NOT NULL").select("rep", "sig")
     leaves = _leaves(_paths(sigs))
 
     small = leaves.where(F.col("n") <= SMALL)
     large = leaves.where(F.col("n") > SMALL)
-    other = small.select(F.col("node"), F.col("rep").alias("b"))
-    pairs = small.select("node", F.col("rep").alias("a")).join(other, "node").where("a < b").select("a", "b")
-    pivots = large.groupBy("node").agg(F.min("rep").alias("p"), F.min_by("rep", F.xxhash64("rep")).alias("q"))
-    to_pivot = large.join(pivots, "node").select("rep", F.explode(F.array("p", "q")).alias("p")).where("rep <> p")
-    first = save(_alike(pairs.union(to_pivot.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))).distinct(), sigs, least))
+    first = save(_alike(small, large, sigs, least))
 
     # full sets of the classes that may be linked; these ids grow with the corpus, so they are never broadcast
     wanted = first.select(F.col("a").alias("rep")).union(first.select("b")).union(large.select("rep")).distinct()
@@ -281,7 +325,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     if not more.isEmpty():
         roots = components(links.union(more))
 
-    by_class = classes.select("d1", "d2", "rep").join(roots, F.col("rep") == F.col("id"), "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
-    joined = rows.drop("sig").join(by_class, ["d1", "d2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    by_class = save(classes.join(roots, F.col("rep") == F.col("id"), "left").select("d1", "d2", "copies", F.coalesce("root", "rep").alias("root")))
+    worded = join_skewed(rows.where("n_shingles > 0").drop("sig"), by_class, ["d1", "d2"], "copies", "_row").select("doc_id", "n_shingles", "root")
+    joined = worded.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("root")))
+    return joined.select("doc_id", "n_shingles", F.col("root").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("root")).alias("kept"))
