@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import join_skewed, save
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -21,12 +24,12 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TERM = re.compile(r"\w{3,}")
-#: Terms on either side of a span that contexts() lists, and how far they are looked for.
-NEAR, REACH = 8, 160
 #: Share of an entity's information that a term may give away before it is generalised, or removed.
 GENERALISE, REMOVE = 0.75, 0.9
 #: Different texts in which term and entity must stand together; one meeting is no evidence.
 SUPPORT = 2
+#: Bits of the filter that keeps terms beside no entity out of the term count, whatever the corpus; 8 MB.
+BITS = 1 << 26
 
 Span = tuple[int, int]
 
@@ -84,34 +87,31 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else value if kind == 'ip' else re.sub('[^0-9]', '', value)}"
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the terms near each span that lie outside all spans."""
-    out = []
-    covered = sorted((s, e) for _, s, e in spans)
-    for kind, start, end in spans:
-        low, high = max(0, start - REACH), min(len(text), end + REACH)
-        before = [m.span() for m in TERM.finditer(text, low, start) if m.start() > low or low == 0][-NEAR:]
-        after = [m.span() for m in TERM.finditer(text, end, high) if m.end() < high or high == len(text)][:NEAR]
-        for s, e in before + after:
-            inside = any(a < e and s < b for a, b in covered) if len(covered) < 8 else _overlaps(covered, s, e)
-            if not inside:
-                out.append((entity(kind, text[start:end]), text[s:e].lower(), s, e))
-    return out
-
-
-def _overlaps(covered: list[Span], s: int, e: int) -> bool:
-    from bisect import bisect_left
-
-    # spans of different kinds may overlap each other, but each kind's are in order: look at a few
-    i = bisect_left(covered, (e, e))
-    return any(a < e and s < b for a, b in covered[max(0, i - 8) : i])
+def merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """(starts, ends) of the disjoint stretches that the spans cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted((s, e) for _, s, e in spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
 
 
 def occurrences(text: str, spans: list[tuple[str, int, int]], actions: dict[str, str]) -> list[tuple[str, int, int]]:
     """(action, start, end) of every place outside all spans where the text has one of the terms."""
-    covered = sorted((s, e) for _, s, e in spans)
-    found = ((m[0].lower(), *m.span()) for m in TERM.finditer(text))
-    return [(actions[term], s, e) for term, s, e in found if term in actions and not _overlaps(covered, s, e)]
+    out = []
+    starts, ends = merged(spans)
+    for m in TERM.finditer(text) if actions else ():
+        action = actions.get(m[0].lower())
+        if action:
+            s, e = m.span()
+            i = bisect_right(ends, s)  # the first stretch that ends after s
+            if i == len(ends) or starts[i] >= e:
+                out.append((action, s, e))
+    return out
 
 
 def written(spans: list[tuple[str, int, int]]) -> str:
@@ -149,55 +149,74 @@ def terms_of(text: str) -> set[str]:
     return {t.lower() for t in set(TERM.findall(text))}
 
 
-def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, in_rows): rows whose text has the term, over all rows; counted per batch, then added up."""
+def _filter_of(terms: DataFrame) -> np.ndarray:
+    """A bit for each hash that a term may have, modulo BITS; at most BITS / 64 words come to the driver."""
+    bit = F.pmod(F.xxhash64("term"), F.lit(BITS))
+    words = terms.select(bit.alias("bit")).distinct().groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits"))
+    out = np.zeros(BITS // 64, dtype=np.int64)
+    for batch in words.toArrow().to_batches():
+        out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def term_counts(docs: DataFrame, wanted: DataFrame | None = None, text_col: str = "text") -> DataFrame:
+    """(term, in_rows): rows whose text has the term, over all rows; counted per batch, then added up.
+
+    With `wanted` (term), terms that it surely lacks are left out before the shuffle; a few others stay in.
+    """
+    held = None if wanted is None else docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
                 counts.update(terms_of(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+            terms = list(counts)
+            if held is not None:
+                at = np.fromiter((xxhash.xxh64_intdigest(t.encode(), 42) for t in terms), np.uint64, len(terms)).view(np.int64) % BITS
+                there = held.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+                terms = [terms[k] for k in np.flatnonzero(there)]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[t] for t in terms], pa.int64())], ["term", "n"])
 
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
     return rows.mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("in_rows"))
 
 
-def disclosing_terms(scan: DataFrame, terms: DataFrame, n_rows: int, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, disclosure, action): how much of an entity's information a term in its rows gives away.
+def disclosing_terms(scan: DataFrame, docs: DataFrame, n_rows: int, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT, text_col: str = "text") -> DataFrame:
+    """(entity, n_entity, term, disclosure, action): how much of an entity's information a term in its rows gives away.
 
     disclosure = PMI(term; entity) / information of the entity
                = log2(n * n_both / (n_term * n_entity)) / log2(n / n_entity), counted over rows.
     It is 1 when the term appears nowhere without the entity. Pairs that fewer than `support`
     different texts show together are left alone. Copies of a text are listed once, with their number,
-    and only under the entities that enough texts hold.
+    and only under the entities that enough texts hold; terms are then counted in all of docs.
     """
     texts = scan.where(F.col("private").isNotNull()).groupBy("private").agg(F.count("*").alias("n"), F.first("entities").alias("entities"))
     texts = save(texts.withColumn("_at", F.monotonically_increasing_id()))
     held = texts.select("_at", "n", F.explode("entities").alias("entity"))
-    entities = held.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")).where(F.col("texts") >= support).select("entity", "n_entity")
-    own = held.join(entities, "entity").groupBy("_at").agg(F.collect_list("entity").alias("own"))
+    entities = save(held.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")).where(F.col("texts") >= support))
+    own = join_skewed(held, entities, ["entity"], "texts", "_at").groupBy("_at").agg(F.collect_list(F.struct("entity", "n_entity")).alias("own"))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted(terms_of(t)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["own", "n", "terms"])
 
-    rows = texts.join(own, "_at").select("own", "n", "private").mapInArrow(listed, "own array<string>, n long, terms array<string>")
-    each = rows.select("n", "terms", F.explode("own").alias("entity")).select("entity", "n", F.explode("terms").alias("term"))
-    both = each.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
-    scored = both.where(F.col("texts") >= support).join(entities, "entity").join(terms, "term")
+    rows = texts.join(own, "_at").select("own", "n", "private").mapInArrow(listed, "own array<struct<entity:string,n_entity:long>>, n long, terms array<string>")
+    each = rows.select("n", "terms", F.explode("own").alias("of")).select("of.*", "n", F.explode("terms").alias("term"))
+    both = save(each.groupBy("entity", "term").agg(F.max("n_entity").alias("n_entity"), F.sum("n").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= support))
+    scored = both.join(term_counts(docs, both.select("term"), text_col), "term")
     pmi = F.log2(F.lit(float(n_rows)) * F.col("n_both") / (F.col("in_rows") * F.col("n_entity")))
     information = F.log2(F.lit(float(n_rows)) / F.col("n_entity"))
     scored = scored.withColumn("disclosure", F.when(information > 0, pmi / information).otherwise(F.lit(0.0)))
     action = F.when(F.col("disclosure") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
-    return scored.where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure", action.alias("action"))
+    return save(scored.where(F.col("disclosure") >= generalise).select("entity", "n_entity", "term", "disclosure", action.alias("action")))
 
 
 def _actions(scan: DataFrame, row: str, flagged: DataFrame) -> DataFrame:
     """(row, actions): the terms that disclose an entity of the row, with what to do about each."""
-    by_entity = flagged.groupBy("entity").agg(F.collect_list(F.struct("term", "action")).alias("actions"))
-    rows = scan.select(row, F.explode("entities").alias("entity")).join(by_entity, "entity")
+    by_entity = flagged.groupBy("entity").agg(F.max("n_entity").alias("n"), F.collect_list(F.struct("term", "action")).alias("actions"))
+    rows = join_skewed(scan.select(row, F.explode("entities").alias("entity")), save(by_entity), ["entity"], "n", row)
     return rows.groupBy(row).agg(F.flatten(F.collect_list("actions")).alias("actions"))
 
 
@@ -235,7 +254,7 @@ def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, remove:
     table gives an empty result.
     """
     scan = save(_scan(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()))
-    rows = _with_terms(scan, disclosing_terms(scan, term_counts(docs, text_col), scan.count(), generalise, remove, support))
+    rows = _with_terms(scan, disclosing_terms(scan, docs, scan.count(), generalise, remove, support, text_col))
     spans = F.concat_ws(",", *[F.when(F.col(c) != "", F.col(c)) for c in ("base", "terms")])
     return rows.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans"))
 
@@ -279,7 +298,7 @@ def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
 
     private = save(inner.mapInArrow(parted(True), schema).withColumn("_row", F.monotonically_increasing_id()))
     scan = save(_scan(private, "_row", text).withColumnRenamed("doc_id", "_row"))
-    flagged = disclosing_terms(scan, term_counts(docs, text_col), docs.count(), generalise, remove, support)
+    flagged = disclosing_terms(scan, docs, docs.count(), generalise, remove, support, text_col)
     joined = private.join(_actions(scan, "_row", flagged), "_row", "left").select(*inner.columns, "actions")
     at = schema.names.index(text)
 
