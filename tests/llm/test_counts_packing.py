@@ -44,6 +44,30 @@ def test_every_prefix_equals_the_library(counter):
         assert counter.count(t) == table[-1]
 
 
+def test_special_strings_after_marks_and_long_blanks(counter):
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in ("a!!<|endoftext|>!b", "x  <|endoftext|>  y", " " * 300 + "x" + "\n" * 90 + " y"):
+        assert counter.prefix_counts(t).tolist() == [len(lib.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)], t
+    import time
+
+    start = time.time()
+    counter.prefix_counts(" " * 60_000 + "x")
+    assert time.time() - start < 20
+
+
+def test_fitting_characters_against_the_library(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    rng = random.Random(12)
+    parts = ["the", "ing", " ", "  ", "\n", "'s", "'re", "é", "9", "!!", "tion", "<|endoftext|>", "   "]
+    texts = [t for t in ODD if t is None or len(t) < 200] + ["".join(rng.choice(parts) for _ in range(60)) for _ in range(60)]
+    for limit in (0, 5, 17):
+        got = {r["doc_id"]: r for r in token_counts.count_tokens(docs(spark, texts), path, limit).collect()}
+        for i, t in enumerate(texts):
+            counts = [len(lib.encode((t or "")[:k], add_special_tokens=False).ids) for k in range(len(t or "") + 1)]
+            assert got[i]["fitting_chars"] == max(k for k, c in enumerate(counts) if c <= limit), (limit, t)
+
+
 def test_prefix_table(spark):
     rows = token_counts.prefix_table(docs(spark, ["a b", None]), public_tokenizers.path("byte_bpe_50k.json")).collect()
     assert sorted((r["doc_id"], r["counts"]) for r in rows) == [(0, [0, 1, 2, 2]), (1, [0])]
@@ -57,22 +81,37 @@ def test_feistel_is_a_bijection_with_inverse():
     assert sharding.row_at(*sharding.place(77, 1000, 40, 5), 1000, 40, 5) == 77
 
 
+def brute_place(row, n, shards, seed):
+    """Shard and slot of a row number: six Feistel rounds in whole numbers, again until the value is below n."""
+    keys = np.random.default_rng(seed).integers(1, 2**31 - 1, size=(6, 2)).tolist()
+    width = max(1, (max(n, 2) - 1).bit_length())
+    half = -(-width // 2)
+    x = row
+    while True:
+        left, right = divmod(x, 2**half)
+        for a, b in keys:
+            f = (right * a + b) % (2**31 - 1)
+            left, right = right, left ^ ((f ^ (f >> 13)) % 2**half)
+        x = left * 2**half + right
+        if x < n:
+            return x % shards, x // shards
+
+
 def test_sharding(spark):
     texts = [None, "", "x", "x", "é"] * 41
     df = docs(spark, texts).union(docs(spark, ["x", "x"])).selectExpr("*", "1 AS shard", "2 AS slot", "3 AS _part")
+    df = df.unionByName(df.limit(1).selectExpr("CAST(NULL AS long) AS doc_id", "'z' AS text", "source", "1 AS shard", "2 AS slot", "3 AS _part"))
     rows = sharding.shard_documents(df).collect()
-    assert len(rows) == 207
+    table = [*enumerate(texts), (0, "x"), (1, "x"), (None, "z")]
+    order = sorted(((i is not None, i or 0), zlib.crc32((t or "").encode()), 16 + len((t or "").encode())) for i, t in table)
+    want = sorted((k[1] if k[0] else -1, size, crc, *brute_place(row, len(table), 40, 20)) for row, (k, crc, size) in enumerate(order))
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in rows) == want
     by = {}
     for r in rows:
-        t = ("x" if False else None) if r["doc_id"] > 1 else None
         by.setdefault(r["shard"], []).append(r["slot"])
-        assert (r["shard"], r["slot"]) == sharding.place(r["row_number"], 207, 40, 20)
         assert r["grown_shard"] is None and r["law"] == "rows"
     assert all(sorted(s) == list(range(len(s))) for s in by.values()) and len(by) == 40
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
-    got = sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in rows)
-    want = sorted((i, 16 + len((t or "").encode()), zlib.crc32((t or "").encode())) for i, t in [*enumerate(texts), (0, "x"), (1, "x")])
-    assert got == want
     assert sharding.shard_documents(df.limit(0)).count() == 0
 
 

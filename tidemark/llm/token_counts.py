@@ -163,20 +163,24 @@ class PrefixCounter:
         Chunks before the last are final. Inside one, a piece's own table answers; a prefix that
         ends in white space has the run of white space as one piece, and a contraction that is
         still incomplete stands apart from its apostrophe. Inside a special string the letters
-        so far are ordinary text.
+        so far are ordinary text and go with the plain text before.
         """
         out = np.zeros(len(text) + 1, dtype=np.int64)
         base = at = 0
+        plain, plain_base = 0, 0  # where the plain text that ends here began, and the tokens before it
         for special, part in self.segments(text):
             if special:
+                head = text[plain:at]
                 for k in range(1, len(part)):
-                    out[at + k] = base + self.count_plain(part[:k])
+                    out[at + k] = plain_base + self.count_plain(head + part[:k])
                 base += 1
                 at += len(part)
                 out[at] = base
+                plain, plain_base = at, base
                 continue
             start, inside = at, base
-            run, run_base = at, base  # where the white space that ends here began, and the tokens before it
+            run, run_base, run_table = at, base, [0]  # where the white space that ends here began, the tokens before it, its own table
+            run_bytes = 0
             for chunk in self.chunk.findall(part):
                 before, where = inside, start
                 for piece in self.pieces(chunk):
@@ -193,8 +197,10 @@ class PrefixCounter:
                     if not self.blank.match(text[k]):
                         break
                     if k == at or not self.blank.match(text[k - 1]):
-                        run, run_base = k, out[k] if k > at else base
-                    out[k + 1] = run_base + self.piece_counts(text[run : k + 1].encode())[-1]
+                        run, run_base, run_bytes = k, out[k] if k > at else base, 0
+                        run_table = self.piece_counts(self.blank.match(text, k, at + len(part))[0].encode())
+                    run_bytes += len(text[k].encode())
+                    out[k + 1] = run_base + run_table[run_bytes]
                 inside, start = before, start + len(chunk)
             base, at = inside, at + len(part)
         return out
@@ -211,23 +217,45 @@ def truncation(prefix_counts: np.ndarray, budget: int) -> int:
     return int(np.flatnonzero(prefix_counts <= budget)[-1])
 
 
+def fitting(counter: PrefixCounter, text: str, limit: int, ends: np.ndarray, counts: np.ndarray) -> int:
+    """truncation() for a budget without counting anew: from the table at chunk ends, and prefix_counts() of the one chunk it leaves open."""
+    if counts[-1] <= limit:
+        return len(text)
+    k = int(np.searchsorted(counts, limit, "right"))  # the chunk in which the budget runs out ends at ends[k]
+    base = k - 1
+    if base and text[ends[base] : ends[k]] in counter.specials:
+        base -= 1  # the beginning of a special string goes with the chunk before it
+    while base and counter.blank.match(text[ends[base] - 1]):
+        base -= 1
+    inside = counter.prefix_counts(text[ends[base] : ends[k]])
+    return int(ends[base]) + truncation(inside, limit - int(counts[base]))
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of every whole text.
+    """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) and fitting_chars of every whole text.
 
-    A null or empty text has 0 bytes and tokens. Each row is counted by itself; no shuffle, and a
-    task keeps one batch and its caches. Other columns are not read.
+    fitting_chars is how many code points of the text stay within the limit, read off the table of
+    prefixes that gives n_tokens. A null or empty text has 0 bytes, tokens and characters. Each row
+    is counted by itself; no shuffle, and a task keeps one batch and its caches. Other columns are not read.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PrefixCounter(tokenizer_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            n = [counter.count(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            n, fits = [], []
+            for text in batch.column(1).to_pylist():
+                ends, counts = counter.boundaries(text or "")
+                n.append(int(counts[-1]))
+                fits.append(fitting(counter, text or "", limit, ends, counts))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(fits, pa.int64())],
+                ["doc_id", "n_bytes", "n_tokens", "over_limit", "fitting_chars"],
+            )
 
     id_type = docs.schema[id_col].dataType.simpleString()
     n_bytes = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), n_bytes.alias("n_bytes")).mapInArrow(counted, f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
+    schema = f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean, fitting_chars long"
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), n_bytes.alias("n_bytes")).mapInArrow(counted, schema)
 
 
 def prefix_table(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
