@@ -11,22 +11,22 @@ from tidemark.operators.asof import last_state
 from tidemark.sources import raw
 from tidemark.streaming import live
 
-PLAN = """<timetable station="Hub"><s id="-771222-2609231800-1"><tl f="N" t="p" o="X" c="RE" n="5"/>
-<ar pt="2609241012" pp="3" l="RE1" ppth="A|B"/><dp pt="2609241015" pp="3" l="RE1" ppth="C|D"/></s>
-<s id="12-2609231900-2"><dp pt="2609241025" tra="9-2609240000-1"/></s></timetable>"""
-CHANGE = """<timetable station="Hub"><s id="1-2609231800-1"><m t="h" c="7"/><ar ct="2609241020"><m t="d" c="43"/><m t="q"/></ar><dp cs="c" clt="2609240900"/></s>
-<s id="2-2609231800-1"><m t="c"/></s></timetable>"""
+PLAN = """<timetable station="Hub"><s id="-40-2503110455-2"><tl f="F" t="p" o="Y" c="IC" n="77"/>
+<ar pt="2503110640" pp="9" l="IC7" ppth="M|N"/><dp pt="2503110648" pp="9" l="IC7" ppth="O"/></s>
+<s id="31-2503110600-4"><dp pt="2503110705" tra="8-2503110001-3"/></s></timetable>"""
+CHANGE = """<timetable station="Hub"><s id="6-2503110500-1"><m t="u" c="3"/><ar ct="2503110651"><m t="d" c="12"/><m t="r"/></ar><dp cs="c" clt="2503110630"/></s>
+<s id="7-2503110500-1"><m t="x"/></s></timetable>"""
 
 
 @pytest.fixture
 def raw_folder(tmp_path):
-    folder = tmp_path / "raw" / "source=plan" / "date=2026-09-24" / "hour=08"
+    folder = tmp_path / "raw" / "source=plan" / "date=2025-03-11" / "hour=05"
     folder.mkdir(parents=True)
-    row = lambda body, t="2026-09-24T08:00:00Z", source="plan": json.dumps(dict(collected_at=t, source=source, eva="800", url="u", status=200, duration_ms=5, body=body))
-    lines = [row(PLAN), row(CHANGE, "2026-09-24T08:01:00Z", "fchg"), row("no xml <"), row(""), "{broken"]
+    row = lambda body, t="2025-03-11T05:00:00Z", source="plan": json.dumps(dict(collected_at=t, source=source, eva="800", url="u", status=200, duration_ms=5, body=body))
+    lines = [row(PLAN), row(CHANGE, "2025-03-11T05:03:00Z", "fchg"), row("no xml <"), row(""), "{broken"]
     with gzip.open(folder / "part.jsonl.gz", "wt") as f:
         f.write("\n".join(lines))
-    (folder / "other.json.gz").write_bytes(gzip.compress(row(PLAN, "2026-09-25T08:00:00Z").encode()))
+    (folder / "other.json.gz").write_bytes(gzip.compress(row(PLAN, "2025-03-12T05:00:00Z").encode()))
     return str(tmp_path / "raw")
 
 
@@ -34,12 +34,12 @@ def test_parse(spark, raw_folder):
     rows = raw.parse_responses(raw.read_raw(spark, raw_folder)).collect()
     assert len(rows) == 3 + 3 + 3
     by = {(r["stop_id"], r["event"], str(r["collected_at"])[:10]): r for r in rows}
-    a = by["-771222-2609231800-1", "ar", "2026-09-24"]
-    assert (a["trip_key"], a["tl_category"], a["line"], a["ppth"], a["pt"], a["station_name"]) == ("-771222-2609231800", "RE", "RE1", "A|B", datetime(2026, 9, 24, 8, 12), "Hub")
-    b = by["1-2609231800-1", "ar", "2026-09-24"]
-    assert (b["event_msgs"], b["stop_msgs"], b["ct"], b["pt"]) == ("d:43|q:", "h:7", datetime(2026, 9, 24, 8, 20), None)
-    assert by["1-2609231800-1", "dp", "2026-09-24"]["cs"] == "c" and by["12-2609231900-2", "dp", "2026-09-24"]["tra"] == "9-2609240000-1"
-    assert by["2-2609231800-1", "s", "2026-09-24"]["stop_msgs"] == "c:"
+    a = by["-40-2503110455-2", "ar", "2025-03-11"]
+    assert (a["trip_key"], a["tl_category"], a["line"], a["ppth"], a["pt"], a["station_name"]) == ("-40-2503110455", "IC", "IC7", "M|N", datetime(2025, 3, 11, 5, 40), "Hub")
+    b = by["6-2503110500-1", "ar", "2025-03-11"]
+    assert (b["event_msgs"], b["stop_msgs"], b["ct"], b["pt"]) == ("d:12|r:", "u:3", datetime(2025, 3, 11, 5, 51), None)
+    assert by["6-2503110500-1", "dp", "2025-03-11"]["cs"] == "c" and by["31-2503110600-4", "dp", "2025-03-11"]["tra"] == "8-2503110001-3"
+    assert by["7-2503110500-1", "s", "2025-03-11"]["stop_msgs"] == "x:"
     errors = raw.parse_errors(raw.read_raw(spark, raw_folder)).first()
     assert (errors["responses"], errors["bad_lines"]) == (6, 1) and errors["parse_errors"] >= 1
 
@@ -51,7 +51,7 @@ def test_rebuild_and_pruned_read(spark, raw_folder, tmp_path):
     with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
         raw.rebuild_parsed(spark, raw_folder, out)
     assert raw.rebuild_parsed(spark, raw_folder, out, replace=True).first()["rows"] == 9
-    day = raw.read_parsed(spark, out, ["2026-09-25"])
+    day = raw.read_parsed(spark, out, ["2025-03-12"])
     assert day.count() == 3 and "PartitionFilters: [isnotnull(date" in day._jdf.queryExecution().toString()
     extra = spark.createDataFrame([("x", 1)], "stop_id string, parser_version int").withColumn("parser_version", F.col("parser_version").cast("smallint"))
     assert raw.read_parsed(spark, out, extra=extra).count() == 10
@@ -61,8 +61,12 @@ def test_rebuild_and_pruned_read(spark, raw_folder, tmp_path):
     status = {(r["source"], r["eva"]): r for r in raw.collector_status(raw.read_parsed(spark, out)).collect()}
     assert status["fchg", "800"]["cancelled"] == 1 and status["fchg", "800"]["with_ct"] == 1
     census = {(r["element"], r["attribute"], r["value"]): r["n"] for r in raw.element_census(raw.read_raw(spark, raw_folder)).collect()}
-    assert census["tl", "c", "RE"] == 2 and census["m", "t", "d"] == 1
-    assert raw.schema_census(spark, [out]).first()["rows"] == 9
+    assert census["tl", "c", "IC"] == 2 and census["m", "t", "d"] == 1
+    assert raw.schema_census(spark, [out]).agg(F.sum("rows")).first()[0] == 9
+    parsed = raw.read_parsed(spark, out)
+    w = raw.load_window(parsed.where("source = 'plan'"), parsed.where("source = 'fchg'"), F.lit(datetime(2025, 3, 11, 5, 45)), F.lit(datetime(2025, 3, 11, 9)), ["800"])
+    assert {(r["stop_id"], r["event"], r["first_seen"]) for r in w.plan.collect()} == {("-40-2503110455-2", "dp", datetime(2025, 3, 11, 5)), ("31-2503110600-4", "dp", datetime(2025, 3, 11, 5))}
+    assert w.obs.count() == 3 and w.polls.count() == 1 and w.span.first()["last"] == datetime(2025, 3, 11, 5, 3)
 
 
 def test_days_are_replaced_whole(spark, tmp_path):
@@ -98,6 +102,9 @@ def test_state_stream_equals_batch(spark, tmp_path):
     live.state_stream(rows, out, str(tmp_path / "c2"), ["k"], "t", ["v"]).awaitTermination()
     want = last_state(spark.createDataFrame([r for p in parts for r in p], schema), ["k"], "t", ["v"])
     got = spark.read.parquet(f"{out}/n=2")
+    assert len(list((tmp_path / "state").glob("n=*"))) == 2  # older snapshots are removed
+    live.state_stream(chunks(spark, tmp_path, [], schema), str(tmp_path / "kept"), str(tmp_path / "c9"), ["k"], "t", ["v"], keep="5 minutes").awaitTermination()
+    assert {r["k"] for r in spark.read.parquet(str(tmp_path / "kept" / "n=2")).collect()} == {"b"}
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
 
 
@@ -122,13 +129,10 @@ def test_grid_counts_stream(spark, tmp_path):
     assert got[T0] == (5, 2.0) and got[T0 + timedelta(minutes=5)] == (3, 6.0)
 
 
-def test_scoring_batches_and_status(spark, tmp_path):
-    seen = []
-    rows = chunks(spark, tmp_path, [[("x", T0)], [("y", T0)]], "eva string, t timestamp")
-    live.score_available(rows, str(tmp_path / "c5"), lambda batch, n: seen.extend((n, r["eva"]) for r in batch.collect())).awaitTermination()
-    assert sorted(e for _, e in seen) == ["x", "y"]
+def test_upcoming_and_status(spark):
     ages = live.age_status(spark.createDataFrame([("x", T0), ("y", T0 + timedelta(minutes=50)), ("z", None)], "eva string, t timestamp"), "eva", "t", F.lit(T0 + timedelta(minutes=57)))
     assert {r["eva"]: r["status"] for r in ages.collect()} == {"x": "error", "y": "degraded", "z": "error"}
+    assert tuple(live.overall_status(ages).first()) == (420.0, "error") and live.overall_status(ages.limit(0)).first()["status"] == "error"
     pairs = spark.createDataFrame([(i, T0 + timedelta(minutes=i)) for i in (1, 2, 65, 66)], "i int, pt_a timestamp")
     assert sorted(r["i"] for r in live.upcoming(pairs, F.lit(T0)).collect()) == [2, 65]
     asked = spark.createDataFrame([("x", T0 + timedelta(minutes=45), None, None), ("x", T0 + timedelta(minutes=46), None, None), ("x", T0, True, None), ("x", T0, False, True)], "eva string, t timestamp, a_cancelled boolean, ambiguous boolean")

@@ -1,4 +1,4 @@
-"""Queries that read whole tables, against DuckDB's SQL without their former filters."""
+"""Queries that read whole tables, against SQL that filters nothing."""
 
 import os
 

@@ -48,7 +48,8 @@ def bucket(x: Column, edges: Sequence[float]) -> Column:
 
 
 def clean_eva(eva: Column) -> Column:
-    return F.ltrim(eva.cast("string"), F.lit("0"))
+    """A station number without leading zeros."""
+    return F.regexp_replace(eva.cast("string"), "^0+", "")
 
 
 def nearest_cutoff(x: Column, cutoffs: Sequence[int]) -> Column:

@@ -82,12 +82,32 @@ def count_seen(queries: DataFrame, firsts: DataFrame, row: str, key: str, query_
 
 
 def poll_gap(rows: DataFrame, key: Sequence[str], time: str, out: str = "gap_s") -> DataFrame:
-    """Seconds since the row before of the same key; null for the first."""
-    w = Window.partitionBy(*key).orderBy(time)
-    return rows.withColumn(out, (F.unix_micros(time) - F.unix_micros(F.lag(time).over(w))) / F.lit(1e6))
+    """Seconds since the row before of the same key; null for the first.
+
+    For few keys with very many rows: windows run inside (key, hour), and the last time of the hours before, a
+    small table, answers for the first row of an hour.
+    """
+    hour = F.date_trunc("hour", F.col(time))
+    inside = Window.partitionBy(*key, "_h").orderBy(time)
+    before = Window.partitionBy(*key).orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    hourly = rows.groupBy(*key, hour.alias("_h")).agg(F.max(time).alias("_last")).withColumn("_earlier", F.max("_last").over(before)).drop("_last")
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)] + [F.col("_h").eqNullSafe(F.col("_g"))]
+    hourly = hourly.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_h").alias("_g"), "_earlier")
+    lagged = rows.withColumn("_h", hour).withColumn("_lag", F.lag(time).over(inside))
+    gap = (F.unix_micros(time) - F.unix_micros(F.coalesce("_lag", "_earlier"))) / F.lit(1e6)
+    return lagged.join(hourly, on, "left").select(*rows.columns, gap.alias(out))
 
 
 def trailing_count(rows: DataFrame, key: Sequence[str], time: str, seconds: int, out: str) -> DataFrame:
-    """Rows of the same key in the last `seconds` up to and including each row's time."""
-    w = Window.partitionBy(*key).orderBy(F.unix_micros(time)).rangeBetween(-seconds * 1_000_000, 0)
-    return rows.withColumn(out, F.count("*").over(w))
+    """Rows of the same key in the last `seconds` up to and including each row's time.
+
+    Rows are listed under their own hour and under the next ones that their time reaches into, so a key's window
+    runs inside an hour. A null time counts no row.
+    """
+    at = F.col(time)
+    mark = lambda x: F.floor(F.unix_micros(x) / F.lit(3_600_000_000).cast("decimal(20,0)")).cast("long")
+    until = F.floor((F.unix_micros(at) + seconds * 1_000_000) / F.lit(3_600_000_000).cast("decimal(20,0)")).cast("long")
+    listed = rows.withColumn("_own", mark(at)).withColumn("_h", F.explode_outer(F.sequence(F.col("_own"), until)))
+    w = Window.partitionBy(*key, "_h").orderBy(F.unix_micros(time)).rangeBetween(-seconds * 1_000_000, 0)
+    counted = listed.withColumn(out, F.count(time).over(w)).where(F.col("_own").eqNullSafe(F.col("_h")))
+    return counted.select(*rows.columns, out)

@@ -18,14 +18,20 @@ def _long(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -
     return rows.select(F.explode(F.array(*items)).alias("_x")).select("_x.*")
 
 
-def edges(rows: DataFrame, numeric: Sequence[str], bins: int = 10) -> DataFrame:
-    """(input, edges): inner quantiles of each number, each once, by linear interpolation."""
-    quantiles = F.percentile("x", F.array(*[F.lit(k / bins) for k in range(1, bins)]))
+def edges(rows: DataFrame, numeric: Sequence[str], bins: int = 10, exact: bool = False) -> DataFrame:
+    """(input, edges): inner quantiles of each number, each once.
+
+    To within a rank of 1 in 10,000, in bounded memory; `exact` ones are interpolated and keep all
+    different values of an input in one task.
+    """
+    at = [k / bins for k in range(1, bins)]
+    quantiles = F.percentile("x", F.array(*map(F.lit, at))) if exact else F.percentile_approx("x", at, 10_000)
     return _long(rows, numeric, []).where("x IS NOT NULL").groupBy("input").agg(F.array_sort(F.array_distinct(quantiles)).alias("edges"))
 
 
 def shares(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], bounds: DataFrame) -> DataFrame:
     """(input, bin, share): of numbers by how many edges are at most the value, of categories by value; missing apart."""
+    # bounds has one row for each numeric input, a fixed list
     long = _long(rows, numeric, categorical).join(F.broadcast(bounds), "input", "left")
     number = F.when(F.col("x").isNull(), F.lit(MISSING)).otherwise(F.size(F.filter(F.coalesce("edges", F.array().cast("array<double>")), lambda e: e <= F.col("x"))).cast("string"))
     counts = long.select("input", F.when(F.col("kind") == "numeric", number).otherwise(F.col("v")).alias("bin")).groupBy("input", "bin").agg(F.count("*").alias("n"))
@@ -42,9 +48,9 @@ def psi(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return value.select("input", "psi", F.when(F.col("psi") > 0.25, "large").when(F.col("psi") > 0.1, "moderate").otherwise("stable").alias("level"))
 
 
-def drift_report(training: DataFrame, live: DataFrame, numeric: Sequence[str], categorical: Sequence[str], min_rows: int = 200, skip: Sequence[str] = ()) -> DataFrame:
+def drift_report(training: DataFrame, live: DataFrame, numeric: Sequence[str], categorical: Sequence[str], min_rows: int = 200, skip: Sequence[str] = (), exact: bool = False) -> DataFrame:
     """psi() of live against training rows with a status: skipped inputs and too few live rows have no value."""
-    bounds = edges(training, numeric)
+    bounds = edges(training, numeric, exact=exact)
     value = psi(shares(training, numeric, categorical, bounds), shares(live, numeric, categorical, bounds))
     n = live.agg(F.count("*").alias("_n"))
     status = F.when(F.col("input").isin(*skip) if skip else F.lit(False), "skipped").when(F.col("_n") < min_rows, "too_few_rows").otherwise("ok")

@@ -10,16 +10,17 @@ from ..functions.trains import path
 from .asof import asof_join
 
 
-def events_on_grid(plan: DataFrame, obs: DataFrame, g_from: Column, g_to: Column, step: int = 5, back: int = 60, around: int = 30, late: float = 5.0) -> DataFrame:
+def events_on_grid(plan: DataFrame, obs: DataFrame, g_from: Column | None = None, g_to: Column | None = None, step: int = 5, back: int = 60, around: int = 30, late: float = 5.0) -> DataFrame:
     """Each planned event at each grid time that can see it, with its state then.
 
     An event is seen from `around` minutes before to max(back, around) minutes after its time, once its
-    plan is known; that is a bounded number of grid points. One as-of join gives all states.
+    plan is known; that is a bounded number of grid points, fewer with the bounds g_from and g_to. One as-of join gives all states.
     plan: eva, key, event, pt, line, first_seen. obs: key, obs, ct, cs.
     """
     low = shifted(F.col("pt"), -around)
-    first = F.greatest(ceil_to(low, step), floor_to(g_from, step))
-    last = F.least(floor_to(shifted(F.col("pt"), max(back, around)), step), floor_to(g_to, step))
+    first, last = ceil_to(low, step), floor_to(shifted(F.col("pt"), max(back, around)), step)
+    first = first if g_from is None else F.greatest(first, floor_to(g_from, step))
+    last = last if g_to is None else F.least(last, floor_to(g_to, step))
     span = F.sequence(F.unix_micros(first), F.unix_micros(last), F.lit(step * 60_000_000).cast("long"))
     seen = plan.where(first <= last).withColumn("_g", F.explode(span)).withColumn("g", F.timestamp_micros("_g")).drop("_g").where("first_seen <= g")
     state = asof_join(seen, obs.select("key", "obs", "ct", "cs"), ["key"], "g", "obs", ["ct", "cs"], tie=["ct", "cs"])
@@ -56,7 +57,7 @@ def with_corridor(rows: DataFrame, feeders: DataFrame, hubs: DataFrame, lines: D
     feeders: name, eva (a small dimension). Rows without a feeder on the path have nulls.
     """
     on = rows.where(known).select(F.col(row).alias("_row"), floor_to(F.col("t_cut"), step).alias("_g"), F.col("line_a").alias("_line"), F.explode(path(F.col(path_col))).alias("name"))
-    at = on.join(F.broadcast(feeders.select("name", F.col("eva").alias("_e"))), "name")
+    at = on.join(feeders.select("name", F.col("eva").alias("_e")), "name")
     h = hubs.select(F.col("eva").alias("_he"), F.col("g").alias("_hg"), "hub_mean_delay")
     n = lines.select(F.col("eva").alias("_le"), F.col("g").alias("_lg"), F.col("line").alias("_ll"), "line_recent_delay_a")
     at = at.join(h, (F.col("_e") == F.col("_he")) & (F.col("_g") == F.col("_hg")), "left").join(n, (F.col("_e") == F.col("_le")) & (F.col("_g") == F.col("_lg")) & (F.col("_line") == F.col("_ll")), "left")

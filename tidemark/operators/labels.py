@@ -15,10 +15,11 @@ from .metrics import auc
 EXCLUSIONS = ("not_known_at_cutoff", "collector_gap", "a_cancelled_at_cutoff", "unobserved", "stale_label", "dst_ambiguous")
 #: Use of each column of the training table; every column has one.
 USAGE = {
-    "key": ("service_day", "cutoff_min", "t_cut", "eva", "stop_id_a", "stop_id_b"),
-    "feature": ("planned_slack_min", "db_delay_a_min", "db_delay_b_min", "db_slack_min", "b_cancel_known"),
-    "label": ("label_fail", "fail_reason", "delay_a_final_min", "delay_b_final_min", "real_slack_min"),
-    "state": ("a_ct_cut", "a_cs_cut", "a_obs_cut", "b_ct_cut", "b_cs_cut", "b_obs_cut", "collector_age_min"),
+    "key": ("service_day", "cutoff_min", "t_cut", "eva", "hub", "stop_id_a", "stop_id_b", "trip_a", "trip_b", "key_a", "key_b"),
+    "feature": ("planned_slack_min", "db_delay_a_min", "db_delay_b_min", "db_slack_min", "b_cancel_known", "segment_a", "segment_b", "n_stations_before_a", "n_stations_after_b", "pt_a", "pt_b"),
+    "description": ("cat_a", "cat_b", "num_a", "num_b", "line_a", "line_b", "pp_a", "pp_b", "origin_a", "prev_station_a", "next_station_b", "destination_b", "path_a", "path_b"),
+    "label": ("label_fail", "fail_reason", "delay_a_final_min", "delay_b_final_min", "real_slack_min", "a_obs_final", "a_ct_final", "a_cs_final", "b_obs_final", "b_ct_final", "b_cs_final", "observed", "stale"),
+    "state": ("first_seen_a", "first_seen_b", "a_ct_cut", "a_cs_cut", "a_obs_cut", "b_ct_cut", "b_cs_cut", "b_obs_cut", "collector_age_min"),
     "audit": ("exclusion_reason", "eligible"),
 }
 
@@ -62,14 +63,18 @@ def with_labels(pairs: DataFrame, obs: DataFrame, min_transfer: float = 4.0) ->
 def at_cutoffs(pairs: DataFrame, obs: DataFrame, polls: DataFrame, cutoffs: Sequence[int] = (60, 30, 10), max_gap: float = 45.0, ambiguous: Column | None = None) -> DataFrame:
     """One row per pair and cutoff with what was known then, and the first reason to exclude it.
 
-    All cutoffs of all pairs go through one as-of pass for each side. pairs: labelled, with eva and
-    first_seen_a/b. polls: eva, t.
+    All cutoffs and both sides of all pairs go through one as-of pass, which carries only their names, keys and
+    times. pairs: labelled, with eva, stop_id_a/b (which name a pair) and first_seen_a/b. polls: eva, t.
     """
     cut = F.explode(F.array(*[F.lit(c) for c in cutoffs])).alias("cutoff_min")
     rows = pairs.select("*", cut).withColumn("t_cut", shifted(F.col("pt_a"), -F.col("cutoff_min")))
-    for side in ("a", "b"):
-        facts = obs.select(F.col("key").alias(f"key_{side}"), F.col("obs").alias(f"{side}_obs_cut"), F.col("ct").alias(f"{side}_ct_cut"), F.col("cs").alias(f"{side}_cs_cut"))
-        rows = asof_join(rows, facts, [f"key_{side}"], "t_cut", f"{side}_obs_cut", [f"{side}_ct_cut", f"{side}_cs_cut"], tie=[f"{side}_ct_cut", f"{side}_cs_cut"])
+    named = ["eva", "stop_id_a", "stop_id_b", "cutoff_min"]
+    sides = F.explode(F.array(*[F.struct(F.lit(x).alias("side"), F.col(f"key_{x}").alias("_key")) for x in "ab"])).alias("_x")
+    asked = rows.select(*named, "t_cut", sides).select(*named, "t_cut", "_x.*")
+    known = asof_join(asked, obs.select(F.col("key").alias("_key"), "obs", "ct", "cs"), ["_key"], "t_cut", "obs", ["ct", "cs"], tie=["ct", "cs"])
+    at = lambda c, x: F.max(F.when(F.col("side") == x, F.col(c))).alias(f"{x}_{c}_cut")
+    states = known.groupBy(*named).agg(*[at(c, x) for x in "ab" for c in ("obs", "ct", "cs")])
+    rows = rows.join(states, named)
     rows = last_time(rows, polls, "eva", "t_cut", "t", "_poll")
     a, b = F.coalesce("a_ct_cut", "pt_a"), F.coalesce("b_ct_cut", "pt_b")
     rows = rows.select(
@@ -113,9 +118,9 @@ def exclusions(rows: DataFrame) -> DataFrame:
     return rows.groupBy("cutoff_min", F.coalesce("exclusion_reason", F.lit("none")).alias("reason")).agg(F.count("*").alias("rows"))
 
 
-def is_complete(rows: DataFrame, time: str, until: Column) -> DataFrame:
-    """One row: whether the data reach past `until`; an empty table doesn't."""
-    return rows.agg(F.coalesce(F.max(time) >= until, F.lit(False)).alias("complete"))
+def is_complete(newest: Column, end: Column, horizon_h: int = 6) -> Column:
+    """Whether the data reach `horizon_h` hours past the end of a day; without data they don't."""
+    return F.coalesce(newest >= end + F.expr(f"INTERVAL {horizon_h} HOURS"), F.lit(False))
 
 
 def usage_columns(*kinds: str) -> list[str]:

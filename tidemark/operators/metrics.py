@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 EPS = 1e-6
 #: Scores are laid out in so many value ranges before prefix sums; only the ranges' totals meet.
@@ -28,26 +26,34 @@ def logit(p: Column) -> Column:
     return F.ln(q / (1 - q))
 
 
+def _beside(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """left with the columns of right, which has one row for each value of `on`; nulls equal nulls."""
+    renamed = right.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(on)], *[c for c in right.columns if c not in on])
+    if not on:
+        return left.crossJoin(F.broadcast(renamed))
+    names = [f"_on{i}" for i in range(len(on))]
+    return left.join(renamed, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(on, names, strict=True)], how).drop(*names)
+
+
 def _by_score(rows: DataFrame, groups: Sequence[str], label: str, score: str, weight: Column | None = None) -> DataFrame:
     """(groups, score, pos, neg) with `below_pos`, `below_neg`: totals of the smaller scores of the group.
 
-    Rows collapse to one per score first. Scores are dealt to equal ranges between the group's extremes;
-    sums run inside a range, and ranges are joined with the totals of those before them.
+    Rows collapse to one per score first. Scores are dealt to ranges that hold about as many different
+    scores each; sums run inside a range, and ranges are joined with the totals of those before them.
     """
     w = F.lit(1) if weight is None else weight
     y = F.col(label).cast("int")
     counts = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*groups, F.col(score).cast("double").alias("_s")).agg(F.sum(y * w).alias("pos"), F.sum((1 - y) * w).alias("neg"))
-    ends = counts.groupBy(*groups).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
-    joined = counts.join(ends, list(groups)) if groups else counts.crossJoin(F.broadcast(ends))
-    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_s") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * RANGES), F.lit(RANGES - 1))).otherwise(F.lit(0))
-    counts = joined.withColumn("_r", part.cast("int")).drop("_lo", "_hi")
+    cuts = counts.groupBy(*groups).agg(F.percentile_approx("_s", [k / RANGES for k in range(1, RANGES)], 20 * RANGES).alias("_cuts"))
+    joined = _beside(counts, cuts, groups)
+    counts = joined.withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col("_s")))).drop("_cuts")
     inside = Window.partitionBy(*groups, "_r").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*groups).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     totals = counts.groupBy(*groups, "_r").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     totals = totals.select(*groups, "_r", zero(F.sum("_p").over(before)).alias("_bp"), zero(F.sum("_n").over(before)).alias("_bn"))
     out = counts.select("*", zero(F.sum("pos").over(inside)).alias("_ip"), zero(F.sum("neg").over(inside)).alias("_in"))
-    return out.join(totals, [*groups, "_r"]).select(*groups, F.col("_s").alias("score"), "pos", "neg", (F.col("_ip") + F.col("_bp")).alias("below_pos"), (F.col("_in") + F.col("_bn")).alias("below_neg"))
+    return _beside(out, totals, [*groups, "_r"]).select(*groups, F.col("_s").alias("score"), "pos", "neg", (F.col("_ip") + F.col("_bp")).alias("below_pos"), (F.col("_in") + F.col("_bn")).alias("below_neg"))
 
 
 def auc(rows: DataFrame, groups: Sequence[str], label: str, score: str, out: str = "auc", weight: Column | None = None) -> DataFrame:
@@ -65,24 +71,38 @@ def flag_metrics(rows: DataFrame, groups: Sequence[str], label: str, flag: str)
 
 
 def recall_at_precision(rows: DataFrame, groups: Sequence[str], label: str, score: str, target: float | str) -> DataFrame:
-    """The highest recall with a precision of at least `target`, and the highest threshold that gives it.
+    """The highest recall with a precision of at least `target`, and the lowest threshold that gives it.
 
-    `target` is a number or a column of the groups' rows.
+    `target` is a number or a column of the groups' rows. No positives, or no threshold that precise: nulls.
     """
-    t = F.lit(target) if isinstance(target, float) else F.max(target).over(Window.partitionBy(*groups))
-    if not isinstance(target, float):
-        goals = rows.groupBy(*groups).agg(F.max(target).alias("_goal"))
     s = _by_score(rows, groups, label, score)
     totals = s.groupBy(*groups).agg(F.sum("pos").alias("_all_pos"), F.sum("neg").alias("_all_neg"))
-    s = s.join(totals, list(groups)) if groups else s.crossJoin(F.broadcast(totals))
+    s = _beside(s, totals, groups)
     if isinstance(target, float):
-        s = s.withColumn("_goal", t)
+        s = s.withColumn("_goal", F.lit(target))
     else:
-        s = s.join(goals, list(groups)) if groups else s.crossJoin(F.broadcast(goals))
+        goals = rows.groupBy(*groups).agg(F.max(target).alias("_goal"))
+        s = _beside(s, goals, groups)
     tp, fp = F.col("_all_pos") - F.col("below_pos"), F.col("_all_neg") - F.col("below_neg")
-    s = s.withColumn("_p", tp / (tp + fp)).withColumn("_recall", tp / F.col("_all_pos"))
-    best = F.max(F.when((F.col("_p") >= F.col("_goal")) & (F.col("_all_pos") > 0), F.struct("_recall", "score")))
-    return s.groupBy(*groups).agg(best.alias("_m")).select(*groups, F.col("_m._recall").alias("recall"), F.col("_m.score").alias("threshold"))
+    s = s.withColumn("_p", tp / (tp + fp)).withColumn("_recall", F.try_divide(tp, F.col("_all_pos")))
+    best = F.max(F.when((F.col("_p") >= F.col("_goal")) & (F.col("_all_pos") > 0), F.struct("_recall", (-F.col("score")).alias("_low"))))
+    return s.groupBy(*groups).agg(best.alias("_m")).select(*groups, F.col("_m._recall").alias("recall"), (-F.col("_m._low")).alias("threshold"))
+
+
+def decision_layer(rows: DataFrame, groups: Sequence[str], label: str, score: str, flag: str) -> DataFrame:
+    """The threshold at which a score is as precise as a flag, and the shares of rows it then gets right and wrong.
+
+    Returns groups, precision (the flag's), threshold, recall, and the shares hit, false_alarm, missed and
+    quiet, which sum to 1. Groups in which no threshold is that precise have null shares.
+    """
+    on = list(groups)
+    rule = flag_metrics(rows, groups, label, flag).select(*on, "precision")
+    aimed = _beside(rows, rule, on)
+    at = recall_at_precision(aimed, groups, label, score, "precision")
+    cut = _beside(aimed, at, on)
+    y, f = F.col(label).cast("int") == 1, F.col(score) >= F.col("threshold")
+    share = lambda c: F.avg(F.when(F.col("threshold").isNotNull(), c.cast("double")))
+    return cut.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*on, "precision", "threshold", "recall").agg(share(f & y).alias("hit"), share(f & ~y).alias("false_alarm"), share(~f & y).alias("missed"), share(~f & ~y).alias("quiet"))
 
 
 def scores(rows: DataFrame, groups: Sequence[str], label: str, p: str) -> DataFrame:
@@ -94,16 +114,29 @@ def scores(rows: DataFrame, groups: Sequence[str], label: str, p: str) -> DataFr
         F.count("*").alias("n"), F.avg(y).alias("fail_rate"), F.avg(q).alias("mean_p"), F.when(~rule, F.avg(log_loss(y, q))).alias("log_loss"), F.avg((q - y) * (q - y)).alias("brier"), rule.alias("_rule")
     )
     area = auc(rows, groups, label, p)
-    both = point.join(area, list(groups), "left") if groups else point.crossJoin(F.broadcast(area))
+    both = _beside(point, area, groups, "left")
     return both.withColumn("auc", F.when(~F.col("_rule"), F.col("auc"))).drop("_rule")
 
 
 def metric_table(rows: DataFrame, label: str, models: Sequence[str], cutoff: str, slices: Sequence[str]) -> DataFrame:
-    """scores() of every model by cutoff, overall and for each value of each slice column, in long form."""
+    """Scores of every model by cutoff, overall and for each value of each slice column, in long form.
+
+    Rows first shrink to counts by (cutoff, slice values, label, model, prediction); only those are listed under
+    each slice, so the rows themselves are never multiplied. Columns as in scores().
+    """
+    m = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("p")) for m in models])).alias("_m")
+    y = F.col(label).cast("int")
+    counts = rows.where(y.isNotNull()).select(cutoff, y.alias("_y"), *slices, m).where("_m.p IS NOT NULL").groupBy(cutoff, *slices, "_y", "_m.model", "_m.p").agg(F.count("*").alias("_c"))
     values = [F.struct(F.lit("overall").alias("slice"), F.lit("all").alias("value")), *[F.struct(F.lit(c).alias("slice"), F.col(c).cast("string").alias("value")) for c in slices]]
-    long = rows.select(cutoff, label, *models, F.explode(F.array(*values)).alias("_x")).select(cutoff, label, *models, "_x.*")
-    wide = long.select(cutoff, label, "slice", "value", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("p")) for m in models])).alias("_m")).select(cutoff, label, "slice", "value", "_m.*")
-    return scores(wide, [cutoff, "slice", "value", "model"], label, "p")
+    long = counts.select(cutoff, "_y", "model", "p", "_c", F.explode(F.array(*values)).alias("_x")).groupBy(cutoff, "_x.slice", "_x.value", "model", "_y", "p").agg(F.sum("_c").alias("_c"))
+    groups, c, p = [cutoff, "slice", "value", "model"], F.col("_c"), F.col("p")
+    mean = lambda x: F.sum(x * c) / F.sum(c)
+    point = long.groupBy(*groups).agg(
+        F.sum(c).alias("n"), mean(F.col("_y")).alias("fail_rate"), mean(p).alias("mean_p"), mean(log_loss(F.col("_y"), p)).alias("log_loss"), mean((p - F.col("_y")) * (p - F.col("_y"))).alias("brier"), F.every(p.isin(0.0, 1.0)).alias("_rule")
+    )
+    area = auc(long, groups, "_y", "p", weight=c)
+    both = _beside(point, area, groups, "left")
+    return both.withColumn("log_loss", F.when(~F.col("_rule"), F.col("log_loss"))).withColumn("auc", F.when(~F.col("_rule"), F.col("auc"))).drop("_rule")
 
 
 def reliability(rows: DataFrame, groups: Sequence[str], label: str, p: str, bins: int = 10) -> DataFrame:
@@ -117,34 +150,51 @@ def per_day(rows: DataFrame, day: str, label: str, models: Sequence[str]) -> Dat
     return rows.groupBy(day).agg(F.count("*").alias("n"), *[F.avg(log_loss(y, F.col(m))).alias(m) for m in models])
 
 
-def draw_weights(n_days: int, draws: int, seed: int) -> list[tuple[int, int, float]]:
-    """(draw, day number, times drawn) of a bootstrap over whole days, from numpy's default generator."""
-    picks = np.random.default_rng(seed).integers(0, n_days, size=(draws, n_days))
-    return [(r, int(d), float(c)) for r, row in enumerate(picks) for d, c in zip(*np.unique(row, return_counts=True), strict=True)]
+def draw_weights(sizes: DataFrame, groups: Sequence[str], draws: int, seed: int) -> DataFrame:
+    """(groups, _draw, _d, _w): how often each draw of a bootstrap takes each of a group's days; draw -1 takes each once.
+
+    sizes: (groups, days). The i-th pick of a draw is the day numbered MD5(seed:draw:i) modulo the days, from 0, so
+    that reruns and other engines draw alike.
+    """
+    seeds = sizes.select(*groups, F.col("days"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_draw"))
+    picks = seeds.select(*groups, "days", "_draw", F.explode(F.sequence(F.lit(0), F.col("days") - 1)).alias("_i"))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "_draw", "_i")), 1, 8), 16, 10).cast("long")
+    drawn = picks.select(*groups, "_draw", (number % F.col("days")).cast("int").alias("_d")).groupBy(*groups, "_draw", "_d").agg(F.count("*").cast("double").alias("_w"))
+    once = sizes.select(*groups, F.lit(-1).alias("_draw"), F.explode(F.sequence(F.lit(0), F.col("days") - 1)).alias("_d"), F.lit(1.0).alias("_w"))
+    return once.unionByName(drawn)
 
 
-def bootstrap_gain(rows: DataFrame, day: str, label: str, model: str, base: str, draws: int = 200, auc_draws: int = 50, seed: int = 0) -> DataFrame:
+def bootstrap_gain(rows: DataFrame, day: str, label: str, model: str, base: str, draws: int = 1000, auc_draws: int = 200, seed: int = 0, groups: Sequence[str] = ()) -> DataFrame:
     """Relative log-loss and Brier gains of a model over a base, and its AUC lead, with 95 % intervals over whole days.
 
-    Rows shrink to sums per day, and for the AUC to counts per day and score; days and draws meet in a
-    small weight table. One row.
+    Rows shrink to sums per day, and for the AUC to counts per day and score; days and draws meet in a small
+    weight table. One row per group: days, rows, day_share (days on which the model's log loss is
+    lower), the three figures and their ends. Rows without label or prediction don't count.
     """
-    spark = rows.sparkSession
+    on = list(groups)
     y, m, b = F.col(label).cast("double"), F.col(model), F.col(base)
     rows = rows.where(y.isNotNull() & m.isNotNull() & b.isNotNull())
-    daily = rows.groupBy(day).agg(F.sum(log_loss(y, m)).alias("lm"), F.sum(log_loss(y, b)).alias("lb"), F.sum((m - y) * (m - y)).alias("bm"), F.sum((b - y) * (b - y)).alias("bb"))
-    days = [r[0] for r in daily.select(day).orderBy(day).collect()]
-    if not days:
-        raise ValueError("no rows to compare")
-    numbers = F.broadcast(spark.createDataFrame([(d, i) for i, d in enumerate(days)], daily.select(day).schema.add("_d", IntegerType())))
-    weights = F.broadcast(spark.createDataFrame([(-1, i, 1.0) for i in range(len(days))] + draw_weights(len(days), draws, seed), "_draw int, _d int, _w double"))
-    summed = daily.join(numbers, day).join(weights, "_d").groupBy("_draw").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in ("lm", "lb", "bm", "bb")])
-    gains = summed.select("_draw", (1 - F.col("lm") / F.col("lb")).alias("log_loss_gain"), (1 - F.col("bm") / F.col("bb")).alias("brier_gain"))
-    scored = rows.select(day, F.col(label).cast("int").alias("_y"), F.explode(F.array(F.struct(F.lit(1).alias("sign"), m.alias("p")), F.struct(F.lit(-1).alias("sign"), b.alias("p")))).alias("_x")).groupBy(day, "_y", "_x.sign", "_x.p").agg(F.count("*").alias("_c"))
-    drawn = scored.join(numbers, day).join(weights.where(F.col("_draw") < auc_draws), "_d")
-    areas = auc(drawn, ["_draw", "sign"], "_y", "p", weight=F.col("_c") * F.col("_w")).groupBy("_draw").agg(F.sum(F.col("auc") * F.col("sign")).alias("auc_diff"))
+    sums = {"lm": log_loss(y, m), "lb": log_loss(y, b), "bm": (m - y) * (m - y), "bb": (b - y) * (b - y)}
+    daily = rows.groupBy(*on, day).agg(F.count("*").alias("_n"), *[F.sum(x).alias(k) for k, x in sums.items()])
+    daily = daily.withColumn("_d", F.row_number().over(Window.partitionBy(*on).orderBy(day)) - 1)
+    sizes = daily.groupBy(*on).agg(F.count("*").cast("int").alias("days"))
+    weights = draw_weights(sizes, on, draws, seed)
+    summed = daily.join(weights, [*on, "_d"]).groupBy(*on, "_draw").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in sums])
+    gains = summed.select(*on, "_draw", (1 - F.col("lm") / F.col("lb")).alias("log_loss_gain"), (1 - F.col("bm") / F.col("bb")).alias("brier_gain"))
+    scored = rows.select(*on, day, y.cast("int").alias("_y"), F.explode(F.array(F.struct(F.lit(1).alias("sign"), m.alias("p")), F.struct(F.lit(-1).alias("sign"), b.alias("p")))).alias("_x")).groupBy(*on, day, "_y", "_x.sign", "_x.p").agg(F.count("*").alias("_c"))
+    drawn = scored.join(daily.select(*on, day, "_d"), [*on, day]).join(weights.where(F.col("_draw") < auc_draws), [*on, "_d"])
+    counts = drawn.groupBy(*on, "_draw", "sign", "_y", "p").agg(F.sum(F.col("_c") * F.col("_w")).alias("_w"))
+    areas = auc(counts, [*on, "_draw", "sign"], "_y", "p", weight=F.col("_w")).groupBy(*on, "_draw").agg(F.sum(F.col("auc") * F.col("sign")).alias("auc_diff"))
     names = ("log_loss_gain", "brier_gain", "auc_diff")
-    out = gains.join(areas, "_draw", "left")
     point = [F.max(F.when(F.col("_draw") < 0, F.col(c))).alias(c) for c in names]
     ends = [F.percentile(F.when(F.col("_draw") >= 0, F.col(c)), q).alias(f"{c}_{e}") for c in names for e, q in (("low", 0.025), ("high", 0.975))]
-    return out.agg(F.lit(len(days)).alias("days"), *point, *ends)
+    out = gains.join(areas, [*on, "_draw"], "left").groupBy(*on).agg(*point, *ends)
+    facts = daily.groupBy(*on).agg(F.count("*").alias("days"), F.sum("_n").alias("rows"), F.avg((F.col("lm") / F.col("_n") < F.col("lb") / F.col("_n")).cast("double")).alias("day_share"))
+    return _beside(facts, out, on)
+
+
+def gains_by(rows: DataFrame, groups: Sequence[str], label: str, model: str, base: str) -> DataFrame:
+    """(groups, rows, gain): relative log-loss gain of a model over a base per group, such as a day or a slice value."""
+    y, m, b = F.col(label).cast("double"), F.col(model), F.col(base)
+    both = rows.where(y.isNotNull() & m.isNotNull() & b.isNotNull())
+    return both.groupBy(*groups).agg(F.count("*").alias("rows"), (1 - F.avg(log_loss(y, m)) / F.avg(log_loss(y, b))).alias("gain"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import flag_metrics, recall_at_precision, scores
+from ..functions.times import minutes
+from .asof import asof_join
+from .metrics import bootstrap_gain, flag_metrics, recall_at_precision, scores
 
 
 def first_logged(log: DataFrame, key: Sequence[str], time: str) -> DataFrame:
@@ -25,9 +27,10 @@ def outcomes(predictions: DataFrame, labelled: DataFrame, key: Sequence[str]) ->
     return joined.withColumn("outcome", kind).drop("_there")
 
 
-def operations(joined: DataFrame, groups: Sequence[str], lag: str, age: str) -> DataFrame:
-    """Outcome counts, share evaluated, and quantiles of lag and data age."""
-    q = [F.percentile(c, p).alias(f"{c}_p{int(p * 100)}") for c in (lag, age) for p in (0.5, 0.95)]
+def operations(joined: DataFrame, groups: Sequence[str], lag: str, age: str, exact: bool = False) -> DataFrame:
+    """Outcome counts, share evaluated, and quantiles of lag and data age, to within a rank of 1 in 10,000 unless `exact`."""
+    quantile = F.percentile if exact else lambda c, p: F.percentile_approx(c, p, 10_000)
+    q = [quantile(c, p).alias(f"{c}_p{int(p * 100)}") for c in (lag, age) for p in (0.5, 0.95)]
     kinds = [F.count_if(F.col("outcome") == k).alias(k) for k in ("evaluated", "excluded", "not_a_candidate")]
     return joined.groupBy(*groups).agg(F.count("*").alias("predictions"), *kinds, F.avg((F.col("outcome") == "evaluated").cast("double")).alias("coverage"), *q, F.max(lag).alias(f"{lag}_max"), F.max(age).alias(f"{age}_max"))
 
@@ -59,15 +62,54 @@ def skew(live: DataFrame, offline: DataFrame, key: Sequence[str], features: Sequ
     return pairs.select(F.explode(F.array(*items)).alias("_x")).select("_x.*").groupBy("feature").agg(F.count("*").alias("rows"), F.avg(F.col("equal").cast("double")).alias("equal_share"), F.avg("diff").alias("mean_abs_diff"))
 
 
+def recomputed(log: DataFrame, obs: DataFrame) -> DataFrame:
+    """The log's key columns with the features as the stored observations give them for each row's scored_at.
+
+    log: stop_id_a, stop_id_b, scored_at, key_a, key_b, pt_a, pt_b. obs: key, obs, ct, cs. The same as-of joins as for
+    training, with scored_at as the cutoff; rows logged at any time go through them together.
+    """
+    out = log
+    for side in ("a", "b"):
+        facts = obs.select(F.col("key").alias(f"key_{side}"), F.col("obs").alias(f"{side}_obs_cut"), F.col("ct").alias(f"{side}_ct_cut"), F.col("cs").alias(f"{side}_cs_cut"))
+        out = asof_join(out, facts, [f"key_{side}"], "scored_at", f"{side}_obs_cut", [f"{side}_ct_cut", f"{side}_cs_cut"], tie=[f"{side}_ct_cut", f"{side}_cs_cut"])
+    a, b = F.coalesce("a_ct_cut", "pt_a"), F.coalesce("b_ct_cut", "pt_b")
+    return out.select(
+        "stop_id_a", "stop_id_b", "scored_at", minutes(a, F.col("pt_a")).alias("db_delay_a_min"), minutes(b, F.col("pt_b")).alias("db_delay_b_min"),
+        minutes(b, a).alias("db_slack_min"), F.coalesce(F.col("b_cs_cut") == "c", F.lit(False)).cast("double").alias("b_cancel_known"),
+    )
+
+
+def pooled(joined: DataFrame, day: str, cutoff: str, label: str, model: str, base: str, draws: int = 1000, auc_draws: int = 200, seed: int = 0) -> DataFrame:
+    """Model against base over the evaluated rows of all days, by cutoff, with intervals over whole days."""
+    rows = joined.where(F.col("outcome") == "evaluated")
+    losses = scores(rows, [cutoff], label, model).select(cutoff, "fail_rate", F.col("log_loss").alias("model_log_loss")).join(scores(rows, [cutoff], label, base).select(cutoff, F.col("log_loss").alias("base_log_loss")), cutoff)
+    gain = bootstrap_gain(rows, day, label, model, base, draws, auc_draws, seed, [cutoff])
+    return losses.join(gain, cutoff).select(cutoff, "days", "rows", "fail_rate", "model_log_loss", "base_log_loss", "log_loss_gain", "log_loss_gain_low", "log_loss_gain_high", "auc_diff", "auc_diff_low", "auc_diff_high")
+
+
+def summary_by_day(reports: DataFrame, drift: DataFrame, skews: DataFrame, day_constant: Sequence[str] = ()) -> DataFrame:
+    """reports (one row a day) with the input that drifted most that day and the share of rows without skew.
+
+    drift: day, model, input, psi, status. Inputs that are one value on a whole day (day_constant) differ from any mix of
+    days by nature and are no drift. skews: day, rows, identical_share for each part; parts weigh by rows.
+    """
+    real = drift.where((F.col("status") == "ok") & F.col("psi").isNotNull())
+    if day_constant:
+        real = real.where(~F.col("input").isin(*day_constant))
+    top = worst(real, ["day"], "input", "psi").select(F.col("day").alias("_d1"), F.col("input").alias("max_psi_input"), F.col("psi").alias("max_psi"))
+    same = skews.where("rows > 0").groupBy(F.col("day").alias("_d2")).agg((F.sum(F.col("rows") * F.col("identical_share")) / F.sum("rows")).alias("identical_share"))
+    return reports.join(top, F.col("day") == F.col("_d1"), "left").join(same, F.col("day") == F.col("_d2"), "left").drop("_d1", "_d2")
+
+
 def missing_days(rows: DataFrame, day: str) -> DataFrame:
     """The days between the first and the last one that have no row."""
     span = rows.agg(F.min(day).alias("lo"), F.max(day).alias("hi")).where("lo IS NOT NULL").select(F.explode(F.sequence("lo", "hi")).alias("day"))
     return span.join(rows.select(F.col(day).alias("_d")).distinct(), F.col("day") == F.col("_d"), "left_anti")
 
 
-def finished_days(days: DataFrame, reports: DataFrame, data_end: str, horizon_h: int = 6) -> DataFrame:
+def finished_days(days: DataFrame, reports: DataFrame, data_end: Column, horizon_h: int = 6) -> DataFrame:
     """Days (day, day_end) whose label horizon the data have passed and that no report covers yet."""
-    ended = days.where(F.col("day_end") + F.expr(f"INTERVAL {horizon_h} HOURS") <= F.lit(data_end).cast("timestamp"))
+    ended = days.where(F.col("day_end") + F.expr(f"INTERVAL {horizon_h} HOURS") <= data_end)
     return ended.join(reports.select("day").distinct(), "day", "left_anti")
 
 

@@ -67,17 +67,20 @@ def first_reach(pairs: DataFrame) -> DataFrame:
     return pairs.join(kept, ["eva", "stop_id_a", "stop_id_b"], "left_semi")
 
 
-def judged_pairs(plan: DataFrame, hubs: DataFrame, t0: Column, t1: Column, min_slack: int = 4, max_slack: int = 30) -> DataFrame:
-    """All pairs of the time window with one flag per rule: dropped_T1 .. dropped_T6, as they'd drop in turn.
+def judged_pairs(plan: DataFrame, hubs: DataFrame, from_: Column | None = None, until: Column | None = None, min_slack: int = 4, max_slack: int = 30) -> DataFrame:
+    """Arrivals in [from_, until) with the departures min_slack..max_slack minutes later, and a flag for each rule that drops the pair.
 
-    plan: eva, stop_id, event (ar, dp), trip, pt, pp, line, path, wings, tra, cat, num, first_seen. hubs: eva, hub.
+    Flags are named T1 to T6 and hold where a rule is the first to drop; `passed` where none does. Without
+    bounds all arrivals count. plan: eva, stop_id, event (ar, dp), trip, pt, pp, line, path, wings, tra,
+    cat, num, first_seen. hubs: eva, hub.
     """
-    if max_slack > 60:
-        raise ValueError("max_slack above 60 minutes is not supported")
-    at_hubs = plan.join(F.broadcast(hubs.select("eva")), "eva", "left_semi")
+    at_hubs = plan.join(hubs.select("eva"), "eva", "left_semi")
     departures = at_hubs.where("event = 'dp'").select("eva", *SIDE)
     onward = departures.groupBy("stop_id").agg(F.max("path").alias("cont"))
-    arrivals = at_hubs.where((F.col("event") == "ar") & (F.col("pt") >= t0) & (F.col("pt") < t1)).select("eva", *SIDE).join(onward, "stop_id", "left")
+    wanted = F.col("event") == "ar"
+    wanted = wanted if from_ is None else wanted & (F.col("pt") >= from_)
+    wanted = wanted if until is None else wanted & (F.col("pt") < until)
+    arrivals = at_hubs.where(wanted).select("eva", *SIDE).join(onward, "stop_id", "left")
     pairs = interval_join(arrivals, departures, "eva", "pt", min_slack, max_slack).withColumn("eva", F.col("eva_a")).drop("eva_a", "eva_b")
     left = F.lit(True)
     for name, drops in rules().items():
@@ -101,8 +104,8 @@ def funnel(judged: DataFrame, reached: DataFrame, hubs: DataFrame) -> DataFrame:
 
 
 def candidates(judged: DataFrame, hubs: DataFrame) -> DataFrame:
-    """The pairs that pass all rules, with their stations and segments."""
-    kept = first_reach(judged.where("passed")).join(F.broadcast(hubs), "eva", "left")
+    """The pairs that pass all rules, with their stations and segments; judged is read twice and should be a saved table."""
+    kept = first_reach(judged.where("passed")).join(hubs, "eva", "left")
     before, after = path(F.col("path_a")), path(F.col("path_b"))
     return kept.select(
         "eva", "hub", "stop_id_a", "stop_id_b", "trip_a", "trip_b", "pt_a", "pt_b", F.col("slack_min").alias("planned_slack_min"),

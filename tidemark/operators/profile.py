@@ -34,9 +34,9 @@ def top_k(rows: DataFrame, groups: Sequence[str], value: str, k: int) -> DataFra
     return ranked.where(F.col("rank") <= k)
 
 
-def distribution(rows: DataFrame, groups: Sequence[str], x: str, at: Sequence[float], approximate: bool = False) -> DataFrame:
-    """Count, mean and quantiles; exact with linear interpolation unless `approximate`."""
-    quantile = (lambda c, q: F.percentile_approx(c, q)) if approximate else F.percentile
+def distribution(rows: DataFrame, groups: Sequence[str], x: str, at: Sequence[float], exact: bool = False) -> DataFrame:
+    """Count, mean and quantiles: to within a rank of 1 in 10,000 in bounded memory, or `exact` with linear interpolation."""
+    quantile = F.percentile if exact else lambda c, q: F.percentile_approx(c, q, 10_000)
     return rows.groupBy(*groups).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), *[quantile(x, q).alias(f"p{round(q * 100):02d}") for q in at])
 
 
@@ -52,20 +52,35 @@ def preferred(rows: DataFrame, key: Sequence[str], preference: Column, tie: Sequ
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def closest_names(names: DataFrame, known: DataFrame, k: int = 3) -> DataFrame:
-    """Names that are not known, each with the k known names at the least edit distance.
+def closest_names(names: DataFrame, known: DataFrame, k: int = 3, within: int = 2) -> DataFrame:
+    """Names that are not known, each with the k known names at the least edit distance, at most `within` edits away.
 
-    `names` is a small configured list, so it is the broadcast side; `known` may be large.
+    A name that is d edits away shares at least one of d + 1 pieces into which the other is cut, at a place
+    shifted by at most d. So names meet by equal pieces, not all with all, and only those are compared.
     """
     missing = names.select("name").distinct().join(known.select("name").distinct(), "name", "left_anti")
-    pairs = known.select(F.col("name").alias("close")).distinct().crossJoin(F.broadcast(missing))
+    n = within + 1
+    length = F.length("name")
+    bounds = [F.floor(length * i / n).cast("int") for i in range(n + 1)]
+    pieces = F.array(*[F.struct(F.lit(i).alias("i"), length.alias("_l"), bounds[i].alias("_at"), F.expr("name").substr(bounds[i] + 1, bounds[i + 1] - bounds[i]).alias("piece")) for i in range(n)])
+    cut = missing.select("name", F.explode(pieces).alias("_p")).select("name", "_p.*")
+    other = known.select(F.col("name").alias("close")).distinct().withColumn("_cl", F.length("close"))
+    # the same pieces of a known name, for each length the missing name may have and each shift of a piece
+    lengths = other.withColumn("_l", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_cl") - within), F.col("_cl") + within)))
+    placed = lengths.select("close", "_l", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    start = F.floor(F.col("_l") * F.col("i") / n).cast("int")
+    size = F.floor(F.col("_l") * (F.col("i") + 1) / n).cast("int") - start
+    shifts = placed.withColumn("_s", F.explode(F.sequence(F.greatest(F.lit(0), start - within), start + within)))
+    parts = shifts.select("close", "_l", "i", F.col("close").substr(F.col("_s") + 1, size).alias("piece")).distinct()
+    pairs = cut.join(parts, ["_l", "i", "piece"]).select("name", "close").distinct().withColumn("distance", F.levenshtein("name", "close")).where(F.col("distance") <= within)
     w = Window.partitionBy("name").orderBy("distance", "close")
-    return pairs.withColumn("distance", F.levenshtein("name", "close")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    found = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return missing.join(found, "name", "left").select("name", "close", "distance", "rank")
 
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows by the smallest hashes of their key: the same ones each time."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """n rows by the smallest MD5s of seed and key: the same ones each time, in any engine."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), key)), key).limit(n)
 
 
 def partial_correlation(rows: DataFrame, x: str, y: str, given: Sequence[str]) -> DataFrame:

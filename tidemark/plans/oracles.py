@@ -5,13 +5,15 @@ from __future__ import annotations
 EV = "ev AS (SELECT *, (user_id % 5)::VARCHAR AS eva FROM events)"
 OBS = "obs AS (SELECT user_id AS key, ts AS obs, ts + to_seconds(floor(value)::BIGINT) AS ct, CASE WHEN event_type = 'error' THEN 'c' END AS cs, (user_id % 5)::VARCHAR AS eva FROM events)"
 PLAN = """plan AS (
-  SELECT (user_id % 5)::VARCHAR AS eva, event_id || '-1' AS stop_id, CASE event_type WHEN 'view' THEN 'ar' ELSE 'dp' END AS event, user_id::VARCHAR AS trip, user_id AS key, ts AS pt,
+  SELECT (user_id % 5)::VARCHAR AS eva, event_id || '-1' AS stop_id, CASE WHEN event_type = 'view' AND later = 0 THEN 'ar' ELSE 'dp' END AS event, user_id::VARCHAR AS trip, user_id AS key, ts + to_minutes(later) AS pt,
     (event_id % 4)::VARCHAR AS pp, CASE WHEN event_id % 5 <> 0 THEN 'L' || (event_id % 6) END AS line,
-    CASE WHEN event_id % 17 <> 0 THEN 'S' || (event_id % 7) || '|S' || (event_id % 11 + 3) || CASE WHEN event_id % 3 = 0 THEN '|S' || (event_id % 13 + 5) ELSE '' END END AS path,
+    CASE WHEN later > 0 THEN 'S' || (event_id % 5) || '|S' || (event_id % 7 + 1) || '|S' || (event_id % 9 + 2) || '|S' || (event_id % 11 + 4) || '|S' || (event_id % 13 + 1) || '|S' || (event_id % 6 + 8)
+      WHEN event_id % 17 <> 0 THEN 'S' || (event_id % 7) || '|S' || (event_id % 11 + 3) || CASE WHEN event_id % 3 = 0 THEN '|S' || (event_id % 13 + 5) ELSE '' END END AS path,
     CASE WHEN event_id % 19 = 0 THEN ((user_id + 1) % 150)::VARCHAR END AS wings, CASE WHEN event_id % 13 = 0 THEN (event_id + 1) || '-1' END AS tra,
     ['RE', 'S', 'ICE', 'Bus'][event_id % 4 + 1] AS cat, event_id::VARCHAR AS num, ts - to_minutes(event_id % 90) AS first_seen
-  FROM events WHERE event_type IN ('view', 'purchase'))"""
+  FROM events, (VALUES (0), (3)) v(later) WHERE event_type IN ('view', 'purchase') AND (later = 0 OR event_type = 'view' AND event_id % 4 = 1))"""
 HUBS = "hubs AS (SELECT r_regionkey::VARCHAR AS eva, r_name AS hub FROM region)"
+SPAN = "span AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events)"
 SEGMENT = "CASE WHEN {0} IS NULL THEN 'unknown' WHEN {0} = 'S' THEN 'S-Bahn' WHEN {0} = 'ICE' THEN 'long-distance' ELSE 'regional' END"
 
 
@@ -24,18 +26,20 @@ def li(p: str) -> str:
 
 
 PAIRS = f"""{PLAN}, {HUBS},
+onward AS (SELECT stop_id, {li("max(path)")} AS cont FROM plan WHERE event = 'dp' AND eva IN (SELECT eva FROM hubs) GROUP BY stop_id),
 judged AS (
-  SELECT a.eva, a.stop_id AS sa, b.stop_id AS sb, a.trip AS ta, b.trip AS tb, a.key AS ka, b.key AS kb, a.pt AS pta, b.pt AS ptb, a.cat AS ca, b.cat AS cb, a.line AS la, a.num AS na,
+  SELECT a.eva, a.stop_id AS sa, b.stop_id AS sb, a.trip AS ta, b.trip AS tb, a.key AS ka, b.key AS kb, a.pt AS pta, b.pt AS ptb, a.cat AS ca, b.cat AS cb, a.line AS la, a.num AS na, b.line AS lb, b.num AS nb,
     {li("a.path")} AS pa, {li("b.path")} AS pb, a.first_seen AS fa, b.first_seen AS fb, {mins("b.pt", "a.pt")} AS slack,
     coalesce(a.cat = 'Bus', false) OR coalesce(b.cat = 'Bus', false) AS r1, coalesce(a.trip = b.trip, false) AS r2,
     coalesce(a.tra = b.stop_id, false) OR coalesce(regexp_replace(a.tra, '-[0-9]+$', '') = b.trip, false) AS r3,
     coalesce(list_contains({li("a.wings")}, b.trip), false) OR coalesce(list_contains({li("b.wings")}, a.trip), false) AS r4,
-    coalesce(len({li("a.path")}) > 0 AND list_contains({li("b.path")}, {li("a.path")}[-1]), false) AS r5
-  FROM plan a JOIN plan b ON a.eva = b.eva AND a.event = 'ar' AND b.event = 'dp' AND b.pt >= a.pt + INTERVAL 4 MINUTE AND b.pt <= a.pt + INTERVAL 60 MINUTE
-  WHERE a.pt >= TIMESTAMP '2024-01-02' AND a.pt < TIMESTAMP '2024-01-30' AND a.eva IN (SELECT eva FROM hubs)),
-good AS (SELECT * FROM judged WHERE NOT (r1 OR r2 OR r3 OR r4 OR r5)),
+    coalesce(len({li("a.path")}) > 0 AND list_contains({li("b.path")}, {li("a.path")}[-1]), false) AS r5,
+    coalesce(len(o.cont) > 0 AND len({li("b.path")}) > 0 AND len(list_filter({li("b.path")}, lambda x: NOT list_contains(o.cont, x))) = 0, false) AS r6, coalesce(o.cont, []) AS cont
+  FROM plan a JOIN plan b ON a.eva = b.eva AND a.event = 'ar' AND b.event = 'dp' AND b.pt >= a.pt + INTERVAL 4 MINUTE AND b.pt <= a.pt + INTERVAL 60 MINUTE LEFT JOIN onward o ON o.stop_id = a.stop_id
+  WHERE a.eva IN (SELECT eva FROM hubs)),
+good AS (SELECT * FROM judged WHERE NOT (r1 OR r2 OR r3 OR r4 OR r5 OR r6)),
 reached AS (
-  SELECT g.eva, g.sa, g.sb, g.ptb, s.station FROM good g, unnest(g.pb) AS s(station) WHERE NOT list_contains(g.pa, s.station)),
+  SELECT g.eva, g.sa, g.sb, g.ptb, s.station FROM good g, unnest(g.pb) AS s(station) WHERE NOT list_contains(g.pa, s.station) AND NOT list_contains(g.cont, s.station)),
 kept AS (
   SELECT DISTINCT eva, sa, sb FROM reached r WHERE NOT EXISTS (SELECT 1 FROM reached e WHERE e.eva = r.eva AND e.sa = r.sa AND e.station = r.station AND e.ptb < r.ptb)),
 cand AS (SELECT g.*, h.hub FROM good g JOIN kept USING (eva, sa, sb) JOIN hubs h ON h.eva = g.eva)"""
@@ -54,7 +58,7 @@ ds AS (
     {mins("t_cut", "poll")} AS poll_age, coalesce(sbcs = 'c', false) AS known,
     CASE WHEN fa > t_cut OR fb > t_cut THEN 'not_known_at_cutoff' WHEN poll IS NULL OR {mins("t_cut", "poll")} > 45 THEN 'collector_gap' WHEN sacs = 'c' THEN 'a_cancelled_at_cutoff'
       WHEN NOT ((act IS NOT NULL OR ac) AND (bct IS NOT NULL OR bc)) THEN 'unobserved'
-      WHEN coalesce(NOT ac AND ao < act, false) OR coalesce(NOT bc AND bo < bct, false) THEN 'stale_label' END AS reason
+      WHEN coalesce(NOT ac AND ao < act, false) OR coalesce(NOT bc AND bo < bct, false) THEN 'stale_label' WHEN na::BIGINT % 23 = 0 THEN 'dst_ambiguous' END AS reason
   FROM stp)"""
 
 VIEWS = f"""{OBS},
@@ -62,8 +66,8 @@ q AS (SELECT event_id, user_id AS key, ts, value, c AS cutoff_min, ts - to_minut
 st AS (SELECT q.*, o.obs, o.ct, o.cs FROM q ASOF LEFT JOIN obs o ON q.key = o.key AND q.t_cut >= o.obs)"""
 
 GRID = f"""{PLAN}, {OBS},
-g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01', INTERVAL 5 MINUTE)) AS g),
-seen AS (SELECT p.*, g.g FROM plan p JOIN g ON g.g >= p.pt - INTERVAL 30 MINUTE AND g.g <= p.pt + INTERVAL 60 MINUTE AND p.first_seen <= g.g),
+g AS (SELECT *, unnest(generate_series(time_bucket(INTERVAL 5 MINUTE, pt - INTERVAL 30 MINUTE + INTERVAL 299999999 MICROSECOND), pt + INTERVAL 60 MINUTE, INTERVAL 5 MINUTE)) AS g FROM plan),
+seen AS (SELECT * FROM g WHERE first_seen <= g),
 gs AS (
   SELECT s.*, coalesce(o.cs = 'c', false) AS cancel, {mins("coalesce(o.ct, s.pt)", "s.pt")} AS delay FROM seen s ASOF LEFT JOIN obs o ON s.key = o.key AND s.g >= o.obs),
 hub AS (
@@ -118,7 +122,7 @@ SELECT eva, CASE WHEN s < 10 THEN 0 WHEN s < 20 THEN 1 WHEN s < 30 THEN 2 WHEN s
     "candidate_funnel": f"""WITH {PAIRS}, steps AS (
   SELECT eva, 'window' AS step FROM judged UNION ALL SELECT eva, 'T1 bus' FROM judged WHERE NOT r1 UNION ALL SELECT eva, 'T2 same trip' FROM judged WHERE NOT (r1 OR r2)
   UNION ALL SELECT eva, 'T3 transition' FROM judged WHERE NOT (r1 OR r2 OR r3) UNION ALL SELECT eva, 'T4 wings' FROM judged WHERE NOT (r1 OR r2 OR r3 OR r4)
-  UNION ALL SELECT eva, 'T5 backtrack' FROM good UNION ALL SELECT eva, 'T6 redundant' FROM good UNION ALL SELECT eva, 'T7 first reach' FROM cand),
+  UNION ALL SELECT eva, 'T5 backtrack' FROM judged WHERE NOT (r1 OR r2 OR r3 OR r4 OR r5) UNION ALL SELECT eva, 'T6 redundant' FROM good UNION ALL SELECT eva, 'T7 first reach' FROM cand),
 names AS (SELECT unnest(['window', 'T1 bus', 'T2 same trip', 'T3 transition', 'T4 wings', 'T5 backtrack', 'T6 redundant', 'T7 first reach']) AS step),
 per AS (SELECT h.hub, n.step, count(s.eva) AS pairs FROM hubs h CROSS JOIN names n LEFT JOIN steps s ON s.eva = h.eva AND s.step = n.step GROUP BY ALL)
 SELECT hub, step, pairs FROM per UNION ALL SELECT 'total', step, sum(pairs)::BIGINT FROM per GROUP BY step""",
@@ -157,7 +161,7 @@ SELECT stop_id, round(sin(a), 6) + 0.0 AS hour_sin, round(cos(a), 6) + 0.0 AS ho
   round(sum(flag * (1 - label)) / nullif(sum(1 - label), 0)::DOUBLE, 6) AS false_alarms FROM pred GROUP BY priority""",
     "recall_at_rule_precision": f"""WITH {PRED}, c AS (SELECT cutoff_min, p_model AS s, sum(label) AS pos, count(*) AS n FROM pred GROUP BY ALL),
 t AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS k, sum(pos) OVER (PARTITION BY cutoff_min) AS allpos, avg_ FROM c JOIN (SELECT cutoff_min, avg(label) AS avg_ FROM pred GROUP BY 1) USING (cutoff_min) WINDOW w AS (PARTITION BY cutoff_min ORDER BY s DESC)),
-ok AS (SELECT * FROM t WHERE tp / k::DOUBLE >= avg_ QUALIFY row_number() OVER (PARTITION BY cutoff_min ORDER BY tp DESC, s DESC) = 1)
+ok AS (SELECT * FROM t WHERE tp / k::DOUBLE >= avg_ QUALIFY row_number() OVER (PARTITION BY cutoff_min ORDER BY tp DESC, s) = 1)
 SELECT cutoff_min, round(tp / allpos::DOUBLE, 6) AS recall, round(s, 6) AS threshold FROM (SELECT DISTINCT cutoff_min FROM pred) LEFT JOIN ok USING (cutoff_min)""",
     "metric_table": f"""WITH {PRED}, m AS (SELECT *, unnest(['p_model', 'p_base', 'flag']) AS model, unnest([p_model, p_base, flag::DOUBLE]) AS p FROM pred),
 x AS (SELECT cutoff_min, label, model, p, unnest(['overall', 'priority', 'status']) AS slice, unnest(['all', priority, status]) AS value FROM m),
@@ -188,12 +192,12 @@ r1 AS (SELECT b, (sum(y) + 50 * any_value(r0.p)) / (count(*) + 50) AS p FROM f,
 r2 AS (SELECT f.b, f.hub, (sum(y) + 50 * any_value(r1.p)) / (count(*) + 50) AS p FROM f JOIN r1 ON r1.b = f.b GROUP BY f.b, f.hub),
 r3 AS (SELECT f.b, f.hub, f.seg, (sum(y) + 50 * any_value(r2.p)) / (count(*) + 50) AS p FROM f JOIN r2 ON r2.b = f.b AND r2.hub = f.hub GROUP BY f.b, f.hub, f.seg)
 SELECT o_orderkey, round(coalesce(r3.p, r2.p, r1.p, r0.p), 6) AS p FROM r CROSS JOIN r0 LEFT JOIN r1 ON r1.b = r.b LEFT JOIN r2 ON r2.b = r.b AND r2.hub = r.hub LEFT JOIN r3 ON r3.b = r.b AND r3.hub = r.hub AND r3.seg = r.seg""",
-    "missing_order_days": """WITH d AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders WHERE o_custkey % 40 = 0)
+    "missing_order_days": """WITH d AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders)
 SELECT strftime(g, '%Y-%m-%d') AS day FROM (SELECT unnest(generate_series((SELECT min(d) FROM d), (SELECT max(d) FROM d), INTERVAL 1 DAY))::DATE AS g) WHERE g NOT IN (SELECT d FROM d)""",
     "finished_days": f"""WITH d AS (SELECT DISTINCT ({BERLIN.format("ts")} - INTERVAL 4 HOUR)::DATE AS day FROM events)
-SELECT strftime(day, '%Y-%m-%d') AS day FROM d WHERE timezone('UTC', timezone('Europe/Berlin', day + INTERVAL 1 DAY + INTERVAL 4 HOUR)) + INTERVAL 6 HOUR <= TIMESTAMP '2024-01-25 12:00:00' AND day(day) % 3 <> 0""",
+SELECT strftime(day, '%Y-%m-%d') AS day FROM d WHERE timezone('UTC', timezone('Europe/Berlin', day + INTERVAL 1 DAY + INTERVAL 4 HOUR)) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) AND day(day) % 3 <> 0""",
     "worst_psi_by_segment": "WITH c AS (SELECT c_mktsegment, o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY n DESC, o_orderpriority) = 1",
-    "feature_skew": """WITH p AS (SELECT o_orderkey, o_totalprice AS lp, o_totalprice + CASE WHEN o_orderkey % 5 = 0 THEN 0.5 ELSE 0 END AS op, CASE WHEN o_orderkey % 7 <> 0 THEN month(o_orderdate) END AS lm, CASE WHEN o_orderkey % 14 <> 0 THEN month(o_orderdate) END AS om FROM orders WHERE o_orderkey % 11 <> 0),
+    "feature_skew": """WITH p AS (SELECT o_orderkey, o_totalprice AS lp, o_totalprice + CASE WHEN o_orderkey % 5 = 0 THEN 0.5 ELSE 0 END AS op, CASE WHEN o_orderkey % 7 <> 0 THEN month(o_orderdate) END AS lm, CASE WHEN o_orderkey % 14 <> 0 THEN month(o_orderdate) END AS om FROM orders),
 e AS (SELECT *, abs(lp - op) <= 1e-6 AS ep, lm IS NOT DISTINCT FROM om AS em FROM p)
 SELECT 'price' AS feature, count(*) AS rows, round(avg(ep::INT), 6) AS equal_share, round(avg(abs(lp - op)), 6) AS mean_abs_diff FROM e UNION ALL SELECT 'month', count(*), round(avg(em::INT), 6), round(avg(abs(lm - om)), 6) FROM e
 UNION ALL SELECT '<row>', count(*), round(avg((ep AND em)::INT), 6), NULL FROM e""",
@@ -223,23 +227,25 @@ SELECT count(*) AS keys, round(quantile_cont(s, 0.5), 6) AS p50, round(quantile_
     "preferred_run_rows": f"WITH {PLAN} SELECT eva, trip, event, stop_id FROM plan QUALIFY row_number() OVER (PARTITION BY eva, trip ORDER BY (event <> 'dp')::INT, pt, stop_id) = 1",
     "snapshot_match_rate": "SELECT count(*) AS rows, count(*) FILTER (l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25)) AS matched FROM lineitem",
     "unmatched_names": """WITH n AS (SELECT replace(n_name, '_1', '-1') AS name FROM nation), m AS (SELECT DISTINCT name FROM n WHERE (name LIKE '%-1%' OR name LIKE '%2%') AND name NOT IN (SELECT n_name FROM nation))
-SELECT name, n_name AS close, levenshtein(name, n_name) AS distance, row_number() OVER (PARTITION BY name ORDER BY levenshtein(name, n_name), n_name) AS rank FROM m, nation QUALIFY rank <= 3""",
+SELECT name, n_name AS close, levenshtein(name, n_name) AS distance, row_number() OVER (PARTITION BY name ORDER BY levenshtein(name, n_name), n_name) AS rank FROM m JOIN nation ON levenshtein(name, n_name) <= 2 QUALIFY rank <= 3""",
     "prognosis_error": f"WITH {LABELLED} SELECT cutoff_min, count(*) AS rows, round(avg(abs(da - a_final)), 6) AS mae, round(avg(known::INT), 6) AS known_cancel FROM ds WHERE reason IS NULL GROUP BY cutoff_min",
-    "period_pivot": "SELECT o_orderpriority AS priority, round(avg(o_totalprice) FILTER (year(o_orderdate) = 1995), 6) AS y1995, round(avg(o_totalprice) FILTER (year(o_orderdate) = 1996), 6) AS y1996, round(avg(o_totalprice) FILTER (year(o_orderdate) = 1997), 6) AS y1997 FROM orders GROUP BY ALL",
+    "period_pivot": "SELECT o_orderpriority AS priority, year(o_orderdate)::INT AS year, round(avg(o_totalprice), 6) AS mean_price FROM orders GROUP BY ALL",
     "hub_connection_counts": f"WITH {PAIRS} SELECT h.hub, count(c.sa) AS connections FROM hubs h LEFT JOIN cand c ON c.hub = h.hub GROUP BY h.hub",
     "risky_connections": f"""WITH {LABELLED}, e AS (SELECT *, round(1 / (1 + exp((dslack - 8) / 4)), 6) AS risk, count(*) OVER (PARTITION BY hub) AS hub_total FROM ds WHERE reason IS NULL AND cutoff_min = 30)
 SELECT hub, sa AS stop_id_a, sb AS stop_id_b, risk, hub_total, CASE WHEN la IS NOT NULL THEN CASE WHEN starts_with(la, ca) THEN la ELSE ca || la END ELSE ca || ' ' || na END AS train_a,
   CASE WHEN slack <= 20 THEN 10 WHEN slack <= 45 THEN 30 ELSE 60 END AS nearest FROM e WHERE risk >= 0.2 ORDER BY risk DESC, pta, sa, sb LIMIT 50""",
-    "data_age_status": f"WITH {EV}, a AS (SELECT eva, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts))) / 1e6 AS s FROM ev GROUP BY eva) SELECT eva, round(s, 6) AS age_s, CASE WHEN s > 1200 THEN 'error' WHEN s > 600 THEN 'degraded' ELSE 'ok' END AS status FROM a",
-    "deduplicated_tail": f"WITH {OBS}, d AS (SELECT DISTINCT key, obs, ct, cs, eva FROM obs WHERE obs <= TIMESTAMP '2024-01-22') SELECT eva, count(*) AS rows, epoch_us(max(obs)) AS last_us FROM d GROUP BY eva",
-    "carried_states": f"WITH {OBS} SELECT key, epoch_us(obs) AS obs_us, cs FROM obs QUALIFY row_number() OVER (PARTITION BY key ORDER BY obs DESC, ct DESC NULLS LAST, cs DESC NULLS LAST) = 1 AND obs >= TIMESTAMP '2024-01-10'",
+    "data_age_status": f"WITH {EV}, a AS (SELECT eva, ((SELECT epoch_us(max(ts)) FROM ev) - epoch_us(max(ts))) / 1e6 AS s FROM ev GROUP BY eva) SELECT eva, round(s, 6) AS age_s, CASE WHEN s > 600 THEN 'error' WHEN s > 60 THEN 'degraded' ELSE 'ok' END AS status FROM a",
+    "overall_age_status": """WITH a AS (SELECT user_id, ((SELECT epoch_us(max(ts)) FROM events) - epoch_us(max(ts))) / 1e6 AS s FROM events GROUP BY user_id)
+SELECT round(min(s), 6) AS age_s, CASE WHEN max(s) > 86400 THEN 'error' WHEN max(s) > 3600 THEN 'degraded' ELSE 'ok' END AS status FROM a""",
+    "deduplicated_tail": f"WITH {OBS}, {SPAN}, d AS (SELECT DISTINCT key, obs, ct, cs, eva FROM obs, span WHERE epoch_us(obs) <= lo + floor((hi - lo) * 0.75::DOUBLE)) SELECT eva, count(*) AS rows, epoch_us(max(obs)) AS last_us FROM d GROUP BY eva",
+    "carried_states": f"WITH {OBS}, {SPAN} SELECT key, epoch_us(obs) AS obs_us, cs FROM obs, span QUALIFY row_number() OVER (PARTITION BY key ORDER BY obs DESC, ct DESC NULLS LAST, cs DESC NULLS LAST) = 1 AND epoch_us(obs) >= lo + floor((hi - lo) * 0.3::DOUBLE)",
     "scoring_status": f"""WITH {PLAN}, q AS (SELECT *, pt - INTERVAL 10 MINUTE AS t FROM plan WHERE event = 'ar'), p AS (SELECT (user_id % 5)::VARCHAR AS eva, ts FROM events WHERE event_type = 'error'),
 j AS (SELECT q.*, p.ts AS poll FROM q ASOF LEFT JOIN p ON q.eva = p.eva AND q.t >= p.ts)
 SELECT eva, CASE WHEN cat = 'Bus' THEN 'a_cancelled' WHEN poll IS NULL OR {mins("t", "poll")} > 45 THEN 'collector_gap' WHEN pp = '3' THEN 'dst_ambiguous' ELSE 'ok' END AS status, count(*) AS n FROM j GROUP BY ALL""",
     "status_by_source": f"WITH {OBS} SELECT eva AS source, (key % 2)::VARCHAR AS eva, count(*) AS rows, count(DISTINCT key) AS stops, epoch_us(min(obs)) AS first_us, epoch_us(max(obs)) AS last_us, count(*) FILTER (cs IS NULL AND ct IS NOT NULL) AS with_ct, count(*) FILTER (cs = 'c') AS cancelled FROM obs GROUP BY ALL",
     "prediction_outcomes": f"""WITH {PRED}, l AS (SELECT *, l_orderkey % 40 + round(p_model * 10) AS lag, l_orderkey % 200 + p_base AS age FROM pred),
 f AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY lag, p_model, p_base, flag, cutoff_min, age) = 1),
-o AS (SELECT l_orderkey, l_linenumber, l_linenumber <> 5 AS eligible FROM pred WHERE l_orderkey % 10 <> 0 GROUP BY ALL),
+o AS (SELECT l_orderkey, l_linenumber, l_linenumber <> 5 AS eligible FROM pred GROUP BY ALL),
 j AS (SELECT f.*, CASE WHEN o.eligible IS NULL THEN 'n' WHEN o.eligible THEN 'e' ELSE 'x' END AS k FROM f LEFT JOIN o USING (l_orderkey, l_linenumber))
 SELECT cutoff_min, count(*) AS predictions, count(*) FILTER (k = 'e') AS evaluated, count(*) FILTER (k = 'x') AS excluded, count(*) FILTER (k = 'n') AS not_a_candidate, round(avg((k = 'e')::INT), 6) AS coverage,
   round(quantile_cont(lag, 0.5), 6) AS lag_s_p50, round(quantile_cont(lag, 0.95), 6) AS lag_s_p95, round(quantile_cont(age, 0.5), 6) AS age_s_p50, round(quantile_cont(age, 0.95), 6) AS age_s_p95, round(max(lag), 6) AS lag_s_max, round(max(age), 6) AS age_s_max FROM j GROUP BY cutoff_min""",

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.times import day_start, is_ambiguous, minutes, raw_to_utc, service_day, shifted
 from ..functions.trains import bucket, display_name, nearest_cutoff, path, segment, trip_key
-from ..operators import asof, drift, features, grid, labels, metrics, models, monitor, pairs, profile
+from ..operators import asof, drift, features, folds, grid, labels, metrics, models, monitor, pairs, profile
 from ..sources import raw
+from ..sources.scratch import save
 from ..streaming import live
-from .bindings import CUTOFFS, events, hubs, observations, plan, predictions, table
+from .bindings import CUTOFFS, events, hubs, observations, plan, predictions, span, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,8 +94,7 @@ def realtime_coverage(spark, sf):
 
 
 def _judged(spark, sf):
-    low, high = F.lit("2024-01-02").cast("timestamp"), F.lit("2024-01-30").cast("timestamp")
-    return pairs.judged_pairs(plan(spark, sf), hubs(spark, sf), low, high, 4, 60)
+    return save(pairs.judged_pairs(plan(spark, sf), hubs(spark, sf), min_slack=4, max_slack=60))
 
 
 @query
@@ -121,7 +121,7 @@ def _dataset(spark, sf):
     c = pairs.candidates(_judged(spark, sf), hubs(spark, sf)).withColumn("key_a", F.col("trip_a").cast("long")).withColumn("key_b", F.col("trip_b").cast("long"))
     obs = observations(spark, sf).select("key", "obs", "ct", "cs")
     polls = observations(spark, sf).select("eva", F.col("obs").alias("t"))
-    return labels.at_cutoffs(labels.with_labels(c, obs), obs, polls, CUTOFFS)
+    return labels.at_cutoffs(labels.with_labels(c, obs), obs, polls, CUTOFFS, ambiguous=F.col("num_a").cast("long") % 23 == 0)
 
 
 @query
@@ -155,7 +155,7 @@ def label_sensitivity(spark, sf):
 
 def _grid(spark, sf):
     p = plan(spark, sf).withColumn("key", F.col("trip").cast("long"))
-    return grid.events_on_grid(p, observations(spark, sf), F.lit("2024-01-01").cast("timestamp"), F.lit("2024-02-01").cast("timestamp"))
+    return grid.events_on_grid(p, observations(spark, sf))
 
 
 @query
@@ -266,7 +266,7 @@ def log_loss_per_day(spark, sf):
 
 @query
 def bootstrap_over_days(spark, sf):
-    return metrics.bootstrap_gain(predictions(spark, sf), "day", "label", "p_model", "p_base", draws=100, auc_draws=10)
+    return metrics.bootstrap_gain(predictions(spark, sf), "day", "label", "p_model", "p_base").select("days", "rows", *[r6(c).alias(c) for c in ("day_share", "log_loss_gain", "log_loss_gain_low", "log_loss_gain_high", "brier_gain", "brier_gain_low", "brier_gain_high", "auc_diff", "auc_diff_low", "auc_diff_high")])
 
 
 @query
@@ -279,14 +279,14 @@ def gain_by_fold(spark, sf):
 def psi_of_inputs(spark, sf):
     rows = table(spark, sf, "lineitem").withColumn("discount", F.when(F.col("l_linenumber") != 7, F.col("l_discount")))
     training, now = rows.where("l_shipdate < TIMESTAMP '1998-01-01'"), rows.where("l_shipdate >= TIMESTAMP '1998-01-01' AND l_quantity > 10")
-    out = drift.drift_report(training, now, ["l_quantity", "discount", "l_extendedprice"], ["l_returnflag"])
+    out = drift.drift_report(training, now, ["l_quantity", "discount", "l_extendedprice"], ["l_returnflag"], exact=True)
     return out.select("input", r6("psi").alias("psi"), "level", "status")
 
 
 @query
 def reference_profile(spark, sf):
     rows = table(spark, sf, "customer")
-    bounds = drift.edges(rows, ["c_acctbal"])
+    bounds = drift.edges(rows, ["c_acctbal"], exact=True)
     return drift.shares(rows, ["c_acctbal"], ["c_mktsegment"], bounds).select("input", "bin", r6("share").alias("share"))
 
 
@@ -301,10 +301,9 @@ def history_rate_model(spark, sf):
 @query
 def learned_models(spark, sf):
     rows = predictions(spark, sf).select("label", "day", "cutoff_min", "priority", "p_base", F.when(F.col("l_linenumber") != 3, F.col("p_model")).alias("x"))
-    days = [r[0] for r in rows.select("day").distinct().orderBy("day").collect()]
-    fit_on, evaluate = days[: len(days) // 2], days[len(days) // 2 :]
-    makers = {"lr": lambda: models.Learner(["x", "p_base"], ["priority"]), "gbt": lambda: models.Learner(["x", "p_base"], ["priority"], kind="gbt", rounds=3)}
-    out = models.predict_folds(rows, "label", "day", [(fit_on, evaluate)], makers)
+    makers = {"lr": lambda: models.Learner(["x", "p_base"], ["priority"]), "gbt": lambda: models.Learner(["x", "p_base"], ["priority"], kind="gbt")}
+    n = rows.select("day").distinct().count()
+    out = models.predict_folds(rows, "label", "day", folds.fold_table(rows, "day", max(1, n // 2), max(1, n // 4)), makers)
     return metrics.metric_table(out, "label", ["lr", "gbt"], "cutoff_min", [])
 
 
@@ -323,7 +322,7 @@ def _logged(spark, sf):
 
 @query
 def prediction_outcomes(spark, sf):
-    out = monitor.operations(_logged(spark, sf), ["cutoff_min"], "lag_s", "age_s")
+    out = monitor.operations(_logged(spark, sf), ["cutoff_min"], "lag_s", "age_s", exact=True)
     return out.select("cutoff_min", "predictions", "evaluated", "excluded", "not_a_candidate", *[r6(c).alias(c) for c in ("coverage", "lag_s_p50", "lag_s_p95", "age_s_p50", "age_s_p95", "lag_s_max", "age_s_max")])
 
 
@@ -352,7 +351,7 @@ def finished_days(spark, sf):
     days = events(spark, sf).select(service_day(F.col("ts")).alias("day")).distinct()
     days = days.withColumn("day_end", day_start(F.date_add("day", 1)))
     reports = days.where(F.dayofmonth("day") % 3 == 0)
-    return monitor.finished_days(days, reports, "2024-01-25 12:00:00").select(F.date_format("day", "yyyy-MM-dd").alias("day"))
+    return monitor.finished_days(days, reports, span(spark, sf)).select(F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 @query
@@ -385,7 +384,7 @@ def rule_agreement(spark, sf):
 
 @query
 def delay_distribution(spark, sf):
-    return profile.distribution(events(spark, sf), ["event_type"], "value", (0.01, 0.25, 0.5, 0.75, 0.99)).select("event_type", "n", *[r6(c).alias(c) for c in ("mean", "p01", "p25", "p50", "p75", "p99")])
+    return profile.distribution(events(spark, sf), ["event_type"], "value", (0.01, 0.25, 0.5, 0.75, 0.99), exact=True).select("event_type", "n", *[r6(c).alias(c) for c in ("mean", "p01", "p25", "p50", "p75", "p99")])
 
 
 @query
@@ -412,7 +411,7 @@ def order_violations(spark, sf):
 @query
 def poll_gaps(spark, sf):
     gaps = asof.poll_gap(events(spark, sf), ["eva"], "ts")
-    return profile.distribution(gaps, ["eva"], "gap_s", (0.5, 0.9, 1.0)).select("eva", "n", *[r6(c).alias(c) for c in ("mean", "p50", "p90", "p100")])
+    return profile.distribution(gaps, ["eva"], "gap_s", (0.5, 0.9, 1.0), exact=True).select("eva", "n", *[r6(c).alias(c) for c in ("mean", "p50", "p90", "p100")])
 
 
 @query
@@ -523,8 +522,9 @@ def station_cover(spark, sf):
 @query
 def risky_connections(spark, sf):
     d = _dataset(spark, sf).where("eligible AND cutoff_min = 30")
-    total = F.count("*").over(Window.partitionBy("hub"))
-    out = d.withColumn("risk", r6(1 / (1 + F.exp((F.col("db_slack_min") - 8) / 4)))).withColumn("hub_total", total)
+    d = save(d.select("hub", "stop_id_a", "stop_id_b", "db_slack_min", "pt_a", "cat_a", "line_a", "num_a", "planned_slack_min"))
+    totals = d.groupBy("hub").agg(F.count("*").alias("hub_total"))
+    out = d.withColumn("risk", r6(1 / (1 + F.exp((F.col("db_slack_min") - 8) / 4)))).join(totals, "hub")
     return out.where("risk >= 0.2").orderBy(F.desc("risk"), "pt_a", "stop_id_a", "stop_id_b").limit(50).select("hub", "stop_id_a", "stop_id_b", "risk", "hub_total", display_name(F.col("cat_a"), F.col("line_a"), F.col("num_a")).alias("train_a"), nearest_cutoff(F.col("planned_slack_min"), CUTOFFS).alias("nearest"))
 
 
@@ -547,8 +547,8 @@ def micros_of(c: Column) -> Column:
 
 @query
 def schema_census(spark, sf):
-    out = raw.schema_census(spark, [f"{sf}/{t}.parquet" for t in ("orders", "lineitem", "customer")])
-    return out.select("signature", "rows")
+    out = raw.schema_census(spark, [f"{sf}/{t}.parquet" for t in ("orders", "lineitem", "customer", "part", "region", "nation")])
+    return out.select("signature", "files", "rows")
 
 
 @query
@@ -565,24 +565,29 @@ def status_by_source(spark, sf):
 
 @query
 def data_age_status(spark, sf):
-    out = live.age_status(events(spark, sf), "eva", "ts", F.lit("2024-01-31 00:00:00").cast("timestamp"), 600, 1200)
+    out = live.age_status(events(spark, sf), "eva", "ts", span(spark, sf), 60, 600)
     return out.select("eva", r6("age_s").alias("age_s"), "status")
 
 
+@query
+def overall_age_status(spark, sf):
+    out = live.overall_status(live.age_status(events(spark, sf), "user_id", "ts", span(spark, sf), 3600, 86400))
+    return out.select(r6("age_s").alias("age_s"), "status")
+
+
 @query
 def deduplicated_tail(spark, sf):
     o = observations(spark, sf)
-    cut = F.lit("2024-01-20").cast("timestamp")
-    merged = raw.merged_tail(o.where(F.col("obs") <= cut), o, "obs", F.lit("2024-01-19 20:00:00").cast("timestamp"), F.lit("2024-01-22").cast("timestamp"), ["key", "obs", "ct", "cs"])
+    merged = raw.merged_tail(o.where(F.col("obs") <= span(spark, sf, 0.5)), o, "obs", span(spark, sf, 0.4), span(spark, sf, 0.75), ["key", "obs", "ct", "cs"])
     return merged.groupBy("eva").agg(F.count("*").alias("rows"), F.max(micros("obs")).alias("last_us"))
 
 
 @query
 def carried_states(spark, sf):
     o = observations(spark, sf)
-    early, late = o.where("obs < TIMESTAMP '2024-01-15'"), o.where("obs >= TIMESTAMP '2024-01-15'")
-    carried = live.carried_state(early.limit(0), early, ["key"], "obs", ["ct", "cs"])
-    out = live.carried_state(carried, late, ["key"], "obs", ["ct", "cs"], F.lit("2024-01-10").cast("timestamp"))
+    middle = span(spark, sf, 0.5)
+    carried = live.carried_state(o.limit(0), o.where(F.col("obs") < middle), ["key"], "obs", ["ct", "cs"])
+    out = live.carried_state(carried, o.where(F.col("obs") >= middle), ["key"], "obs", ["ct", "cs"], span(spark, sf, 0.3))
     return out.select("key", micros("obs").alias("obs_us"), "cs")
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.times import raw_to_utc
-from ..functions.trains import trip_key
+from ..functions.trains import clean_eva, trip_key
+from ..operators.profile import top_k
 
 PARSER_VERSION = 1
 RAW_SCHEMA = "collected_at string, source string, eva string, url string, status int, duration_ms long, body string, _bad string"
@@ -23,6 +25,13 @@ PARSED = (
 )
 
 
+class LoadedWindow(NamedTuple):
+    plan: DataFrame
+    obs: DataFrame
+    polls: DataFrame
+    span: DataFrame
+
+
 class OldParser(RuntimeError):
     """Rows of the window were parsed by a version that is too old."""
 
@@ -43,7 +52,14 @@ def parse_responses(raw: DataFrame) -> DataFrame:
 
     A body that isn't XML gives no row; count those with parse_errors(). Times are local on the wire.
     """
-    root = raw.withColumn("_x", F.from_xml("body", _XML, {"rowTag": "timetable"}))
+    return _parsed(_with_xml(raw))
+
+
+def _with_xml(raw: DataFrame) -> DataFrame:
+    return raw.withColumn("_x", F.from_xml("body", _XML, {"rowTag": "timetable"}))
+
+
+def _parsed(root: DataFrame) -> DataFrame:
     stop = root.select(F.to_timestamp("collected_at").alias("collected_at"), "source", "eva", F.col("_x._station").alias("station_name"), F.explode("_x.s").alias("_s"))
     events = F.filter(F.array(F.struct(F.lit("ar").alias("event"), F.col("_s.ar").alias("e")), F.struct(F.lit("dp").alias("event"), F.col("_s.dp").alias("e"))), lambda x: x["e"].isNotNull())
     rows = stop.withColumn("_e", F.explode_outer(events))
@@ -56,11 +72,14 @@ def parse_responses(raw: DataFrame) -> DataFrame:
     return rows.select("collected_at", "source", "eva", "station_name", *[c.alias(n) for n, c in out.items()]).select(*PARSED)
 
 
+def _error_counts() -> list[Column]:
+    wrong = F.col("body").isNotNull() & (F.trim("body") != "") & (F.col("_x._corrupt_record").isNotNull() | F.col("_x").isNull())
+    return [F.count(F.lit(1)).alias("responses"), F.count_if(F.col("_bad").isNotNull()).alias("bad_lines"), F.count_if(wrong).alias("parse_errors")]
+
+
 def parse_errors(raw: DataFrame) -> DataFrame:
     """One row: responses, unreadable lines, bodies that are no XML."""
-    x = raw.withColumn("_x", F.from_xml("body", _XML, {"rowTag": "timetable"}))
-    wrong = F.col("body").isNotNull() & (F.trim("body") != "") & (F.col("_x._corrupt_record").isNotNull() | F.col("_x").isNull())
-    return x.agg(F.count("*").alias("responses"), F.count_if(F.col("_bad").isNotNull()).alias("bad_lines"), F.count_if(wrong).alias("parse_errors"))
+    return _with_xml(raw).agg(*_error_counts())
 
 
 def write_parsed(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -70,10 +89,15 @@ def write_parsed(rows: DataFrame, path: str, mode: str = "errorifexists") -> Non
 
 
 def rebuild_parsed(spark: SparkSession, raw_path: str, out: str, replace: bool = False) -> DataFrame:
-    """Parses all raw files anew; refuses to add to existing output unless it may replace it. Returns the counts."""
-    raw = read_raw(spark, raw_path)
-    write_parsed(parse_responses(raw.where("_bad IS NULL")), out, "overwrite" if replace else "errorifexists")
-    return parse_errors(raw).crossJoin(spark.read.parquet(out).agg(F.count("*").alias("rows")))
+    """Parses all raw files anew; refuses to add to existing output unless it may replace it. Returns the counts.
+
+    Bodies are parsed once: the counts are observed while the rows are written.
+    """
+    watch = Observation()
+    counted = _with_xml(read_raw(spark, raw_path)).observe(watch, *_error_counts())
+    write_parsed(_parsed(counted.where("_bad IS NULL")), out, "overwrite" if replace else "errorifexists")
+    rows = spark.read.parquet(out).agg(F.count("*").alias("rows"))
+    return rows.select(*[F.lit(watch.get[k]).cast("long").alias(k) for k in ("responses", "bad_lines", "parse_errors")], "rows")
 
 
 def read_parsed(spark: SparkSession, path: str, dates: Sequence[str] | None = None, extra: DataFrame | None = None) -> DataFrame:
@@ -97,9 +121,26 @@ def merged_tail(flushed: DataFrame, tail: DataFrame, time: str, after: Column, u
     return flushed.unionByName(new, allowMissingColumns=True).dropDuplicates(list(key))
 
 
-def replace_days(rows: DataFrame, path: str, day: str = "service_day") -> None:
-    """Writes whole days, replacing just the days that the rows hold."""
+def replace_days(rows: DataFrame, path: str, day: str = "service_day", meta: dict[str, str] | None = None) -> None:
+    """Writes whole days, replacing just the days that the rows hold; facts about them go to the table `path`_meta.
+
+    meta: facts that hold for all these days, such as versions; the number of rows is added.
+    """
     rows.write.partitionBy(day).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    if meta is not None:
+        spark = rows.sparkSession
+        facts = F.create_map(*[F.lit(x) for kv in meta.items() for x in kv]) if meta else F.expr("map()").cast("map<string,string>")
+        held = rows.select(day).distinct()
+        counts = spark.read.parquet(path).join(F.broadcast(held), day, "left_semi").groupBy(day).agg(F.count("*").alias("rows")).withColumn("facts", facts)
+        counts.write.partitionBy(day).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{path}_meta")
+
+
+def read_days(spark: SparkSession, path: str, columns: Sequence[str], days: Sequence[str] | None = None, day: str = "service_day") -> DataFrame:
+    """A few columns of many daily files, with the day from their folders; only the asked days and columns are read."""
+    rows = spark.read.parquet(path)
+    if days is not None:
+        rows = rows.where(F.col(day).isin(*days))
+    return rows.select(*columns, day)
 
 
 def collector_status(rows: DataFrame) -> DataFrame:
@@ -109,27 +150,71 @@ def collector_status(rows: DataFrame) -> DataFrame:
     )
 
 
-def schema_census(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Files that share a set of column names and types, with their rows: (signature, files, rows)."""
-    fields = T.StructType([T.StructField("signature", T.StringType()), T.StructField("path", T.StringType()), T.StructField("rows", T.LongType())])
-    parts = []
-    for p in paths:
-        df = spark.read.parquet(p)
-        signature = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in sorted(df.schema.fields, key=lambda f: f.name))
-        parts.append(df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows")).select(F.lit(signature).alias("signature"), "path", "rows"))
-    if not parts:
-        return spark.createDataFrame([], fields)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.groupBy("signature").agg(F.count("*").alias("files"), F.sum("rows").alias("rows"))
+def schema_census(spark: SparkSession, paths: Sequence[str], months: str = r"(?:^|[/=])(\d{4}-\d{2})(?=[-/.]|$)") -> DataFrame:
+    """Parquet files that share a set of column names and types: (signature, files, rows, first_month, last_month).
+
+    Files are listed by Spark and their footers read in parallel, no data. A month is what `months` finds in a
+    file's path, the last match; null where it finds none. Types are named as Arrow names them.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(list(paths)).select("path") if paths else spark.createDataFrame([], "path string")
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs, parquet
+
+        for batch in batches:
+            signatures, rows = [], []
+            for path in batch.column(0).to_pylist():
+                store, name = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+                with store.open_input_file(name) as f:
+                    footer = parquet.ParquetFile(f)
+                    fields = sorted(footer.schema_arrow, key=lambda x: x.name)
+                    signatures.append(",".join(f"{x.name}:{x.type}" for x in fields))
+                    rows.append(footer.metadata.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signatures, pa.string()), pa.array(rows, pa.int64())], ["path", "signature", "rows"])
+
+    found = listed.repartition(spark.sparkContext.defaultParallelism, "path").mapInArrow(footers, "path string, signature string, rows long")
+    month = F.try_element_at(F.regexp_extract_all("path", F.lit(months), 1), F.lit(-1))
+    return found.groupBy("signature").agg(F.count("*").alias("files"), F.sum("rows").alias("rows"), F.min(month).alias("first_month"), F.max(month).alias("last_month"))
 
 
 def element_census(raw: DataFrame, k: int = 5) -> DataFrame:
-    """(element, attribute, value, n, rank): the most frequent values of each attribute, from names found in the text itself."""
-    tags = raw.select(F.explode(F.regexp_extract_all("body", F.lit(r"(<[A-Za-z][^<>]*>)"), 1)).alias("tag"))
-    pairs = tags.select(F.regexp_extract("tag", r"^<([A-Za-z]+)", 1).alias("element"), F.explode(F.regexp_extract_all("tag", F.lit(r'([A-Za-z]+="[^"]*")'), 1)).alias("pair"))
-    values = pairs.select("element", F.substring_index("pair", "=", 1).alias("attribute"), F.regexp_extract("pair", '"(.*)"', 1).alias("value"))
-    from ..operators.profile import top_k
+    """(element, attribute, value, n, rank): the most frequent values of each attribute, from names found in the text itself.
 
+    Names may hold digits, marks and prefixes (h1, data-id, xlink:href); values stand in either kind of quotes. Works on
+    any markup without knowing its names, which from_xml() would have to.
+    """
+    tags = raw.select(F.explode(F.regexp_extract_all("body", F.lit(r"(<[A-Za-z][^<>]*>)"), 1)).alias("tag"))
+    quoted = r"""([A-Za-z_:][-A-Za-z0-9_:.]*\s*=\s*(?:"[^"]*"|'[^']*'))"""
+    pairs = tags.select(F.regexp_extract("tag", r"^<([A-Za-z][-A-Za-z0-9_:.]*)", 1).alias("element"), F.explode(F.regexp_extract_all("tag", F.lit(quoted), 1)).alias("pair"))
+    value = F.regexp_extract("pair", r"(?s)=\s*(.*)$", 1)
+    values = pairs.withColumn("_v", value).select("element", F.regexp_extract("pair", r"^([-A-Za-z0-9_:.]+)", 1).alias("attribute"), F.expr("substring(_v, 2, length(_v) - 2)").alias("value"))
     return top_k(values, ["element", "attribute"], "value", k).select("element", "attribute", "value", "n", "rank")
+
+
+def historic_stops(rows: DataFrame) -> DataFrame:
+    """A historic stop table with its station numbers cleaned and the keys of runs and stops made from its columns.
+
+    rows: eva, train_id, day, nth, and any others. Adds run_key (train and day) and stop_key (run and number).
+    """
+    return rows.withColumn("eva", clean_eva(F.col("eva"))).withColumn("run_key", F.concat_ws("-", F.regexp_replace("train_id", "^-+", ""), F.date_format("day", "yyMMdd"))).withColumn("stop_key", F.concat_ws("-", "run_key", "nth"))
+
+
+def load_window(plan_rows: DataFrame, obs_rows: DataFrame, t0: Column, t1: Column, stations: Sequence[str] | None = None, extra: DataFrame | None = None) -> LoadedWindow:
+    """Plan, observations, polls and span of a time window: of parsed rows of both sources, by date, station and time.
+
+    plan has the latest version of each event that is planned in [t0, t1); obs the observations collected up to t1 of
+    those stations; polls (eva, t) when each station was asked; span one row (first, last). `extra` are parsed rows that
+    aren't stored yet. Where the tables are partitioned by date, only the dates that can matter are read.
+    """
+    here = lambda df: df if stations is None else df.where(F.col("eva").isin(*stations))
+    obs = here(obs_rows if extra is None else obs_rows.unionByName(extra, allowMissingColumns=True)).where(F.col("collected_at") < t1)
+    known = here(plan_rows).where((F.col("pt") >= t0) & (F.col("pt") < t1))
+    if "date" in known.columns:  # a plan is collected before its time
+        known = known.where(F.col("date") <= F.to_date(t1))
+    if "date" in obs.columns:
+        obs = obs.where(F.col("date") <= F.to_date(t1))
+    version = F.struct("collected_at", "pt", "pp", "line", "ppth")
+    plan = known.groupBy("eva", "stop_id", "event").agg(F.max_by(F.struct("pt", "pp", "line", "ppth"), version).alias("_v"), F.min("collected_at").alias("first_seen")).select("eva", "stop_id", "event", "_v.*", "first_seen")
+    polls = obs.select("eva", F.col("collected_at").alias("t")).distinct()
+    span = polls.agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    return LoadedWindow(plan, obs.select("eva", "stop_id", "event", F.col("collected_at").alias("obs"), "ct", "cs"), polls, span)

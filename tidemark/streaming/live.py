@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,10 +33,19 @@ def carried_state(carried: DataFrame, batch: DataFrame, key: Sequence[str], time
     return out if keep_from is None else out.where(F.col(time) >= keep_from)
 
 
-def state_stream(rows: DataFrame, path: str, checkpoint: str, key: Sequence[str], time: str, values: Sequence[str], every: str | None = None) -> StreamingQuery:
-    """Keeps the last state of each key in numbered snapshots under `path`, one for each batch.
+def drop_old_snapshots(spark: SparkSession, path: str, n: int) -> None:
+    """Removes the snapshot n of a stream's table, through Spark's file system, so that only the last ones stay."""
+    if n >= 0:
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/n={n}")
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
-    A batch that runs again after a failure writes the same snapshot from the same one before it.
+
+def state_stream(rows: DataFrame, path: str, checkpoint: str, key: Sequence[str], time: str, values: Sequence[str], every: str | None = None, keep: str | None = None) -> StreamingQuery:
+    """Keeps the last state of each key in numbered snapshots under `path`, of which the last two stay.
+
+    A batch that runs again after a failure writes the same snapshot from the same one before it. With `keep`
+    (an interval such as '48 hours') keys whose last row is older than the newest one by more are
+    forgotten, which bounds the snapshot by the keys of that stretch.
     """
 
     def update(batch: DataFrame, number: int) -> None:
@@ -44,7 +53,12 @@ def state_stream(rows: DataFrame, path: str, checkpoint: str, key: Sequence[str]
         before = batch.select(*key, time, *values).limit(0)
         if number > 0:
             before = spark.read.parquet(f"{path}/n={number - 1}")
-        carried_state(before, batch, key, time, values).write.mode("overwrite").parquet(f"{path}/n={number}")
+        since = None
+        if keep is not None:
+            newest = before.select(time).unionByName(batch.select(time)).agg(F.max(time)).first()[0]
+            since = None if newest is None else F.lit(newest) - F.expr(f"INTERVAL {keep}")
+        carried_state(before, batch, key, time, values, since).write.mode("overwrite").parquet(f"{path}/n={number}")
+        drop_old_snapshots(spark, path, number - 2)
 
     writer = rows.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
@@ -73,6 +87,40 @@ def age_status(rows: DataFrame, key: str, time: str, now: Column, degraded_s: fl
     return last.select(key, age.alias("age_s"), status.alias("status"))
 
 
+def overall_status(ages: DataFrame) -> DataFrame:
+    """One row (age_s, status): the freshest key's age and the worst status of any; error without keys."""
+    worst = F.max(F.when(F.col("status") == "error", 2).when(F.col("status") == "degraded", 1).otherwise(0))
+    return ages.agg(F.min("age_s").alias("age_s"), F.when(worst == 0, "ok").when(worst == 1, "degraded").otherwise("error").alias("status"))
+
+
+def grid_state_stream(rows: DataFrame, plan: DataFrame, path: str, checkpoint: str, step: int = 5, every: str | None = None, keep: str = "48 hours") -> StreamingQuery:
+    """Point-in-time state of the hubs at each grid time that a batch of observations completes, in `path`/n=<batch>.
+
+    rows: key, obs, ct, cs, eva. A batch carries the observations of the last `keep` along (under `path`-carried) and
+    writes hub_state() of the grid times after the newest observation before it, up to its own newest one.
+    """
+    from ..functions.times import floor_to, shifted
+    from ..operators.grid import events_on_grid, hub_state
+
+    def update(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        part = batch.select("key", "obs", "ct", "cs")
+        held = part if n == 0 else spark.read.parquet(f"{path}-carried/n={n - 1}").unionByName(part)
+        newest = held.agg(F.max("obs")).first()[0]
+        if newest is None:
+            part.write.mode("overwrite").parquet(f"{path}-carried/n={n}")
+            return
+        before = None if n == 0 else spark.read.parquet(f"{path}-carried/n={n - 1}").agg(F.max("obs")).first()[0]
+        first = F.lit(before or batch.agg(F.min("obs")).first()[0])
+        held.where(F.col("obs") >= F.lit(newest) - F.expr(f"INTERVAL {keep}")).write.mode("overwrite").parquet(f"{path}-carried/n={n}")
+        grid = events_on_grid(plan, held, shifted(floor_to(first, step), step), F.lit(newest), step)
+        hub_state(grid).write.mode("overwrite").parquet(f"{path}/n={n}")
+        drop_old_snapshots(spark, f"{path}-carried", n - 2)
+
+    writer = rows.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def upcoming(pairs: DataFrame, now: Column, low_min: float = 2, high_min: float = 65) -> DataFrame:
     """Pairs whose arrival is planned low..high minutes from now."""
     ahead = (F.unix_micros("pt_a") - F.unix_micros(now)) / F.lit(6e7)
@@ -86,13 +134,3 @@ def input_status(rows: DataFrame, polls: DataFrame, key: str, time: str, poll_ti
     known = lambda c: F.coalesce(F.col(c), F.lit(False))
     status = F.when(known("a_cancelled"), "a_cancelled").when(gap.isNull() | (gap > max_gap_min), "collector_gap").when(known("ambiguous"), "dst_ambiguous").otherwise("ok")
     return seen.withColumn("status", status).drop("_poll")
-
-
-def score_stream(rows: DataFrame, checkpoint: str, score: Callable[[DataFrame, int], None], every: str = "1 minute") -> StreamingQuery:
-    """Calls score(batch, number) at each trigger: candidates, features and models over the batch and the carried state."""
-    return rows.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
-
-
-def score_available(rows: DataFrame, checkpoint: str, score: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """The same over what is there, then it ends."""
-    return rows.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
