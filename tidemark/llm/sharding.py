@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_rank
+from .common import save, with_rank
 
 #: The round function works modulo this prime, so that products stay inside 64 bits.
 PRIME = (1 << 31) - 1
@@ -89,8 +89,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 20, id_col: s
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = save(rows)  # the range partitioning reads them twice
     numbered = with_rank(rows, [], ["doc_id", "text_crc32", "size"], "row_number")
-    n = docs.count()
+    n = rows.count()
 
     @F.pandas_udf("long")
     def placed(row: pd.Series) -> pd.Series:
