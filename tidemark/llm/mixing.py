@@ -65,7 +65,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     the same rows. Other columns are not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"))
-    ranked = with_rank(rows, ["source"], ["size", "doc_id"], "_rank")
+    ranked = with_rank(save(rows), ["source"], ["size", "doc_id"], "_rank")
     targets = save(source_targets(ranked.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights))
     targets = targets.withColumnRenamed("source", "_source")
     joined = ranked.join(targets, F.col("source").eqNullSafe(F.col("_source")))
