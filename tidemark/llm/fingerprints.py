@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions
 
 #: Words in a shingle, and the fraction of all 2**64 hashes that a sketch keeps.
-WORDS, SCALE = 5, 8
+WORDS, SCALE = 5, 4
 
 
 def with_sketch(df: DataFrame, text: Column, name: str, scale: int = SCALE, words: int = WORDS) -> DataFrame:
@@ -65,7 +67,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str, columns: list[str], pre
     bounds = ids.agg(F.percentile_approx("i", [k / n for k in range(1, n)], 20 * n).alias("b")).first()["b"] or []
     bounds = sorted(set(bounds))
     id_type = df.schema[id_col].dataType.simpleString()
-    array = lambda x, kind: F.array(*map(F.lit, x)).cast(f"array<{kind}>")
+    array = lambda x, kind: F.from_json(F.lit(json.dumps(x)), f"array<{kind}>")  # noqa: E731  one literal once folded
     table, steps = array(bounds, id_type), array([1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)], "int")
 
     def bucket_of(x: Column) -> Column:
@@ -80,8 +82,9 @@ def with_next(df: DataFrame, id_col: str, text_col: str, columns: list[str], pre
     before = [b for b, _ in heads[-1:] + heads[:-1]]
     null_head = df.where(F.col(id_col).isNull()).agg(F.min(F.coalesce(text_col, F.lit(""))).alias("t")).first()["t"] if heads and heads[-1][0] < 0 else None
     real = [(first, b) for (bucket, first), b in zip(heads, before, strict=True) if bucket >= 0]
-    place = F.array_position(array([first for first, _ in real], id_type), F.col(id_col))
-    to = F.when(place > 0, F.get(array([b for _, b in real], "int"), place.cast("int") - 1))
+    table_of_heads = spark.createDataFrame(real, f"_head {id_type}, _to int")  # at most one row a bucket
+    df = df.join(F.broadcast(table_of_heads), F.col(id_col) == F.col("_head"), "left")
+    to = F.col("_to")
     wrap = F.col(id_col) == F.lit(heads[0][1]) if real else F.lit(True)
     if null_head is not None:
         first_null = F.col(id_col).isNull() & (F.coalesce(text_col, F.lit("")) == F.lit(null_head))
@@ -91,7 +94,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str, columns: list[str], pre
     spread = df.withColumn("_at", F.explode(F.when(to.isNotNull(), F.array(own, copy)).otherwise(F.array(own))))
     w = Window.partitionBy("_at.b").orderBy(F.col("_at.wrap"), F.col(id_col).desc_nulls_last(), F.coalesce(text_col, F.lit("")))
     led = spread.select("*", *[F.lead(c).over(w).alias(prefix + c) for c in columns])
-    return led.where(~F.col("_at.copy")).drop("_at")
+    return led.where(~F.col("_at.copy")).drop("_at", "_head", "_to")
 
 
 def fingerprint_documents(docs: DataFrame, scale: int = SCALE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
