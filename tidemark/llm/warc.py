@@ -7,6 +7,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -14,6 +15,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import join_skewed, save
+
 #: Fixed values of the formats: the skippable frame that holds a dictionary, other skippable frames, a data frame.
 DICTIONARY_MAGIC, SKIP_FIRST, SKIP_LAST, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0x184D2A5F, 0xFD2FB528
 REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
@@ -21,6 +24,8 @@ REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 LINE_END = struct.pack("<II", SKIP_FIRST, 1)
 #: Bytes of records from which an archive's dictionary is trained, the dictionary's size, and bytes a row of the writer holds.
 SAMPLE, DICTIONARY, CHUNK = 1 << 20, 16 << 10, 1 << 20
+#: Chunks after which a new archive begins, so that a reader can hold one: about 128 MB, or one longer record.
+ARCHIVE = 128
 
 
 def digest(payload: bytes) -> str:
@@ -48,8 +53,11 @@ def trained(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
         return None
 
 
-def frames(records: Iterator[bytes]) -> Iterator[bytes]:
-    """The bytes of one archive in chunks: the dictionary of its first records, then a frame per record."""
+def frames(records: Iterator[bytes], most: int = 1 << 62) -> Iterator[bytes]:
+    """The bytes of one archive in chunks: the dictionary of its first records, then a frame per record.
+
+    Ends after `most` chunks (three at least) and leaves the other records to the next archive.
+    """
     head: list[bytes] = []
     size = 0
     for r in records:
@@ -65,24 +73,26 @@ def frames(records: Iterator[bytes]) -> Iterator[bytes]:
         content = zstandard.ZstdCompressor(level=10).compress(chosen.as_bytes())
         out = struct.pack("<II", DICTIONARY_MAGIC, len(content)) + content
     compressor = zstandard.ZstdCompressor(level=3, dict_data=chosen, write_checksum=True)
-    parts, size = [out], len(out)
+    parts, size, made = [out], len(out), 0
     for source in (head, records):
         for r in source:
             parts.append(compressor.compress(r))
             size += len(parts[-1])
             if size >= CHUNK:
                 yield b"".join(parts)
-                parts, size = [], 0
+                parts, size, made = [], 0, made + 1
+                if made >= max(3, most):
+                    return
     if parts:
         yield b"".join(parts)
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Writes one record per page into archives under `path`, one for each partition.
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunks: int = ARCHIVE) -> None:
+    """Writes one record per page into archives under `path`, of at most `chunks` chunks of CHUNK bytes each.
 
     Of pages with the same payload of at least `min_bytes` bytes, the one with the smallest id is a
-    response and the others are revisits of it; shorter ones are all responses. Only (digest, smallest
-    id) of repeated payloads is joined to the pages. The files go through Spark's own writer, so
+    response and the others are revisits of it; shorter ones are all responses. (digest, smallest
+    id) of repeated payloads is joined to the pages, a payload of very many pages in several parts. The files go through Spark's own writer, so
     the path can be on any store and a lost task is written again.
 
     A null payload is an empty one, a null URL becomes urn:page:<id>, and a page without id is a
@@ -90,8 +100,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     """
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("_sha1"))
-    repeated = rows.where(F.length("payload") >= min_bytes).groupBy("_sha1").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_sha1", "_first")
-    marked = rows.join(repeated, "_sha1", "left").select("page_id", "url", "payload", F.when(F.col("page_id") != F.col("_first"), F.col("_first")).alias("refers_to"))
+    repeated = rows.where(F.length("payload") >= min_bytes).groupBy("_sha1").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    marked = join_skewed(rows, save(repeated), ["_sha1"], "_n", "page_id", "left").select("page_id", "url", "payload", F.when(F.col("page_id") != F.col("_first"), F.col("_first")).alias("refers_to"))
 
     def archived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
@@ -102,10 +112,13 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
                     uri = f"urn:page:{page}" if url is None else quote(url, safe="!#$%&'()*+,/:;=?@[]~ ").strip()
                     yield record(kind, f"urn:page:{page}", uri, data.as_py(), f"urn:page:{first}", date)
 
-        for chunk in frames(records()):
-            yield pa.RecordBatch.from_arrays([pa.array([chunk + LINE_END], pa.binary())], ["chunk"])
+        rest = records()
+        while (first := next(rest, None)) is not None:
+            for chunk in frames(chain([first], rest), chunks):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk + LINE_END], pa.binary())], ["chunk"])
 
-    marked.mapInArrow(archived, "chunk binary").select(F.col("chunk").cast("string").alias("value")).write.text(path)
+    # a row is a chunk, so the writer begins a file where an archive begins
+    marked.mapInArrow(archived, "chunk binary").select(F.col("chunk").cast("string").alias("value")).write.option("maxRecordsPerFile", max(3, chunks)).text(path)
 
 
 def archive_frames(data: bytes) -> Iterator[bytes]:
