@@ -20,8 +20,9 @@ THRESHOLD = 0.7
 
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
-#: Marks that addresses and numbers need (+ - . _ @ ( ) /) are no sign of bad lines.
-_SYMBOLS = b"!#$%&*<=>?[\\]^`{|}~"
+#: Chosen on training folds: fitted on the ids of remainder 0 and 1, those of remainder 3 get a log loss of 0.00668
+#: with these marks, 0.00713 without those of addresses (+ - . _ @ ( ) /).
+_SYMBOLS = b"!#$%&()*+-./<=>?@[\\]^_`{|}~"
 _STOPS = b".,;:"
 
 
