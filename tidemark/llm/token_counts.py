@@ -21,6 +21,8 @@ CONTRACTIONS = ("'re", "'ve", "'ll")
 NEVER = 1 << 40
 #: Chunks that a task remembers before it starts anew.
 CACHE = 500_000
+#: Characters above which a piece's table is kept while its text is worked on.
+LONG = 200
 
 
 def byte_letters() -> dict[str, int]:
@@ -62,6 +64,8 @@ class PrefixCounter:
         self.pairs: dict[int, bool] = {}
         self.totals: dict[str, int] = {}
         self.parts: dict[str, int] = {}
+        #: tables of the current text's pieces that are too long to make twice
+        self.tables: dict[str, list[int]] = {}
 
     @staticmethod
     def _spine(token: int, made: dict[int, tuple[int, int, int]], side: int) -> list[tuple[int, int]]:
@@ -122,13 +126,24 @@ class PrefixCounter:
             self.parts.clear()
         total = 0
         for part in self.pieces(chunk):
-            known = self.parts.get(part)
-            if known is None:
-                known = self.parts[part] = self.piece_counts(part.encode())[-1]
-            total += known
+            total += self._part(part)
         self.totals[chunk] = total
         return total
 
+    def _part(self, part: str) -> int:
+        known = self.parts.get(part)
+        if known is None:
+            known = self.parts[part] = self._table(part)[-1]
+        return known
+
+    def _table(self, part: str) -> list[int]:
+        table = self.tables.get(part)
+        if table is None:
+            table = self.piece_counts(part.encode())
+            if len(part) > LONG:
+                self.tables[part] = table
+        return table
+
     def segments(self, text: str) -> Iterator[tuple[bool, str]]:
         """(is special, part): special strings stand for themselves, as the library has it by default."""
         at = 0
@@ -142,6 +157,7 @@ class PrefixCounter:
 
     def boundaries(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(ends, counts): code point ends of all chunks and the tokens up to each, from 0."""
+        self.tables.clear()
         ends, counts = [0], [0]
         for special, part in self.segments(text):
             if special:
@@ -157,9 +173,11 @@ class PrefixCounter:
     def count(self, text: str) -> int:
         return int(self.boundaries(text)[1][-1])
 
-    def prefix_counts(self, text: str) -> np.ndarray:
+    def prefix_counts(self, text: str, since: int = 0) -> np.ndarray:
         """Tokens of text[:i] for i = 0..len(text), each as if that prefix were the whole text.
 
+        Prefixes that end in pieces up to `since` may be left at 0.
+
         Chunks before the last are final. Inside one, a piece's own table answers; a prefix that
         ends in white space has the run of white space as one piece, and a contraction that is
         still incomplete stands apart from its apostrophe. Inside a special string the letters
@@ -184,7 +202,12 @@ class PrefixCounter:
             for chunk in self.chunk.findall(part):
                 before, where = inside, start
                 for piece in self.pieces(chunk):
-                    table = self.piece_counts(piece.encode())
+                    if where + len(piece) <= since:
+                        before += self._part(piece)
+                        where += len(piece)
+                        out[where] = before
+                        continue
+                    table = self._table(piece)
                     size = 0
                     for k, c in enumerate(piece, 1):
                         size += len(c.encode())
@@ -227,7 +250,15 @@ def fitting(counter: PrefixCounter, text: str, limit: int, ends: np.ndarray, cou
         base -= 1  # the beginning of a special string goes with the chunk before it
     while base and counter.blank.match(text[ends[base] - 1]):
         base -= 1
-    inside = counter.prefix_counts(text[ends[base] : ends[k]])
+    start, end, total = int(ends[k - 1]), int(ends[k]), int(counts[k - 1])
+    if text[start:end] not in counter.specials:
+        for piece in counter.pieces(text[start:end]):  # later ones are beyond the budget at once
+            total += counter._part(piece)
+            if total > limit:
+                end = start + len(piece)
+                break
+            start += len(piece)
+    inside = counter.prefix_counts(text[ends[base] : end], start - int(ends[base]))
     return int(ends[base]) + truncation(inside, limit - int(counts[base]))
 
 
