@@ -494,3 +494,43 @@ def all_feature_groups(spark, sf):
     out = features.context(out)
     numbers = ("hub_share_cancel", "line_recent_delay_a", "corridor_delay_a", "age_a_min", "trend_a_15", "trend_a_30", "hour_sin")
     return out.select("stop_id", "cutoff_min", *[F.round(F.col(c), 4).alias(c) for c in numbers], F.col("n_delay_codes_a").cast("long").alias("n_delay_codes_a"), F.col("n_quality_a").cast("long").alias("n_quality_a"), "day_type", "same_platform")
+
+
+@query
+def matched_runs(spark, sf):
+    """How many arrivals have the same run at the same hub, where a departing event is preferred to an arriving one; by kind of match."""
+    p = plan(spark, sf)
+    best = profile.preferred(p.where("stop_id NOT LIKE '%0-1'"), ["eva", "trip"], F.when(F.col("event") == "dp", 0).otherwise(1), ["pt", "stop_id", "event"]).select("eva", "trip", F.col("event").alias("matched_event"))
+    rows = p.where("event = 'ar'").select("eva", "trip").join(best, ["eva", "trip"], "left")
+    return rows.groupBy("eva").agg(F.count("*").alias("arrivals"), r6(F.avg(F.col("matched_event").isNotNull().cast("int"))).alias("match_rate"), r6(F.avg((F.col("matched_event") == "dp").cast("int"))).alias("departing"))
+
+
+@query
+def named_suppliers(spark, sf):
+    """The twenty busiest suppliers whose name holds a 1, with their lines per active day and mean quantity."""
+    names = table(spark, sf, "supplier").where(F.col("s_name").ilike("%SUPPLIER%1%")).select("s_suppkey", "s_name")
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("lines"), F.count_distinct(F.to_date("l_shipdate")).alias("days"), F.avg("l_quantity").alias("quantity"))
+    return names.join(lines, "s_suppkey").select("s_suppkey", "s_name", "lines", r6(F.col("lines") / F.col("days")).alias("lines_per_day"), r6("quantity").alias("quantity")).orderBy(F.desc("lines"), "s_suppkey").limit(20)
+
+
+@query
+def cancellation_shares(spark, sf):
+    is_type = lambda t: F.col("event_type") == t
+    e = events(spark, sf).withColumn("hour", F.hour("ts"))
+    out = profile.shares_of(e, ["eva", "hour"], {"cancelled": is_type("error"), "replaced": is_type("signup"), "late": F.when(~is_type("error"), F.col("value") > 60)})
+    return out.select("eva", "hour", "rows", *[r6(c).alias(c) for c in ("cancelled", "replaced", "late")])
+
+
+@query
+def hub_period_summary(spark, sf):
+    d = _dataset(spark, sf).where("eligible").select("hub", "cutoff_min", F.weekofyear("pt_a").alias("week"), F.col("label_fail").cast("int").alias("fail"), "planned_slack_min")
+    return d.groupBy("hub", "cutoff_min", "week").agg(F.count("*").alias("rows"), r6(F.avg("fail")).alias("fail_rate"), r6(F.avg("planned_slack_min")).alias("mean_slack"))
+
+
+@query
+def gains_per_day_and_slice(spark, sf):
+    """Gains by day, one column for each priority that occurs."""
+    gains = save(metrics.gains_by(predictions(spark, sf), ["day", "priority"], "label", "p_model", "p_base"))
+    found = [r[0] for r in gains.select("priority").distinct().orderBy("priority").limit(100).collect()]  # a pivot needs its columns
+    wide = gains.groupBy("day").pivot("priority", found).agg(F.first("gain"))
+    return wide.select("day", *[r6(F.col(f"`{c}`")).alias(c.split("-")[0].lower()) for c in found])
