@@ -8,9 +8,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +26,6 @@ TERM = re.compile(r"\w{3,}")
 GENERALISE, REMOVE = 0.75, 0.9
 #: Different texts in which term and entity must stand together; one meeting is no evidence.
 SUPPORT = 2
-#: Bits of the filter that keeps terms beside no entity out of the term count, whatever the corpus; 8 MB.
-BITS = 1 << 26
 
 Span = tuple[int, int]
 
@@ -149,34 +145,15 @@ def terms_of(text: str) -> set[str]:
     return {t.lower() for t in set(TERM.findall(text))}
 
 
-def _filter_of(terms: DataFrame) -> np.ndarray:
-    """A bit for each hash that a term may have, modulo BITS; at most BITS / 64 words come to the driver."""
-    bit = F.pmod(F.xxhash64("term"), F.lit(BITS))
-    words = terms.select(bit.alias("bit")).distinct().groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits"))
-    out = np.zeros(BITS // 64, dtype=np.int64)
-    for batch in words.toArrow().to_batches():
-        out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
-    return out.view(np.uint64)
-
-
-def term_counts(docs: DataFrame, wanted: DataFrame | None = None, text_col: str = "text") -> DataFrame:
-    """(term, in_rows): rows whose text has the term, over all rows; counted per batch, then added up.
-
-    With `wanted` (term), terms that it surely lacks are left out before the shuffle; a few others stay in.
-    """
-    held = None if wanted is None else docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
+def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, in_rows): rows whose text has the term, over all rows; counted per batch, then added up."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
                 counts.update(terms_of(text))
-            terms = list(counts)
-            if held is not None:
-                at = np.fromiter((xxhash.xxh64_intdigest(t.encode(), 42) for t in terms), np.uint64, len(terms)).view(np.int64) % BITS
-                there = held.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
-                terms = [terms[k] for k in np.flatnonzero(there)]
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[t] for t in terms], pa.int64())], ["term", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
     return rows.mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("in_rows"))
@@ -205,7 +182,7 @@ def disclosing_terms(scan: DataFrame, docs: DataFrame, n_rows: int, generalise:
     rows = texts.join(own, "_at").select("own", "n", "private").mapInArrow(listed, "own array<struct<entity:string,n_entity:long>>, n long, terms array<string>")
     each = rows.select("n", "terms", F.explode("own").alias("of")).select("of.*", "n", F.explode("terms").alias("term"))
     both = save(each.groupBy("entity", "term").agg(F.max("n_entity").alias("n_entity"), F.sum("n").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= support))
-    scored = both.join(term_counts(docs, both.select("term"), text_col), "term")
+    scored = both.join(term_counts(docs, text_col), "term")
     pmi = F.log2(F.lit(float(n_rows)) * F.col("n_both") / (F.col("in_rows") * F.col("n_entity")))
     information = F.log2(F.lit(float(n_rows)) / F.col("n_entity"))
     scored = scored.withColumn("disclosure", F.when(information > 0, pmi / information).otherwise(F.lit(0.0)))
