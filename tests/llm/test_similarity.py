@@ -172,7 +172,7 @@ def test_joins_of_skewed_keys(spark):
 
 
 def test_large_mixed_nodes_are_divided(spark, monkeypatch):
-    for name, value in (("SMALL", 2), ("LARGE", 4), ("BLOCK", 8)):
+    for name, value in (("SMALL", 2), ("LARGE", 4), ("BLOCK", 8), ("HUGE", 8)):
         monkeypatch.setattr(minhash, name, value)
     test_near_duplicates_against_all_pairs(spark, 85)
 

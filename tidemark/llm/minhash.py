@@ -20,9 +20,9 @@ WORDS = 5
 #: Minwise tokens of a document: the first TREES * ROOTS start the trees, the others extend paths.
 TOKENS, TREES, ROOTS, DEPTH = 128, 6, 2, 4
 #: Nodes of at most SMALL documents are compared pair by pair at once; larger ones branch while they exceed LARGE.
-SMALL, LARGE, BLOCK = 16, 256, 1024
-#: Nodes above BLOCK whose members aren't of one component branch on, by two tokens each time.
-LEVELS, CHILDREN = 4, 2
+SMALL, LARGE, BLOCK = 16, 256, 512
+#: Nodes above HUGE whose members aren't of one component branch on, by two tokens each time.
+HUGE, LEVELS, CHILDREN = 4096, 4, 2
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -185,7 +185,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _divided(rows: DataFrame) -> DataFrame:
-    """(node, rep, root, sig, n) with nodes of more than BLOCK members divided by further tokens.
+    """(node, rep, root, sig, n) with nodes of more than HUGE members divided by further tokens.
 
     Each node's members go to CHILDREN nodes at a time, by tokens that the node's name chooses, so a pair that
     agrees in more than half its tokens is likely to stay together somewhere however deep it goes.
@@ -207,10 +207,10 @@ def _divided(rows: DataFrame) -> DataFrame:
 
     done = []
     for level in range(LEVELS):
-        large = rows.where(F.col("n") > BLOCK)
+        large = rows.where(F.col("n") > HUGE)
         if large.isEmpty():
             break
-        done.append(rows.where(F.col("n") <= BLOCK))
+        done.append(rows.where(F.col("n") <= HUGE))
         made = save(large.select("node", "rep", "root", "sig").mapInArrow(branched(level), "node long, rep long, root long, sig binary"))
         mixed = made.groupBy("node").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("node", "n")
         rows = save(join_skewed(made, save(mixed), ["node"], "n", "rep"))
@@ -287,7 +287,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     by a further token, up to four levels. A pair at 0.85 shares one of the twelve starts with
     probability 1 - 0.15 ** 12, and one of their deepest nodes with 0.999. Nodes of up to SMALL classes
     are compared exhaustively. In larger ones every class is first compared with two pivots; what
-    isn't of one component then branches on while it exceeds BLOCK, by two tokens a level (a pair
+    isn't of one component then branches on while it exceeds HUGE, by two tokens a level (a pair
     at 0.85 then shares a leaf with 0.9997), and is compared exhaustively, in blocks, however large it stays.
     Comparisons estimate by the tokens, with a margin of four deviations, and full sets confirm.
 
