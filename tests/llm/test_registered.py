@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 import __spark_entry__
 from test_archives_pii_quality import brute_base, brute_terms
 from test_counts_packing import brute_place, check_packing
+from test_rules_tries_whitening import brute_measures, brute_trie, exact
 from test_similarity import brute_sketch, roots_of, word_sets
 
 SF = "/root/testdata/sf0.001"
@@ -125,3 +126,27 @@ def test_op10(spark, texts):
 def test_pipeline(spark):
     rows = rows_of(spark, "pipeline")
     assert rows and check_packing(rows, 2048)
+
+
+def test_op11(spark, texts):
+    got = {r["doc_id"]: r for r in rows_of(spark, "op11_repetition_coverage")}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        want = brute_measures(t)
+        r = got[i]
+        assert [r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] == [want[c] for c in ("words", "word_chars", "symbols", "dup_lines", "words_8")]
+
+
+def test_op12(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert sorted((tuple(r) for r in rows_of(spark, "op12_prefix_trie")), key=str) == brute_trie(rows)
+
+
+def test_op13(spark):
+    table = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    fine = {k: v for k, v in table.items() if v and all(c is not None and math.isfinite(c) for c in v)}
+    n, _, e, v, trace = exact(list(fine.values()))
+    got = rows_of(spark, "op13_lanczos_whitening")
+    assert {r["vec_id"] for r in got} == fine.keys() and len(got) == 16 * len(fine)
+    for r in got:
+        assert r["n"] == n and r["explained"] == pytest.approx(e[r["component"] - 1] / trace, rel=1e-8) and r["identity_error"] < 1e-8

@@ -183,7 +183,7 @@ def test_repeated_and_vanishing_eigenvalues(spark):
 
 
 def test_deviations_beyond_a_long_are_null(spark):
-    table = spark.createDataFrame([(i, [float(i % 3) * 2.0**40, float(i)]) for i in range(9)], "vec_id long, embedding array<double>")
+    table = spark.createDataFrame([(i, [float(i % 3) * 2.0**40, float(i) * 2.0**32]) for i in range(9)], "vec_id long, embedding array<double>")
     rows = whitening.whiten(table).collect()
     assert len(rows) == 18 and any(r["deviation"] is None for r in rows)
 
