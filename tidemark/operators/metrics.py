@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import save
+from . import bootstrap
+
 EPS = 1e-6
 #: Scores are laid out in so many value ranges before prefix sums; only the ranges' totals meet.
 RANGES = 64
@@ -150,47 +156,52 @@ def per_day(rows: DataFrame, day: str, label: str, models: Sequence[str]) -> Dat
     return rows.groupBy(day).agg(F.count("*").alias("n"), *[F.avg(log_loss(y, F.col(m))).alias(m) for m in models])
 
 
-def draw_weights(sizes: DataFrame, groups: Sequence[str], draws: int, seed: int) -> DataFrame:
-    """(groups, _draw, _d, _w): how often each draw of a bootstrap takes each of a group's days; draw -1 takes each once.
-
-    sizes: (groups, days). The i-th pick of a draw is the day numbered MD5(seed:draw:i) modulo the days, from 0, so
-    that reruns and other engines draw alike.
-    """
-    seeds = sizes.select(*groups, F.col("days"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_draw"))
-    picks = seeds.select(*groups, "days", "_draw", F.explode(F.sequence(F.lit(0), F.col("days") - 1)).alias("_i"))
-    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "_draw", "_i")), 1, 8), 16, 10).cast("long")
-    drawn = picks.select(*groups, "_draw", (number % F.col("days")).cast("int").alias("_d")).groupBy(*groups, "_draw", "_d").agg(F.count("*").cast("double").alias("_w"))
-    once = sizes.select(*groups, F.lit(-1).alias("_draw"), F.explode(F.sequence(F.lit(0), F.col("days") - 1)).alias("_d"), F.lit(1.0).alias("_w"))
-    return once.unionByName(drawn)
-
-
 def bootstrap_gain(rows: DataFrame, day: str, label: str, model: str, base: str, draws: int = 1000, auc_draws: int = 200, seed: int = 0, groups: Sequence[str] = ()) -> DataFrame:
     """Relative log-loss and Brier gains of a model over a base, and its AUC lead, with 95 % intervals over whole days.
 
-    Rows shrink to sums per day, and for the AUC to counts per day and score; days and draws meet in a small
-    weight table. One row per group: days, rows, day_share (days on which the model's log loss is
-    lower), the three figures and their ends. Rows without label or prediction don't count.
+    Rows shrink to sums per day, and for the AUC to counts per day and score, which are shuffled once whatever the
+    number of draws: they are laid out by score in ranges, each range gives one row of vectors with a place for
+    every draw, and the ranges of a group are added up. One row per group: days, rows, day_share (days on
+    which the model's log loss is lower), the three figures and their ends. Rows without label or
+    prediction don't count. A figure is null where it is undefined, as an AUC of one class.
     """
-    on = list(groups)
-    y, m, b = F.col(label).cast("double"), F.col(model), F.col(base)
-    rows = rows.where(y.isNotNull() & m.isNotNull() & b.isNotNull())
+    on = [*groups, "_g"]
+    y, m, b = F.col(label).cast("double"), F.col(model).cast("double"), F.col(base).cast("double")
+    rows = rows.where(y.isNotNull() & m.isNotNull() & b.isNotNull()).withColumn("_g", F.lit(1))
     sums = {"lm": log_loss(y, m), "lb": log_loss(y, b), "bm": (m - y) * (m - y), "bb": (b - y) * (b - y)}
-    daily = rows.groupBy(*on, day).agg(F.count("*").alias("_n"), *[F.sum(x).alias(k) for k, x in sums.items()])
-    daily = daily.withColumn("_d", F.row_number().over(Window.partitionBy(*on).orderBy(day)) - 1)
-    sizes = daily.groupBy(*on).agg(F.count("*").cast("int").alias("days"))
-    weights = draw_weights(sizes, on, draws, seed)
-    summed = daily.join(weights, [*on, "_d"]).groupBy(*on, "_draw").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in sums])
-    gains = summed.select(*on, "_draw", (1 - F.col("lm") / F.col("lb")).alias("log_loss_gain"), (1 - F.col("bm") / F.col("bb")).alias("brier_gain"))
-    scored = rows.select(*on, day, y.cast("int").alias("_y"), F.explode(F.array(F.struct(F.lit(1).alias("sign"), m.alias("p")), F.struct(F.lit(-1).alias("sign"), b.alias("p")))).alias("_x")).groupBy(*on, day, "_y", "_x.sign", "_x.p").agg(F.count("*").alias("_c"))
-    drawn = scored.join(daily.select(*on, day, "_d"), [*on, day]).join(weights.where(F.col("_draw") < auc_draws), [*on, "_d"])
-    counts = drawn.groupBy(*on, "_draw", "sign", "_y", "p").agg(F.sum(F.col("_c") * F.col("_w")).alias("_w"))
-    areas = auc(counts, [*on, "_draw", "sign"], "_y", "p", weight=F.col("_w")).groupBy(*on, "_draw").agg(F.sum(F.col("auc") * F.col("sign")).alias("auc_diff"))
-    names = ("log_loss_gain", "brier_gain", "auc_diff")
-    point = [F.max(F.when(F.col("_draw") < 0, F.col(c))).alias(c) for c in names]
-    ends = [F.percentile(F.when(F.col("_draw") >= 0, F.col(c)), q).alias(f"{c}_{e}") for c in names for e, q in (("low", 0.025), ("high", 0.975))]
-    out = gains.join(areas, [*on, "_draw"], "left").groupBy(*on).agg(*point, *ends)
-    facts = daily.groupBy(*on).agg(F.count("*").alias("days"), F.sum("_n").alias("rows"), F.avg((F.col("lm") / F.col("_n") < F.col("lb") / F.col("_n")).cast("double")).alias("day_share"))
-    return _beside(facts, out, on)
+    both = F.explode(F.array(F.struct(F.lit(1).alias("sign"), m.alias("p")), F.struct(F.lit(-1).alias("sign"), b.alias("p")))).alias("_x")
+    daily = save(rows.groupBy(*on, day).agg(F.count("*").alias("_n"), *[F.sum(x).alias(k) for k, x in sums.items()]))
+    of = Window.partitionBy(*on)  # one row a day
+    numbered = daily.select(*on, F.col(day).alias("_day"), (F.row_number().over(of.orderBy(day)) - 1).alias("day"), F.count("*").over(of).alias("days"))
+    counts = rows.select(*on, F.col(day).alias("_day"), y.cast("int").alias("_y"), both).groupBy(*on, "_day", "_x.sign", F.col("_x.p").alias("score")).agg(F.sum("_y").cast("double").alias("pos"), F.sum(1 - F.col("_y")).cast("double").alias("neg"))
+    counts = _beside(counts, numbered, [*on, "_day"])
+    keys = [*on, "sign"]
+    laid = counts.select(*keys, "score", "day", "days", "pos", "neg").repartitionByRange(*keys, "score").sortWithinPartitions(*keys, "score")
+    kinds = {f.name: f.dataType.simpleString() for f in counts.schema}
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "low double", "pos array<double>", "neg array<double>", "wins array<double>"])
+    pieces = laid.mapInArrow(lambda batches: bootstrap.rank_sums(batches, keys, auc_draws, seed), schema)
+    losses_of, names = list(sums), ("log_loss_gain", "brier_gain", "auc_diff")
+    out_columns = [*names, *[f"{c}_{e}" for c in names for e in ("low", "high")]]
+
+    def figures(of_days: pa.Table, of_scores: pa.Table) -> pa.Table:
+        days = of_days.sort_by(day)
+        n = days.column("_n").to_numpy().astype(float)
+        losses = {c: days.column(c).to_numpy() for c in losses_of}
+        with np.errstate(divide="ignore", invalid="ignore"):
+            total = bootstrap.draw_matrix(len(n), draws, seed) @ np.column_stack(list(losses.values()))
+            drawn = [1 - np.where(total[:, k + 1] == 0, np.nan, total[:, k]) / total[:, k + 1] for k in (0, 2)]
+        lead = 0.0
+        for sign in (1, -1):
+            mine = of_scores.filter(pc.equal(of_scores.column("sign"), sign))
+            vector = lambda c, t=mine: np.array(t.column(c).to_pylist())
+            lead = lead + sign * bootstrap.joined_sums(mine.column("low").to_numpy(), vector("pos"), vector("neg"), vector("wins"))
+        found = [bootstrap.with_ends(x) for x in (*drawn, lead)]
+        values = [len(n), int(n.sum()), float((losses["lm"] / n < losses["lb"] / n).mean()), *[x[0] for x in found], *[e for x in found for e in x[1:]]]
+        types = [pa.int64(), pa.int64(), *[pa.float64()] * (len(out_columns) + 1)]
+        return pa.Table.from_arrays([*[days.column(k).slice(0, 1) for k in on], *[pa.array([v], t) for v, t in zip(values, types, strict=True)]], [*on, "days", "rows", "day_share", *out_columns])
+
+    result = ", ".join([*[f"`{k}` {kinds[k]}" for k in on], "days long", "rows long", "day_share double", *[f"{c} double" for c in out_columns]])
+    return daily.groupBy(*on).cogroup(pieces.groupBy(*on)).applyInArrow(figures, result).drop("_g")
 
 
 def gains_by(rows: DataFrame, groups: Sequence[str], label: str, model: str, base: str) -> DataFrame:
