@@ -63,12 +63,11 @@ def test_verdicts(spark):
         result("harmful", "drop", 30, 0.03), result("harmful", "drop", 60, -0.0061), result("absent", "restricted", 60, 0.5),
     ]
     table = spark.createDataFrame(rows, "subject string, kind string, cutoff int, gain double, low double, day_share double")
-    judged = selection.verdicts(table, selection.Rule(min_day_share=0.6))
+    judged = selection.verdicts(table)
     got = {r["subject"]: r["failed"] for r in judged.collect()}
     assert got == {"good": [], "small": ["gain"], "unsure": ["interval"], "seldom": ["days"], "harmful": ["other_cutoff"], "absent": ["not_evaluated"]}
     assert {round(r["least"], 6) for r in judged.collect()} == {0.008} and selection.winner(judged) == "good"
-    assert selection.groups_kept(judged, ["seldom", "x"]) == ["x", "good"]
-    assert selection.winner(selection.verdicts(table.where("subject = 'small'"), selection.Rule(min_gain=0.5))) == selection.IN_USE
+    assert selection.winner(selection.verdicts(table.where("subject = 'small'"), selection.Bar(gain=0.5))) is None
 
 
 def signal_rows(spark, days=6, n=120):
@@ -83,23 +82,74 @@ def signal_rows(spark, days=6, n=120):
     return spark.createDataFrame(rows, "id int, day int, cutoff int, x double, z double, noise double, y int").cache()
 
 
-def test_feature_groups_are_chosen(spark):
+GROUPS = {"base": ["x"], "useful": ["z"], "useless": ["noise"], "twin": ["twin"], "late": ["z"]}
+
+
+def by_groups(setup):
+    return models.Learner([c for g in setup.groups for c in GROUPS[g]], seed=setup.seed)
+
+
+def test_questions_about_groups_and_their_fits(spark):
     rows = signal_rows(spark)
-    groups = {"base": ["x"], "useful": ["z"], "useless": ["noise"]}
-    variants, asked = selection.group_variants(groups, ["base", "useless"], lambda cols, seed: models.Learner(cols, seed=seed), drop=["useless"], add=["useful"], later={"useful": 2} and {})
-    scored = selection.predict_variants(rows, ["id"], "y", "day", variants, 3, 3).cache()
-    assert scored.count() == rows.count() and scored.where("in_use IS NULL").count() == 360
-    judged = {r["subject"]: r["passes"] for r in selection.verdicts(selection.compare(scored, asked, "y", "day", "cutoff", draws=50, auc_draws=5)).collect()}
-    assert judged == {"useful": True, "useless": False}
-    later, asked = selection.group_variants(groups, ["base"], lambda cols, seed: models.Learner(cols, seed=seed), later={"useful": 2})
-    scored = selection.predict_variants(rows, ["id"], "y", "day", later, 3, 3)
-    assert {r["day"] for r in scored.where("with_useful IS NOT NULL").select("day").distinct().collect()} == {5}
-
-
-def test_setting_variants():
-    variants, asked = selection.setting_variants(lambda seed, a, b: (seed, a, b), {"a": 1, "b": 2}, {"a": [1, 5]}, (0, 7))
-    assert set(variants) == {"in_use", "reseeded", "window0_a5", "window7_a1", "window7_a5"} and len(asked) == 3
-    assert variants["window7_a5"].make() == (0, 5, 2) and variants["window7_a5"].window == 7 and variants["reseeded"].make() == (1, 1, 2)
+    now = selection.Setup(groups=("base", "useless"))
+    asked = selection.about_groups(now, {"useless": None, "useful": None, "late": 2})
+    assert [(q.subject, q.kind) for q in asked] == [("useless", "drop"), ("useful", "add"), ("late", "restricted")]
+    columns = selection.columns_of(asked)
+    assert len(columns) == 5  # the setup in use serves two questions
+    scored = selection.predict_setups(rows, ["id"], "y", "day", columns, by_groups, 3, 3).cache()
+    assert scored.count() == rows.count() and scored.where(F.col(columns[now]).isNull()).count() == 360
+    assert {r["day"] for r in scored.where(F.col(columns[asked[2].setup]).isNotNull()).select("day").distinct().collect()} == {5}
+    judged = {r["subject"]: r["passes"] for r in selection.verdicts(selection.compare(scored, asked, columns, "y", "day", "cutoff", draws=50, auc_draws=5)).collect()}
+    assert judged == {"useful": True, "useless": False, "late": True}
+
+
+def test_changes_are_taken_together_or_the_best_alone(spark):
+    rows = signal_rows(spark).withColumn("twin", F.col("z"))
+    now = selection.Setup(groups=("useless",))
+    choice, _ = selection.choose_groups(rows, ["id"], "y", "day", "cutoff", now, {"base": None, "useful": None}, by_groups, 3, 3, draws=50, auc_draws=2)
+    assert choice.groups == ("useless", "base", "useful") and choice.together < choice.best_alone
+    one, _ = selection.choose_groups(rows, ["id"], "y", "day", "cutoff", selection.Setup(groups=("base",)), {"useful": None, "late": 2}, by_groups, 3, 3, draws=50, auc_draws=2)
+    assert one.groups == ("base", "useful", "late") and one.together is None
+
+    class Spoiled(models.Learner):
+        """A learner that loses with both of two good groups at once."""
+
+        def predict(self, rows, out="p"):
+            scored = super().predict(rows, out)
+            return scored.withColumn(out, 1 - F.col(out)) if {"z", "twin"} <= set(self.numeric) else scored
+
+    make = lambda s: Spoiled([c for g in s.groups for c in GROUPS[g]], seed=s.seed)
+    lost, _ = selection.choose_groups(rows, ["id"], "y", "day", "cutoff", selection.Setup(groups=("base",)), {"useful": None, "twin": None}, make, 3, 3, draws=50, auc_draws=2)
+    assert lost.together > lost.best_alone and lost.groups == ("base", lost.best)
+
+
+def test_questions_about_settings():
+    now = selection.Setup(settings=(("a", 1), ("b", 2)))
+    asked = selection.about_settings(now, {"a": [1, 5]}, (0, 7))
+    assert [q.subject for q in asked] == ["window=0,a=5", "window=7,a=1", "window=7,a=5"] and all(q.against == now for q in asked)
+    assert asked[2].setup == selection.Setup(settings=(("a", 5), ("b", 2)), window=7) and selection.noise_floor(now).setup.seed == 1
+
+
+def test_narrowing_finds_the_grid_s_winner_with_fewer_fits(spark):
+    rows = signal_rows(spark, 10, 100)
+    now = selection.Setup(settings=(("penalty", 0.001),))
+    asked = selection.about_settings(now, {"penalty": (1e-7, 1e-5, 0.001, 1.0)}, (0,))
+    make = lambda s: models.Learner(["x", "z"], seed=s.seed, **dict(s.settings))
+    bar = selection.Bar(days=0.5)
+    columns = selection.columns_of([selection.noise_floor(now), *asked])
+    whole = selection.predict_setups(rows, ["id"], "y", "day", columns, make, 2, 2)
+    full = selection.verdicts(selection.compare(whole, [selection.noise_floor(now), *asked], columns, "y", "day", "cutoff", 100, 2), bar)
+    judged, fits = selection.narrow_settings(rows, ["id"], "y", "day", "cutoff", now, asked, make, 2, 2, bar, 100)
+    assert selection.winner(full) == selection.winner(judged) == "window=0,penalty=1.0"
+    assert fits < 4 * len(columns) and judged.count() < len(asked)
+
+
+def test_logistic_expression_equals_the_pipeline(spark):
+    rows = signal_rows(spark).withColumn("c", F.when(F.col("id") % 5 > 0, F.concat(F.lit("k"), (F.col("id") % 3).cast("string")))).withColumn("gap", F.when(F.col("id") % 4 > 0, F.col("noise")))
+    model = models.Learner(["x", "gap"], ["c"]).fit(rows.where("id % 3 <> 1"), "y")  # k1 is unseen
+    own = {r["id"]: r["p"] for r in model.predict(rows).collect()}
+    there = model.fitted.transform(model._prepared(rows)).select("id", "probability").collect()
+    assert all(abs(own[r["id"]] - r["probability"][1]) < 1e-12 for r in there)
 
 
 def test_drop_one_group_and_calibration(spark):

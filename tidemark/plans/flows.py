@@ -298,18 +298,21 @@ def _variant_scores(spark, sf) -> DataFrame:
     )
 
 
-ASKED = (selection.Comparison("hub", "drop", "in_use", "without_hub"), selection.Comparison("trend", "add", "with_trend", "in_use"), selection.Comparison("feeder", "restricted", "with_feeder", "in_use_from_feeder"))
+USED = selection.Setup(groups=("slack", "hub"))
+ASKED = (*selection.about_groups(USED, {"hub": None, "trend": None, "feeder": 1}), selection.noise_floor(USED))
+#: The columns of _variant_scores that stand in for the setups' predictions.
+FIXED = dict(zip(selection.columns_of(ASKED), ("in_use", "without_hub", "with_trend", "with_feeder", "in_use_from_feeder", "reseeded"), strict=True))
 
 
 @query
 def variant_comparison(spark, sf):
-    out = selection.compare(_variant_scores(spark, sf), ASKED, "label", "day", "cutoff_min")
+    out = selection.compare(_variant_scores(spark, sf), ASKED, FIXED, "label", "day", "cutoff_min")
     return out.select("subject", "kind", "cutoff", "days", "rows", *[r6(c).alias(c) for c in ("gain", "low", "high", "day_share", "auc_diff")])
 
 
 @query
 def group_verdicts(spark, sf):
-    out = selection.verdicts(selection.compare(_variant_scores(spark, sf), ASKED, "label", "day", "cutoff_min"), selection.Rule(min_day_share=0.6))
+    out = selection.verdicts(selection.compare(_variant_scores(spark, sf), ASKED, FIXED, "label", "day", "cutoff_min"))
     return out.select("subject", "kind", r6("gain").alias("gain"), r6("least").alias("least"), "passes", F.array_join("failed", ",").alias("failed"))
 
 
@@ -319,17 +322,48 @@ def gains_per_slice(spark, sf):
     return metrics.gains_by(rows, ["cutoff_min", "priority"], "label", "with_trend", "in_use").select("cutoff_min", "priority", "rows", r6("gain").alias("gain"))
 
 
+def _rows_to_fit(spark, sf) -> DataFrame:
+    p = predictions(spark, sf).withColumn("quantity", (F.col("l_linenumber") * 7 % 11).cast("double"))
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "p_model", "p_base", "label", "priority", "status", "flag")
+    return save(p.select(key.alias("id"), "label", "day", "cutoff_min", "p_model", "p_base", "quantity", "priority").dropDuplicates(["id"]))
+
+
 @query
 def tuned_settings(spark, sf):
-    """A grid of settings of the logistic model on rolling folds: predictions of every variant, compared and judged."""
-    p = predictions(spark, sf).select(F.concat_ws("-", "l_orderkey", "l_linenumber", "p_model", "p_base", "label", "priority", "status", "flag").alias("id"), "label", "day", "cutoff_min", "p_model", "p_base").dropDuplicates(["id"])
-    rows = save(p)
+    """A grid of settings of the logistic model on rolling folds, every candidate on every fold: verdicts and the winner."""
+    rows = _rows_to_fit(spark, sf)
+    n = rows.select("day").distinct().count()
+    now = selection.Setup(settings=(("penalty", 1.0),))
+    questions = selection.about_settings(now, {"penalty": (0.01, 1.0)}, (0, 24))
+    columns = selection.columns_of(questions)
+    make = lambda s: models.Learner(["p_model", "p_base"], seed=s.seed, **dict(s.settings))
+    scored = save(selection.predict_setups(rows, ["id"], "label", "day", columns, make, max(1, n // 2), max(1, n // 3)))
+    judged = save(selection.verdicts(selection.compare(scored, questions, columns, "label", "day", "cutoff_min"), selection.Bar(gain=0.002, days=0.0)))
+    return judged.select("subject", "passes", F.lit(selection.winner(judged)).alias("winner"))
+
+
+@query
+def narrowed_settings(spark, sf):
+    """The same kind of search by successive narrowing: candidates that cannot win leave after the first folds."""
+    rows = _rows_to_fit(spark, sf)
+    n = rows.select("day").distinct().count()
+    now = selection.Setup(settings=(("penalty", 1.0),))
+    questions = selection.about_settings(now, {"penalty": (1e-6, 0.01, 1.0)}, (0,))
+    make = lambda s: models.Learner(["p_model", "p_base"], seed=s.seed, **dict(s.settings))
+    judged, fits = selection.narrow_settings(rows, ["id"], "label", "day", "cutoff_min", now, questions, make, max(1, n // 2), max(1, n // 6), selection.Bar(gain=0.002))
+    return judged.select("subject", r6("gain").alias("gain"), "passes", F.lit(fits).alias("fits"))
+
+
+@query
+def chosen_groups(spark, sf):
+    """Groups of columns chosen with real refits, and the check of all changes together against the best one alone."""
+    rows = _rows_to_fit(spark, sf)
     n = rows.select("day").distinct().count()
-    variants, asked = selection.setting_variants(lambda seed, penalty: models.Learner(["p_model", "p_base"], penalty=penalty, seed=seed), {"penalty": 1.0}, {"penalty": (0.01, 1.0)}, (0, 24), seeded=False)
-    scored = save(selection.predict_variants(rows, ["id"], "label", "day", variants, max(1, n // 2), max(1, n // 3)))
-    judged = selection.verdicts(selection.compare(scored, asked, "label", "day", "cutoff_min", draws=200, auc_draws=20), selection.Rule(min_gain=0.002))
-    best = selection.winner(judged)
-    return judged.select("subject", "passes", F.lit(best).alias("winner"))
+    held = {"score": ["p_model"], "base": ["p_base"], "place": ["quantity"]}
+    make = lambda s: models.Learner([c for g in s.groups for c in held.get(g, ())], ["priority"] * ("priority" in s.groups), seed=s.seed)
+    choice, judged = selection.choose_groups(rows, ["id"], "label", "day", "cutoff_min", selection.Setup(groups=("score", "base")), {"base": None, "place": None, "priority": None}, make, max(1, n // 2), max(1, n // 2))
+    chosen = F.lit(",".join(choice.groups)).alias("chosen")
+    return judged.select("subject", "kind", r6("gain").alias("gain"), "passes", chosen, F.lit(choice.together).cast("double").alias("together"), F.lit(choice.best_alone).cast("double").alias("best_alone"))
 
 
 @query
