@@ -333,3 +333,17 @@ def test_profiles(spark):
     names = profile.closest_names(spark.createDataFrame([("Koln",), ("Bonn",)], "name string"), spark.createDataFrame([("Köln",), ("Bonn",), ("Ulm",)], "name string"), 1).collect()
     assert [(r["name"], r["close"]) for r in names] == [("Koln", "Köln")]
     assert profile.seeded_sample(df, "x", 7).count() == 7
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_asof_in_parts_equals_asof(spark, seed):
+    rng = random.Random(seed)
+    at = lambda: None if rng.random() < 0.05 else datetime(2025, 1, 1) + timedelta(minutes=rng.randint(0, 600))
+    key = lambda: rng.choice(["hot"] * 8 + ["a", None])
+    asked = spark.createDataFrame([(i, key(), at()) for i in range(150)], "q int, k string, t timestamp")
+    facts = spark.createDataFrame([(key(), at(), rng.choice([None, 1, 2, 3]), rng.choice([None, "x"])) for _ in range(60)], "k string, at timestamp, v int, w string")
+    for tie in (["v", "w"],):
+        want = asof.asof_join(asked, facts, ["k"], "t", "at", ["v", "w"], tie)
+        got = asof.asof_join_in_parts(asked, facts, ["k"], "t", "at", ["v", "w"], tie)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert asof.asof_join_in_parts(asked, facts.where("false"), ["k"], "t", "at", ["v"], ["v"]).where("at IS NULL").count() == 150

@@ -43,7 +43,7 @@ def test_against_sql(spark, name):
     assert plain(tuple(r) for r in got.select(*columns).collect()) == plain(want.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall())
 
 
-@pytest.mark.parametrize("name", ["calibrated_baselines", "tuned_settings", "all_feature_groups"])
+@pytest.mark.parametrize("name", ["calibrated_baselines", "tuned_settings", "narrowed_settings", "chosen_groups", "all_feature_groups"])
 def test_without_sql(spark, name):
     if not os.path.isdir(LARGER):
         pytest.skip("no test tables")

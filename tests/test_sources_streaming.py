@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.asof import last_state
 from tidemark.sources import raw
-from tidemark.streaming import live
+from tidemark.streaming import live, stored
 
 PLAN = """<timetable station="Hub"><s id="-40-2503110455-2"><tl f="F" t="p" o="Y" c="IC" n="77"/>
 <ar pt="2503110640" pp="9" l="IC7" ppth="M|N"/><dp pt="2503110648" pp="9" l="IC7" ppth="O"/></s>
@@ -64,9 +65,50 @@ def test_rebuild_and_pruned_read(spark, raw_folder, tmp_path):
     assert census["tl", "c", "IC"] == 2 and census["m", "t", "d"] == 1
     assert raw.schema_census(spark, [out]).agg(F.sum("rows")).first()[0] == 9
     parsed = raw.read_parsed(spark, out)
-    w = raw.load_window(parsed.where("source = 'plan'"), parsed.where("source = 'fchg'"), F.lit(datetime(2025, 3, 11, 5, 45)), F.lit(datetime(2025, 3, 11, 9)), ["800"])
-    assert {(r["stop_id"], r["event"], r["first_seen"]) for r in w.plan.collect()} == {("-40-2503110455-2", "dp", datetime(2025, 3, 11, 5)), ("31-2503110600-4", "dp", datetime(2025, 3, 11, 5))}
-    assert w.obs.count() == 3 and w.polls.count() == 1 and w.span.first()["last"] == datetime(2025, 3, 11, 5, 3)
+    w = raw.load_window(parsed, F.lit(datetime(2025, 3, 11, 4, 45)), F.lit(datetime(2025, 3, 11, 9)), ["800"])
+    assert {(r["stop_id"], r["event"], r["first_seen"]) for r in w.plan.collect()} >= {("-40-2503110455-2", "dp", datetime(2025, 3, 11, 5)), ("31-2503110600-4", "dp", datetime(2025, 3, 11, 5))}
+    assert w.span.first()["last"] == datetime(2025, 3, 11, 5, 3)
+    assert "PartitionFilters: [isnotnull(date" in w.plan._jdf.queryExecution().toString()
+
+
+def parsed_row(minute, source="plan", eva="800", stop="1-2503110500-1", event="ar", version=1, **columns):
+    at = datetime(2025, 3, 11, 8) + timedelta(minutes=minute)
+    return {"collected_at": at, "source": source, "eva": eva, "stop_id": stop, "event": event, "trip_key": stop[:-2], "parser_version": version, "date": at.date(), **columns}
+
+
+WINDOW = "collected_at timestamp, source string, eva string, stop_id string, event string, trip_key string, parser_version smallint, date date, pt timestamp, pt_raw string, pp string, line string, fb string, ppth string, wings string, tra string, tl_category string, tl_number string, ct timestamp, ct_raw string, cs string"
+
+
+def test_window_keeps_latest_known_values_and_all_polls(spark):
+    nine, three = datetime(2025, 3, 11, 9), datetime(2025, 3, 11, 15)
+    rows = [
+        parsed_row(-90, pt=nine, line="before"),  # collected before the window
+        parsed_row(0, pt=nine, line="L1", pp="4", tl_category="RE"),
+        parsed_row(5, pt=three, pp=None),  # planned anew, out of the window, without line
+        parsed_row(6, pt=None, line="L9"),  # no plan
+        parsed_row(7, pt=nine, stop="2-2503110500-1", fb="FB", line=None),
+        parsed_row(8, pt=nine, stop="2-2503110500-1", eva="801", line="other hub"),
+        parsed_row(9, event="s", pt=nine),
+        parsed_row(10, "fchg", ct=nine), parsed_row(11, "rchg", cs="c"), parsed_row(12, "fchg"), parsed_row(13, "fchg", event="s", cs="c"),
+        parsed_row(55, "fchg", eva="801"),
+        parsed_row(60, "rchg", cs="p"), parsed_row(61, "rchg", cs="late"),
+    ]
+    parsed = spark.createDataFrame([tuple(r.get(c.split()[0]) for c in WINDOW.split(", ")) for r in rows], WINDOW)
+    ends = F.lit(datetime(2025, 3, 11, 8)), F.lit(datetime(2025, 3, 11, 9))
+    w = raw.load_window(parsed, *ends, ["800"])
+    plan = {r["stop_id"]: r for r in w.plan.collect()}
+    first = plan["1-2503110500-1"]
+    assert (first["pt"], first["line"], first["pp"], first["cat"], first["first_seen"]) == (three, "L1", "4", "RE", datetime(2025, 3, 11, 8))
+    assert set(plan) == {"1-2503110500-1", "2-2503110500-1"} and plan["2-2503110500-1"]["line"] == "FB"
+    assert {(r["obs"].hour, r["obs"].minute, r["cs"]) for r in w.obs.collect()} == {(8, 10, None), (8, 11, "c"), (9, 0, "p")}
+    assert w.polls.count() == 10  # every time at which the station was heard of
+    assert tuple(w.span.first()) == (datetime(2025, 3, 11, 8), datetime(2025, 3, 11, 9))  # of all stations
+    extra = spark.createDataFrame([tuple(parsed_row(20, "fchg", stop="9-2503110500-1", cs="c").get(c.split()[0]) for c in WINDOW.split(", "))], WINDOW)
+    assert raw.load_window(parsed, *ends, ["800"], extra).obs.count() == 4
+    with pytest.raises(raw.OldParser):
+        raw.load_window(parsed, *ends, ["800"], least=2)
+    with pytest.raises(ValueError, match="no parsed row"):
+        raw.load_window(parsed, F.lit(datetime(2026, 1, 1)), F.lit(datetime(2026, 1, 2)))
 
 
 def test_days_are_replaced_whole(spark, tmp_path):
@@ -138,3 +180,62 @@ def test_upcoming_and_status(spark):
     asked = spark.createDataFrame([("x", T0 + timedelta(minutes=45), None, None), ("x", T0 + timedelta(minutes=46), None, None), ("x", T0, True, None), ("x", T0, False, True)], "eva string, t timestamp, a_cancelled boolean, ambiguous boolean")
     got = [r["status"] for r in live.input_status(asked, spark.createDataFrame([("x", T0)], "eva string, p timestamp"), "eva", "t", "p").orderBy("t", "a_cancelled").collect()]
     assert sorted(got) == ["a_cancelled", "collector_gap", "dst_ambiguous", "ok"]
+
+
+def test_stored_states_equal_batch_and_hold_only_changes(spark, tmp_path):
+    schema = "k string, t timestamp, v int, at timestamp"
+    parts = [[(f"k{i}", T0, i, T0) for i in range(40)], [("k1", T0 + timedelta(minutes=1), None, None), ("k2", T0 - timedelta(minutes=5), 9, T0), ("k3", T0, 70, None), (None, T0, 1, T0)], [("new", T0, 5, T0), ("k3", None, 8, T0)]]
+    rows = chunks(spark, tmp_path, parts[:2], schema)
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "c")
+    live_states = lambda r: stored.last_states(r, ["k"], "t", ["v", "at"], "2 hours")
+    stored.start_stored(live_states(rows), out, checkpoint).awaitTermination()
+    assert spark.read.parquet(out).count() == 43  # 40, then the three that changed
+    chunks(spark, tmp_path, parts[2:], schema)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stored.start_stored(live_states(rows), out, checkpoint).awaitTermination()  # goes on after a restart
+    told = spark.read.parquet(out)
+    assert told.count() == 44
+    want = last_state(spark.createDataFrame([r for p in parts for r in p], schema).where("t IS NOT NULL"), ["k"], "t", ["v", "at"])
+    got = stored.read_states(spark, out, ["k"], "t", ["v", "at"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_stored_states_are_forgotten(spark, tmp_path):
+    schema = "k string, t timestamp, v int"
+    parts = [[("old", T0, 1), ("kept", T0, 2)], [("kept", T0 + timedelta(hours=5), 3)], [("next", T0 + timedelta(hours=5), 4)], [("last", T0 + timedelta(hours=5), 5)]]
+    out = str(tmp_path / "out")
+    stored.start_stored(stored.last_states(chunks(spark, tmp_path, parts, schema), ["k"], "t", ["v"], "1 hour"), out, str(tmp_path / "c")).awaitTermination()
+    assert {r["k"] for r in stored.read_states(spark, out, ["k"], "t", ["v"]).collect()} == {"kept", "next", "last"}
+    assert [r["k"] for r in spark.read.parquet(out).where("gone").collect()] == ["old"]
+
+
+def test_silence_changes_the_age_status(spark, tmp_path):
+    schema = "eva string, t timestamp"
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    now = spark.range(1).select(F.current_timestamp().alias("t")).select(F.explode(F.array(F.lit("fresh"), F.lit("silent"))).alias("eva"), "t").unionByName(spark.createDataFrame([("dead", T0 - timedelta(days=4000)), (None, T0)], schema))
+    now.coalesce(1).write.parquet(folder)
+    query = stored.start_stored(stored.age_statuses(spark.readStream.schema(schema).parquet(folder), "eva", "t", 15, 25), out, str(tmp_path / "c"), every="1 second")
+    try:
+        deadline = time.time() + 120
+        told = {}
+        while time.time() < deadline and told.get("silent") != ["ok", "degraded", "error"]:
+            time.sleep(2)
+            if query.lastProgress and list((tmp_path / "out").glob("*.parquet")):
+                told = {}
+                for r in spark.read.schema("eva string, status string, at_ms long").parquet(out).orderBy("at_ms").collect():
+                    told.setdefault(r["eva"], []).append(r["status"])
+        assert told["dead"] == ["error"] and told["silent"] == ["ok", "degraded", "error"] == told["fresh"]  # without any new row
+    finally:
+        query.stop()
+
+
+def test_online_outcomes_equal_the_batch_join(spark, tmp_path):
+    m = lambda x: T0 + timedelta(minutes=x)
+    told = [[(1, m(0)), (2, m(0)), (3, m(5))], [(4, m(100)), (5, m(101))], [(-1, m(10_000))]]
+    made = [[(1, m(10), True), (2, m(70), True)], [(4, m(110), False), (5, m(102), None), (6, m(103), True)], [(-1, m(10_000), True)]]
+    (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
+    p, labels = chunks(spark, tmp_path / "a", told, "id int, ts timestamp"), chunks(spark, tmp_path / "b", made, "id int, known timestamp, eligible boolean")
+    out = str(tmp_path / "out")
+    stored.start_stored(stored.online_outcomes(p, labels, ["id"], "ts", "known", "60 minutes", "30 minutes"), out, str(tmp_path / "c")).awaitTermination()
+    got = {r["id"]: r["outcome"] for r in spark.read.parquet(out).collect()}
+    assert {k: v for k, v in got.items() if k > 0} == {1: "evaluated", 2: "not_a_candidate", 3: "not_a_candidate", 4: "excluded", 5: "excluded"}  # 2's label is late

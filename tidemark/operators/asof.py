@@ -33,6 +33,29 @@ def asof_join(queries: DataFrame, facts: DataFrame, key: Sequence[str], query_ti
     return out.select(*[F.col(f"_q.{n}").alias(c) for c, n in zip(queries.columns, names, strict=True)], *[F.col(f"_s.{v}").alias(v) for v in (fact_time, *values)])
 
 
+def asof_join_in_parts(queries: DataFrame, facts: DataFrame, key: Sequence[str], query_time: str, fact_time: str, values: Sequence[str], tie: Sequence[str] = (), part: str = "hour") -> DataFrame:
+    """asof_join() for keys of any size: the unit of work is a key's hour (or other `part` of date_trunc), not the key.
+
+    The last fact of each hour, and of all hours before it by a running pick over a key's hours (one row an hour),
+    is handed to the hours that are asked for as one more fact, under its own time. One as-of pass inside
+    (key, hour) then answers everything, so a key with half of all rows spreads over its hours. A part should hold
+    no more rows of a key than a task can sort.
+    """
+    cut = lambda c: F.date_trunc(part, F.col(c))
+    state = F.struct(F.col(fact_time).alias("_t"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(tie)], *[F.col(v).alias(f"_v{i}") for i, v in enumerate(values)])
+    order = F.struct(F.col(fact_time), *[F.col(c) for c in tie])
+    known = facts.where(F.col(fact_time).isNotNull())
+    hourly = known.groupBy(*key, cut(fact_time).alias("_part")).agg(F.max_by(state, order).alias("_s"))
+    asked = queries.select(*key, cut(query_time).alias("_part")).where(F.col("_part").isNotNull()).distinct()
+    both = hourly.unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True).groupBy(*key, "_part").agg(F.max_by("_s", F.col("_s").isNotNull()).alias("_s"), F.max("_asked").alias("_asked"))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.withColumn("_c", F.last("_s", ignorenulls=True).over(before)).where("_asked AND _c IS NOT NULL")
+    named = {fact_time: "_c._t"} | {v: f"_c._v{i}" for i, v in enumerate(values)} | {c: f"_c._o{i}" for i, c in enumerate(tie)}
+    carried = carried.select(*key, "_part", *[F.col(x).alias(c) for c, x in named.items()])
+    own = known.select(*key, cut(fact_time).alias("_part"), *named)
+    return asof_join(queries.withColumn("_part", cut(query_time)), own.unionByName(carried), [*key, "_part"], query_time, fact_time, values, tie).drop("_part")
+
+
 def last_time(queries: DataFrame, times: DataFrame, key: str, query_time: str, fact_time: str, out: str) -> DataFrame:
     """The last time of a key at or before each query's: for few keys with very many times.
 

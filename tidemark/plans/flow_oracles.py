@@ -69,14 +69,22 @@ ORACLES: dict[str, str] = {
     "rebuilt_table_counts": f"WITH {RAW}, r AS (SELECT DISTINCT eva, source, seen FROM parsed), b AS (SELECT count(*) AS n FROM events WHERE event_type = 'error') SELECT (SELECT count(*) FROM r) + n AS responses, 0::BIGINT AS bad_lines, n AS parse_errors, (SELECT count(*) FROM parsed) AS rows FROM b",
     "parsed_rows_per_day": f"WITH {RAW} SELECT source, strftime(seen::DATE, '%Y-%m-%d') AS day, count(*) AS rows, count(DISTINCT stop_id) AS stops FROM parsed GROUP BY ALL",
     "loaded_window": f"""WITH {RAW}, {SPAN}, t AS (SELECT lo + floor((hi - lo) * 0.4::DOUBLE) AS t0, lo + floor((hi - lo) * 0.6::DOUBLE) AS t1 FROM span),
-p AS (SELECT eva, stop_id, event, max(pt_us) AS pt, min(epoch_us(seen)) AS seen FROM parsed, t WHERE source = 'plan' AND eva IN ('0', '1', '2') AND pt_us >= t0 AND pt_us < t1 GROUP BY ALL),
-o AS (SELECT * FROM parsed, t WHERE source = 'fchg' AND eva IN ('0', '1', '2') AND epoch_us(seen) < t1), q AS (SELECT DISTINCT eva, epoch_us(seen) AS s FROM o)
-SELECT 'plan' AS part, eva, count(*) AS n, min(seen) AS first_us, max(pt) AS last_us FROM p GROUP BY eva UNION ALL SELECT 'obs', eva, count(*), min(epoch_us(seen)), max(ct_us) FROM o GROUP BY eva
-UNION ALL SELECT 'polls', eva, count(*), min(s), max(s) FROM q GROUP BY eva UNION ALL SELECT 'span', 'all', 1, min(s), max(s) FROM q""",
+v AS (SELECT *, epoch_us(seen) AS s FROM parsed UNION ALL SELECT * REPLACE (NULL::VARCHAR AS line, pt_us + 10800000000 AS pt_us), epoch_us(seen) + 1200000000 FROM parsed WHERE source = 'plan' AND tl_number::BIGINT % 3 = 0),
+w AS (SELECT v.* FROM v, t WHERE s BETWEEN t0 AND t1), here AS (SELECT * FROM w WHERE eva IN ('0', '1', '2')),
+p AS (SELECT eva, stop_id, event, trip_key, arg_max(pt_us, s) AS pt, arg_max(pp, s) AS pp, arg_max(line, s) AS line, arg_max(ppth, s) AS path, arg_max(wings, s) AS wings, arg_max(tra, s) AS tra, arg_max(tl_category, s) AS cat, arg_max(tl_number, s) AS num, min(s) AS seen
+  FROM here WHERE source = 'plan' AND pt_us IS NOT NULL GROUP BY ALL)
+SELECT 'plan' AS part, eva, stop_id || '|' || event || '|' || trip_key AS key, concat_ws('|', coalesce(pp, '-'), coalesce(line, '-'), coalesce(path, '-'), coalesce(wings, '-'), coalesce(tra, '-'), coalesce(cat, '-'), coalesce(num, '-')) AS what, seen AS first_us, pt AS second_us FROM p
+UNION ALL SELECT 'obs', eva, stop_id || '|' || event, cs, s, ct_us FROM here WHERE source = 'fchg' AND (ct_us IS NOT NULL OR cs IS NOT NULL)
+UNION ALL SELECT DISTINCT 'polls', eva, NULL, NULL, s, NULL::BIGINT FROM here UNION ALL SELECT 'span', NULL, NULL, NULL, min(s), max(s) FROM w""",
     "replaced_days": """WITH d AS (SELECT strftime(o_orderdate, '%Y-%m') AS service_day, count(*) AS rows, sum(o_totalprice) AS price, month(min(o_orderdate)) % 3 = 0 AS twice FROM orders GROUP BY 1)
 SELECT service_day, rows, round(price * CASE WHEN twice THEN 2 ELSE 1 END, 2) AS price, rows AS recorded, CASE WHEN twice THEN '2' ELSE '1' END AS version FROM d""",
     "historic_stop_keys": "SELECT l_orderkey, l_linenumber::VARCHAR AS nth, ltrim(lpad(l_suppkey::VARCHAR, 8, '0'), '0') AS eva, l_partkey || '-' || strftime(l_shipdate, '%y%m%d') AS run_key, l_partkey || '-' || strftime(l_shipdate, '%y%m%d') || '-' || l_linenumber AS stop_key FROM lineitem",
     "streamed_states": f"WITH {OBS} SELECT key, epoch_us(obs) AS obs_us, epoch_us(ct) AS ct_us, cs FROM obs QUALIFY row_number() OVER (PARTITION BY key ORDER BY obs DESC, ct DESC NULLS LAST, cs DESC NULLS LAST) = 1",
+    "stored_states": f"WITH {OBS} SELECT key, epoch_us(obs) AS obs_us, epoch_us(ct) AS ct_us, cs FROM obs QUALIFY row_number() OVER (PARTITION BY key ORDER BY obs DESC, ct DESC NULLS LAST, cs DESC NULLS LAST) = 1",
+    "online_outcomes": """WITH p AS (SELECT event_id, epoch_us(ts) AS s FROM events WHERE event_type = 'view'), l AS (SELECT event_id, s + event_id % 90 * 60000000 AS k FROM p WHERE event_id % 3 <> 0 AND event_id % 90 <= 60)
+SELECT p.event_id, s AS scored_us, k AS known_us, CASE WHEN k IS NULL THEN 'not_a_candidate' WHEN p.event_id % 5 <> 0 THEN 'evaluated' ELSE 'excluded' END AS outcome FROM p LEFT JOIN l ON p.event_id = l.event_id""",
+    "asof_of_one_key": """WITH q AS (SELECT event_id, ts - INTERVAL 10 MINUTE AS t FROM events WHERE event_type = 'purchase'), f AS (SELECT * FROM events WHERE event_type <> 'purchase')
+SELECT q.event_id, epoch_us(f.ts) AS seen_us, f.event_id AS seen_id, f.event_type, round(f.value, 6) AS value FROM q ASOF LEFT JOIN f ON q.t >= f.ts""",
     "logged_once": "SELECT DISTINCT user_id AS key, epoch_us(date_trunc('hour', ts)) AS mark_us FROM events WHERE epoch_us(ts) - epoch_us(date_trunc('hour', ts)) < 300000000",
     "streamed_hub_state": f"""WITH {PLAN}, {OBS}, ends AS (SELECT min(obs) AS a, max(obs) AS b FROM obs),
 g AS (SELECT *, unnest(generate_series(time_bucket(INTERVAL 5 MINUTE, pt - INTERVAL 30 MINUTE + INTERVAL 299999999 MICROSECOND), pt + INTERVAL 30 MINUTE, INTERVAL 5 MINUTE)) AS g FROM plan),
@@ -194,6 +202,5 @@ SELECT p.eva, count(*) AS arrivals, round(avg((b.event IS NOT NULL)::INT), 6) AS
 WHERE s_name ILIKE '%SUPPLIER%1%' GROUP BY ALL ORDER BY lines DESC, s_suppkey LIMIT 20""",
     "cancellation_shares": f"WITH {EV} SELECT eva, hour(ts)::INT AS hour, count(*) AS rows, round(avg((event_type = 'error')::INT), 6) AS cancelled, round(avg((event_type = 'signup')::INT), 6) AS replaced, round(avg((value > 60)::INT) FILTER (event_type <> 'error'), 6) AS late FROM ev GROUP BY ALL",
     "hub_period_summary": f"WITH {LABELLED} SELECT hub, cutoff_min, week(pta)::INT AS week, count(*) AS rows, round(avg(fail::INT), 6) AS fail_rate, round(avg(slack), 6) AS mean_slack FROM ds WHERE reason IS NULL GROUP BY ALL",
-    "gains_per_day_and_slice": f"""WITH {PRED}, g AS (SELECT day, priority, round(1 - avg({ll("p_model")}) / avg({ll("p_base")}), 6) AS gain FROM pred GROUP BY ALL)
-SELECT day, {", ".join(f"max(gain) FILTER (priority = '{p}') AS {n}" for p, n in (("1-URGENT", '"1"'), ("2-HIGH", '"2"'), ("3-MEDIUM", '"3"'), ("4-NOT SPECIFIED", '"4"'), ("5-LOW", '"5"')))} FROM g GROUP BY day""",
+    "gains_per_day_and_slice": f"WITH {PRED} SELECT day, priority, count(*) AS rows, round(1 - avg({ll('p_model')}) / avg({ll('p_base')}), 6) AS gain FROM pred GROUP BY ALL",
 }

@@ -13,7 +13,7 @@ from ..functions.trains import path, segment
 from ..operators import bundle, folds, labels, metrics, models, monitor, profile, selection, serving
 from ..sources import raw
 from ..sources.scratch import save, scratch
-from ..streaming import live, scoring
+from ..streaming import live, scoring, stored
 from .bindings import CUTOFFS, events, hubs, observations, plan, predictions, span, table
 from .queries import QUERIES, _dataset, _judged, micros, query, r6
 
@@ -76,14 +76,18 @@ def parsed_rows_per_day(spark, sf):
 
 @query
 def loaded_window(spark, sf):
+    """Everything of a window, with later plan versions of every third train that aren't stored yet: moved by three hours and without line."""
     t0, t1 = span(spark, sf, 0.4), span(spark, sf, 0.6)
     rows = raw.read_parsed(spark, _parsed_table(spark, sf))
-    w = raw.load_window(rows.where("source = 'plan'"), rows.where("source = 'fchg'"), t0, t1, ["0", "1", "2"])
-    plans = w.plan.groupBy("eva").agg(F.count("*").alias("n"), F.min(micros("first_seen")).alias("first_us"), F.max(micros("pt")).alias("last_us")).select(F.lit("plan").alias("part"), "eva", "n", "first_us", "last_us")
-    changes = w.obs.groupBy("eva").agg(F.count("*").alias("n"), F.min(micros("obs")).alias("first_us"), F.max(micros("ct")).alias("last_us")).select(F.lit("obs").alias("part"), "eva", "n", "first_us", "last_us")
-    polls = w.polls.groupBy("eva").agg(F.count("*").alias("n"), F.min(micros("t")).alias("first_us"), F.max(micros("t")).alias("last_us")).select(F.lit("polls").alias("part"), "eva", "n", "first_us", "last_us")
-    whole = w.span.select(F.lit("span").alias("part"), F.lit("all").alias("eva"), F.lit(1).cast("long").alias("n"), micros("first").alias("first_us"), micros("last").alias("last_us"))
-    return plans.unionByName(changes).unionByName(polls).unionByName(whole)
+    moved = rows.where((F.col("source") == "plan") & (F.col("tl_number").cast("long") % 3 == 0))
+    moved = moved.withColumn("collected_at", F.col("collected_at") + F.expr("INTERVAL 20 MINUTES")).withColumn("pt", F.col("pt") + F.expr("INTERVAL 3 HOURS")).withColumn("line", F.lit(None).cast("string"))
+    w = raw.load_window(rows, t0, t1, ["0", "1", "2"], moved)
+    none = F.lit(None).cast("string")
+    part = lambda name, df, eva, key, what, a, b: df.select(F.lit(name).alias("part"), eva.alias("eva"), key.alias("key"), what.alias("what"), micros(a).alias("first_us"), (micros(b) if b else F.lit(None).cast("long")).alias("second_us"))
+    own = lambda *c: F.concat_ws("|", *[F.coalesce(F.col(x), F.lit("-")) for x in c])
+    plans = part("plan", w.plan, F.col("eva"), own("stop_id", "event", "trip"), own("pp", "line", "path", "wings", "tra", "cat", "num"), "first_seen", "pt")
+    changes = part("obs", w.obs, F.col("eva"), F.col("key"), F.col("cs"), "obs", "ct")
+    return plans.unionByName(changes).unionByName(part("polls", w.polls, F.col("eva"), none, none, "t", None)).unionByName(part("span", w.span, none, none, none, "first", "last"))
 
 
 @query
@@ -128,6 +132,34 @@ def streamed_parse(spark, sf):
     return _parsed_columns(spark.read.parquet(out).withColumn("source", F.col("source").cast("string")))
 
 
+@query
+def stored_states(spark, sf):
+    """The last state of each key out of a keyed state store: every batch adds the keys that it changed."""
+    out = scratch(spark)
+    states = stored.last_states(_in_parts(spark, observations(spark, sf), "obs", sf), ["key"], "obs", ["ct", "cs"], keep="400 days")
+    stored.start_stored(states, out, scratch(spark)).awaitTermination()
+    return stored.read_states(spark, out, ["key"], "obs", ["ct", "cs"]).select("key", micros("obs").alias("obs_us"), micros("ct").alias("ct_us"), "cs")
+
+
+@query
+def online_outcomes(spark, sf):
+    """Views are predictions, labels come 0 to 89 minutes later for two thirds of them and count within an hour.
+
+    A last row of both streams, a year later, stands for the stream going on, so that all predictions are told.
+    """
+    e = events(spark, sf)
+    ahead = F.lit(365 * 86_400_000_000)
+    told = e.where("event_type = 'view'").select("event_id", "ts")
+    made = e.where("event_type = 'view' AND event_id % 3 <> 0").select("event_id", F.timestamp_micros(F.unix_micros("ts") + (F.col("event_id") % 90) * 60_000_000).alias("known_at"), (F.col("event_id") % 5 != 0).alias("eligible"))
+    end = e.agg(F.timestamp_micros(F.max(F.unix_micros("ts")) + ahead).alias("t"))
+    streams = []
+    for rows, time, mark in ((told, "ts", end.select(F.lit(-1).cast("long").alias("event_id"), F.col("t").alias("ts"))), (made, "known_at", end.select(F.lit(-1).cast("long").alias("event_id"), F.col("t").alias("known_at"), F.lit(None).cast("boolean").alias("eligible")))):
+        streams.append(_in_parts(spark, rows.unionByName(mark), time, sf))
+    out = scratch(spark)
+    stored.start_stored(stored.online_outcomes(*streams, ["event_id"], "ts", "known_at", "60 minutes", late="3 days"), out, scratch(spark)).awaitTermination()
+    return spark.read.parquet(out).where("event_id >= 0").select("event_id", micros("ts").alias("scored_us"), micros("known_at").alias("known_us"), "outcome")
+
+
 @query
 def streamed_states(spark, sf):
     out = scratch(spark)
@@ -500,6 +532,18 @@ def poll_within_tolerance(spark, sf):
     return near.join(got, (F.col("eva") == F.col("_e")) & (F.col("poll") == F.col("_t")), "left").select("event_id", micros("poll").alias("poll_us"), r6("value").alias("value"))
 
 
+@query
+def asof_of_one_key(spark, sf):
+    """What was last seen anywhere before each purchase: one key for all rows, spread over its hours."""
+    from ..operators.asof import asof_join_in_parts
+
+    everything = F.lit("all").alias("everything")
+    asked = events(spark, sf).where("event_type = 'purchase'").select("event_id", everything, shifted(F.col("ts"), -10).alias("t_cut"))
+    seen = events(spark, sf).where("event_type <> 'purchase'").select(everything, F.col("ts").alias("seen_at"), F.col("event_id").alias("seen_id"), "event_type", "value")
+    out = asof_join_in_parts(asked, seen, ["everything"], "t_cut", "seen_at", ["seen_id", "event_type", "value"], ["seen_id"])
+    return out.select("event_id", micros("seen_at").alias("seen_us"), "seen_id", "event_type", r6("value").alias("value"))
+
+
 @query
 def message_flags(spark, sf):
     """Six message columns of each asked row: counts of three types and flags of three, in one pass."""
@@ -563,8 +607,6 @@ def hub_period_summary(spark, sf):
 
 @query
 def gains_per_day_and_slice(spark, sf):
-    """Gains by day, one column for each priority that occurs."""
-    gains = save(metrics.gains_by(predictions(spark, sf), ["day", "priority"], "label", "p_model", "p_base"))
-    found = [r[0] for r in gains.select("priority").distinct().orderBy("priority").limit(100).collect()]  # a pivot needs its columns
-    wide = gains.groupBy("day").pivot("priority", found).agg(F.first("gain"))
-    return wide.select("day", *[r6(F.col(f"`{c}`")).alias(c.split("-")[0].lower()) for c in found])
+    """Gains by day and priority, a row each."""
+    gains = metrics.gains_by(predictions(spark, sf), ["day", "priority"], "label", "p_model", "p_base")
+    return gains.select("day", "priority", "rows", r6("gain").alias("gain"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import raw_to_utc
 from ..functions.trains import clean_eva, trip_key
+from ..operators.asof import latest_version
 from ..operators.profile import top_k
 
 PARSER_VERSION = 1
@@ -199,22 +200,30 @@ def historic_stops(rows: DataFrame) -> DataFrame:
     return rows.withColumn("eva", clean_eva(F.col("eva"))).withColumn("run_key", F.concat_ws("-", F.regexp_replace("train_id", "^-+", ""), F.date_format("day", "yyMMdd"))).withColumn("stop_key", F.concat_ws("-", "run_key", "nth"))
 
 
-def load_window(plan_rows: DataFrame, obs_rows: DataFrame, t0: Column, t1: Column, stations: Sequence[str] | None = None, extra: DataFrame | None = None) -> LoadedWindow:
-    """Plan, observations, polls and span of a time window: of parsed rows of both sources, by date, station and time.
+def load_window(parsed: DataFrame, t0: Column, t1: Column, stations: Sequence[str] | None = None, extra: DataFrame | None = None, least: int = PARSER_VERSION) -> LoadedWindow:
+    """What was collected from t0 to t1 (both included): plan, observations and polls of the stations, and the span of all.
 
-    plan has the latest version of each event that is planned in [t0, t1); obs the observations collected up to t1 of
-    those stations; polls (eva, t) when each station was asked; span one row (first, last). `extra` are parsed rows that
-    aren't stored yet. Where the tables are partitioned by date, only the dates that can matter are read.
+    parsed: the parsed table of all sources, of which only the dates of the window are read; `extra` are parsed rows
+    that aren't stored yet. plan has one row per stop, event, station and trip with the latest known value of each
+    column by itself, so a later version without a line keeps the one before it, and one moved out of the window
+    shows its new time. obs are changes with a time or a state: key, eva, obs, ct, ct_raw, cs. polls (eva, t) are
+    all times at which a station was heard of. span is one row (first, last), of all stations. Rows older than
+    the least parser version are an error, and so is a window without rows.
     """
-    here = lambda df: df if stations is None else df.where(F.col("eva").isin(*stations))
-    obs = here(obs_rows if extra is None else obs_rows.unionByName(extra, allowMissingColumns=True)).where(F.col("collected_at") < t1)
-    known = here(plan_rows).where((F.col("pt") >= t0) & (F.col("pt") < t1))
-    if "date" in known.columns:  # a plan is collected before its time
-        known = known.where(F.col("date") <= F.to_date(t1))
-    if "date" in obs.columns:
-        obs = obs.where(F.col("date") <= F.to_date(t1))
-    version = F.struct("collected_at", "pt", "pp", "line", "ppth")
-    plan = known.groupBy("eva", "stop_id", "event").agg(F.max_by(F.struct("pt", "pp", "line", "ppth"), version).alias("_v"), F.min("collected_at").alias("first_seen")).select("eva", "stop_id", "event", "_v.*", "first_seen")
-    polls = obs.select("eva", F.col("collected_at").alias("t")).distinct()
-    span = polls.agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    return LoadedWindow(plan, obs.select("eva", "stop_id", "event", F.col("collected_at").alias("obs"), "ct", "cs"), polls, span)
+    stored = parsed.where((F.col("date") >= F.to_date(t0)) & (F.col("date") <= F.to_date(t1))) if "date" in parsed.columns else parsed
+    if extra is not None:
+        stored = stored.unionByName(extra, allowMissingColumns=True)
+    rows = stored.where((F.col("collected_at") >= t0) & (F.col("collected_at") <= t1))
+    if rows.limit(1).isEmpty():
+        raise ValueError("no parsed row was collected in the window")
+    rows = check_version(rows, least)
+    here = rows if stations is None else rows.where(F.col("eva").isin(*stations))
+    of_trains = here.where(F.col("event").isin("ar", "dp"))
+    planned = of_trains.where((F.col("source") == "plan") & F.col("pt").isNotNull())
+    planned = planned.select("stop_id", "event", "eva", F.col("trip_key").alias("trip"), "collected_at", "pt", "pt_raw", "pp", F.coalesce("line", "fb").alias("line"), F.col("ppth").alias("path"), "wings", "tra", F.col("tl_category").alias("cat"), F.col("tl_number").alias("num"))
+    columns = ["pt", "pt_raw", "pp", "line", "path", "wings", "tra", "cat", "num"]
+    plan = latest_version(planned, ["stop_id", "event", "eva", "trip"], "collected_at", columns)
+    changed = of_trains.where(F.col("source").isin("fchg", "rchg") & (F.col("ct").isNotNull() | F.col("cs").isNotNull()))
+    obs = changed.select(F.concat_ws("|", "stop_id", "event").alias("key"), "eva", F.col("collected_at").alias("obs"), "ct", "ct_raw", "cs")
+    span = rows.agg(F.min("collected_at").alias("first"), F.max("collected_at").alias("last"))
+    return LoadedWindow(plan, obs, here.select("eva", F.col("collected_at").alias("t")).distinct(), span)
