@@ -266,3 +266,10 @@ def test_sketches_merge_and_contain(spark):
         df = fingerprints.with_sketch(df, fingerprints.F.col(n), f"s{n}", 2)
     r = df.select(fingerprints.containment(fingerprints.F.col("sb"), fingerprints.F.col("sc")).alias("x"), fingerprints.containment(fingerprints.F.col("sb"), fingerprints.merged(fingerprints.F.col("sa"), fingerprints.F.col("sb"))).alias("y")).first()
     assert r["x"] > 0.95 and r["y"] == 1.0
+
+
+def test_components_of_one_large_hub_and_one_long_chain(spark):
+    hub = spark.range(1, 60_000).selectExpr("id AS a", "0L AS b")
+    chain = spark.range(100_000, 101_000).selectExpr("id AS a", "id + 1 AS b")
+    got = components.components(hub.union(chain)).groupBy("root").count().collect()
+    assert {r["root"]: r["count"] for r in got} == {0: 60_000, 100_000: 1001}
