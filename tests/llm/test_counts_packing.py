@@ -233,3 +233,21 @@ def test_best_two_fit_against_one_piece_at_a_time():
         assert made == counts
         assert abs(sum(t for t, _ in plan) - brute_best_two_fit(pieces, 100)) <= 1
     assert packing.best_two_fit({}, 100) == []
+
+
+@pytest.mark.parametrize("points", [3, 1000])
+def test_level_of_very_many_sources(spark, monkeypatch, points):
+    monkeypatch.setattr(mixing, "POINTS", points)
+    r = random.Random(points)
+    sizes = [(f"s{i:04}", r.choice([0, 1, 5, r.randint(1, 100_000)])) for i in range(400)] + [(None, 77)]
+    got = {x["source"]: x["target"] for x in mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
+    weight = {s: mixing.WEIGHTS[i % 3] for i, (s, _) in enumerate(sizes)}
+    budget, left, target = 1.5 * sum(n for _, n in sizes), dict(sizes), {}
+    while True:
+        level = (budget - sum(target.values())) / sum(weight[s] for s in left)
+        over = [s for s, n in left.items() if level * weight[s] > 2 * n]
+        if not over:
+            break
+        target |= {s: 2 * left.pop(s) for s in over}
+    target |= {s: level * weight[s] for s in left}
+    assert got == pytest.approx(target)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import save, with_rank
@@ -18,30 +18,61 @@ def word_count(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+", -1))).cast("long")
 
 
+#: Sums that one step of the search for the level brings to the driver.
+POINTS = 1000
+
+
+def _level(ratios: DataFrame, budget: float, weight: float) -> float | None:
+    """The level at which min(cap, level * weight) over all sources spends the budget; None if all caps together don't.
+
+    ratios: (r, c, w), the sums of caps and weights of the sources with each cap / weight. Those below some r are at
+    their caps and the others share the rest; the level is the share of the first r that it doesn't exceed. Each step
+    looks at up to POINTS values of r, with the sums between them, and goes on between two of them, so
+    sources may be any number.
+    """
+    low, spent, held = None, 0.0, 0.0
+    while True:
+        points = ratios.count()
+        if points > POINTS:
+            cuts = sorted(set(ratios.agg(F.percentile_approx("r", [k / POINTS for k in range(1, POINTS)] + [1.0], 100 * POINTS)).first()[0]))
+            last = ratios.agg(F.max("r")).first()[0]
+            cuts = [*[x for x in cuts if x < last], last]
+            found = F.array_min(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x >= F.col("r")))
+            sums = ratios.groupBy(found.alias("r")).agg(F.sum("c").alias("c"), F.sum("w").alias("w"), F.min("r").alias("first"))
+        else:
+            sums = ratios.withColumn("first", F.col("r"))
+        at, share = low, None
+        for row in sorted(sums.collect(), key=lambda x: x["r"]):
+            # the last ratio of this stretch holds if all below it are capped; a stretch of one ratio is asked exactly
+            own = (budget - spent) / (weight - held)
+            if own <= row["first"]:
+                return own
+            if row["first"] < row["r"] and (budget - spent - row["c"]) <= row["r"] * (weight - held - row["w"]):
+                share = row["r"]
+                break
+            at, spent, held = row["r"], spent + row["c"], held + row["w"]
+        if share is None:
+            return None
+        ratios = ratios.where((F.col("r") <= share) if at is None else (F.col("r") > at) & (F.col("r") <= share))
+        low = at
+
+
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequence[int] = WEIGHTS) -> DataFrame:
     """(source, source_size) -> the same with `target`.
 
     Sources in code point order, null last, take the weights in turn and share `share` times all
     sizes; no target is above `most` times its source's size, and the excess is shared again by
-    weight. That fixed point is min(cap, level * weight) for the one level that spends the budget:
-    sources are ordered by cap / weight, and those before the first that the level leaves
-    uncapped are at their caps. One row per source enters the two windows.
+    weight. That fixed point is min(cap, level * weight) for the one level that spends the budget. Sources
+    may be any number: their places in the order come from range partitions, the level from sums.
     """
-    ordered = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (((F.row_number().over(ordered) - 1) % len(weights)) + 1).cast("int"))
-    rows = sizes.select("source", "source_size", weight.alias("weight"))
-    by_ratio = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    below = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(1))
-    cap = F.col("source_size") * F.lit(float(most))
-    level = (F.sum("source_size").over(whole) * F.lit(float(share)) - F.coalesce(F.sum(cap).over(below), F.lit(0.0))) / (
-        F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(below), F.lit(0))
-    )
-    rows = rows.select("*", F.row_number().over(by_ratio).alias("nth"), cap.alias("cap"), level.alias("level"))
-    free = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("nth", "level"))).over(whole)["level"]
-    return rows.select("source", "source_size", "weight", "cap", free.alias("level")).select(
-        "source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target")
-    )
+    rows = with_rank(sizes.select("source", "source_size", F.col("source").isNull().alias("_last")), [], ["_last", "source"], "_nth")
+    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("_nth") % len(weights) + 1).cast("int"))
+    rows = save(rows.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap")))
+    ratios = save(rows.groupBy((F.col("cap") / F.col("weight")).alias("r")).agg(F.sum("cap").alias("c"), F.sum("weight").cast("double").alias("w")))
+    whole = rows.agg(F.sum("source_size").cast("double"), F.sum("weight").cast("double")).first()
+    level = _level(ratios, whole[0] * share, whole[1]) if whole[1] else None
+    target = F.col("cap") if level is None else F.least("cap", F.lit(level) * F.col("weight"))
+    return rows.select("source", "source_size", target.alias("target"))
 
 
 def offset(source: Column, seed: str) -> Column:
