@@ -491,7 +491,7 @@ def feeder_coverage(spark, sf):
 
 
 def _feeders(spark, sf) -> DataFrame:
-    """Arrivals with the same run's last event at another hub in the two hours before."""
+    """Arrivals with the same run's last click in the two days before, which stands for its event at a feeder."""
     p = plan(spark, sf)
     arrivals = p.where("event = 'ar'").select("stop_id", "trip", "eva", "pt", F.col("trip").cast("long").alias("key"))
     before = events(spark, sf).where("event_type = 'click'").select(F.col("user_id").cast("string").alias("_trip"), F.col("ts").alias("f_pt"), F.col("value").alias("f_delay_s"))
