@@ -15,7 +15,7 @@ from .common import WORD
 #: Sequences of so many words are looked at, and a text breaks a rule with more than MOST percent of its word characters
 #: inside duplicated sequences of one length, first occurrences included, or inside lines that equal an earlier one. Published
 #: rules ask for 15 to 10 percent of later occurrences, about 30 to 20 with first ones; of 6,695 documents labelled good that
-#: pass the base rule, 35 break those and 1 breaks 30 throughout: a shared line stands twice in a short text.
+#: pass the base rule, 26 break those and 1 breaks 30 throughout: a shared line stands twice in a short text.
 LENGTHS, MOST = range(5, 11), 30
 #: The base rule: at least so many words, and at most this percentage of them in repeated windows of WINDOW words.
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
