@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import minutes
+from ..sources.scratch import save
 from .asof import asof_join
 from .metrics import bootstrap_gain, flag_metrics, recall_at_precision, scores
+from .quantiles import beside, quantile_columns
 
 
 def first_logged(log: DataFrame, key: Sequence[str], time: str) -> DataFrame:
@@ -29,10 +31,13 @@ def outcomes(predictions: DataFrame, labelled: DataFrame, key: Sequence[str]) ->
 
 def operations(joined: DataFrame, groups: Sequence[str], lag: str, age: str, exact: bool = False) -> DataFrame:
     """Outcome counts, share evaluated, and quantiles of lag and data age, to within a rank of 1 in 10,000 unless `exact`."""
-    quantile = F.percentile if exact else lambda c, p: F.percentile_approx(c, p, 10_000)
-    q = [quantile(c, p).alias(f"{c}_p{int(p * 100)}") for c in (lag, age) for p in (0.5, 0.95)]
+    at = (0.5, 0.95)
+    q = [] if exact else [F.percentile_approx(c, p, 10_000).alias(f"{c}_p{round(p * 100)}") for c in (lag, age) for p in at]
     kinds = [F.count_if(F.col("outcome") == k).alias(k) for k in ("evaluated", "excluded", "not_a_candidate")]
-    return joined.groupBy(*groups).agg(F.count("*").alias("predictions"), *kinds, F.avg((F.col("outcome") == "evaluated").cast("double")).alias("coverage"), *q, F.max(lag).alias(f"{lag}_max"), F.max(age).alias(f"{age}_max"))
+    if exact:
+        joined = save(joined.select(*groups, "outcome", lag, age))
+    out = joined.groupBy(*groups).agg(F.count("*").alias("predictions"), *kinds, F.avg((F.col("outcome") == "evaluated").cast("double")).alias("coverage"), *q, F.max(lag).alias(f"{lag}_max"), F.max(age).alias(f"{age}_max"))
+    return beside(out, quantile_columns(joined, groups, {lag: (lag, at), age: (age, at)}), groups) if exact else out
 
 
 def performance(joined: DataFrame, groups: Sequence[str], label: str, model: str, base: str, rule: str) -> DataFrame:

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import save
+from .quantiles import beside, exact_quantiles
+
 
 def null_shares(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, null_share) of all columns in one pass."""
@@ -35,9 +38,13 @@ def top_k(rows: DataFrame, groups: Sequence[str], value: str, k: int) -> DataFra
 
 
 def distribution(rows: DataFrame, groups: Sequence[str], x: str, at: Sequence[float], exact: bool = False) -> DataFrame:
-    """Count, mean and quantiles: to within a rank of 1 in 10,000 in bounded memory, or `exact` with linear interpolation."""
-    quantile = F.percentile if exact else lambda c, q: F.percentile_approx(c, q, 10_000)
-    return rows.groupBy(*groups).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), *[quantile(x, q).alias(f"p{round(q * 100):02d}") for q in at])
+    """Count, mean and quantiles: to within a rank of 1 in 10,000 in one pass, or `exact` with linear interpolation by exact_quantiles()."""
+    names = [f"p{round(q * 100):02d}" for q in at]
+    if not exact:
+        return rows.groupBy(*groups).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), *[F.percentile_approx(x, q, 10_000).alias(c) for q, c in zip(at, names, strict=True)])
+    rows = save(rows.select(*groups, x))
+    found = exact_quantiles(rows, groups, x, at).select(*groups, *[F.col("quantiles")[i].alias(c) for i, c in enumerate(names)])
+    return beside(rows.groupBy(*groups).agg(F.count(x).alias("n"), F.avg(x).alias("mean")), found, groups)
 
 
 def match_rate(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -112,12 +119,13 @@ def partial_correlation(rows: DataFrame, x: str, y: str, given: Sequence[str]) -
 def greedy_cover(reach: DataFrame, item: str, covered: str, weights: DataFrame, k: int) -> DataFrame:
     """k picks of `item`, each adding the most weight not yet covered: (pick, item, added, share).
 
-    reach: (item, covered); weights: (covered, weight). One aggregation a pick; what is left is written to
-    the shared checkpoint folder where one is set. Only the k picks come to the driver.
+    reach: (item, covered); weights: (covered, weight). One aggregation a pick; what is left is written
+    after each. Only the k picks come to the driver.
     """
     spark = reach.sparkSession
     total = weights.agg(F.sum("weight")).first()[0] or 0
     left = reach.select(F.col(item).cast("string").alias("item"), F.col(covered).alias("covered")).distinct().join(weights.select(F.col(covered).alias("covered"), "weight"), "covered")
+    left = save(left)
     picks, sum_ = [], 0.0
     for n in range(1, k + 1):
         best = left.groupBy("item").agg(F.sum("weight").alias("added")).orderBy(F.desc("added"), "item").first()
@@ -125,7 +133,5 @@ def greedy_cover(reach: DataFrame, item: str, covered: str, weights: DataFrame,
             break
         sum_ += float(best["added"])
         picks.append((n, best["item"], float(best["added"]), sum_ / float(total)))
-        left = left.join(left.where(F.col("item") == best["item"]).select("covered"), "covered", "left_anti")
-        if spark.sparkContext.getCheckpointDir():
-            left = left.checkpoint()
+        left = save(left.join(left.where(F.col("item") == best["item"]).select("covered"), "covered", "left_anti"))
     return spark.createDataFrame(picks, "pick int, item string, added double, share double")

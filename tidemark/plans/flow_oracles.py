@@ -196,7 +196,7 @@ a AS (SELECT s, sum(w)::DOUBLE AS added FROM r GROUP BY s ORDER BY added DESC, s
 b AS (SELECT s, sum(w)::DOUBLE AS added FROM r2 GROUP BY s ORDER BY added DESC, s LIMIT 1), r3 AS (SELECT * FROM r2 WHERE stop_id NOT IN (SELECT stop_id FROM r2 JOIN b USING (s))),
 c AS (SELECT s, sum(w)::DOUBLE AS added FROM r3 GROUP BY s ORDER BY added DESC, s LIMIT 1)
 SELECT 1 AS pick, s AS item, added, round(added / t, 6) AS share FROM a, tot UNION ALL SELECT 2, b.s, b.added, round((a.added + b.added) / t, 6) FROM a, b, tot UNION ALL SELECT 3, c.s, c.added, round((a.added + b.added + c.added) / t, 6) FROM a, b, c, tot""",
-    "matched_runs": f"""WITH {PLAN}, b AS (SELECT eva, trip, event FROM plan WHERE stop_id NOT LIKE '%0-1' QUALIFY row_number() OVER (PARTITION BY eva, trip ORDER BY (event <> 'dp')::INT, pt, stop_id, event) = 1)
+    "matched_runs": f"""WITH {PLAN}, b AS (SELECT eva, trip, event FROM plan WHERE cat <> 'Bus' QUALIFY row_number() OVER (PARTITION BY eva, trip ORDER BY (event <> 'dp')::INT, pt, stop_id, event) = 1)
 SELECT p.eva, count(*) AS arrivals, round(avg((b.event IS NOT NULL)::INT), 6) AS match_rate, round(avg((b.event = 'dp')::INT), 6) AS departing FROM plan p LEFT JOIN b ON b.eva = p.eva AND b.trip = p.trip WHERE p.event = 'ar' GROUP BY p.eva""",
     "named_suppliers": """SELECT s_suppkey, s_name, count(*) AS lines, round(count(*) / count(DISTINCT l_shipdate::DATE)::DOUBLE, 6) AS lines_per_day, round(avg(l_quantity), 6) AS quantity FROM supplier JOIN lineitem ON l_suppkey = s_suppkey
 WHERE s_name ILIKE '%SUPPLIER%1%' GROUP BY ALL ORDER BY lines DESC, s_suppkey LIMIT 20""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import ZONE, minutes, shifted
 from ..functions.trains import path, segment
-from ..operators import bundle, folds, labels, metrics, models, monitor, profile, selection, serving
+from ..operators import bundle, folds, labels, metrics, models, monitor, profile, quantiles, selection, serving
 from ..sources import raw
 from ..sources.scratch import save, scratch
 from ..streaming import live, scoring, stored
@@ -456,7 +456,9 @@ def observability(spark, sf):
     seen = observations(spark, sf).groupBy("key").agg(F.count("*").alias("n"))
     with_counts = c.join(seen.select(F.col("key").alias("key_a"), F.col("n").alias("na")), "key_a", "left").join(seen.select(F.col("key").alias("key_b"), F.col("n").alias("nb")), "key_b", "left")
     share = lambda x: r6(F.avg(F.col(x).cast("int"))).alias(x)
-    return with_counts.groupBy("hub").agg(F.count("*").alias("pairs"), share("observed"), share("stale"), r6(F.percentile(F.coalesce("na", F.lit(0)), 0.5)).alias("median_a"), r6(F.percentile(F.coalesce("nb", F.lit(0)), 0.5)).alias("median_b"))
+    with_counts = save(with_counts.select("hub", "observed", "stale", F.coalesce("na", F.lit(0)).alias("na"), F.coalesce("nb", F.lit(0)).alias("nb")))
+    middle = quantiles.quantile_columns(with_counts, ["hub"], {"a": ("na", (0.5,)), "b": ("nb", (0.5,))}).select("hub", r6("a_p50").alias("median_a"), r6("b_p50").alias("median_b"))
+    return quantiles.beside(with_counts.groupBy("hub").agg(F.count("*").alias("pairs"), share("observed"), share("stale")), middle, ["hub"])
 
 
 @query
@@ -503,7 +505,8 @@ def _feeders(spark, sf) -> DataFrame:
 def feeder_lead_times(spark, sf):
     f = save(_feeders(spark, sf)).withColumn("lead", minutes(F.col("pt"), F.col("f_pt")))
     passed = [r6(F.avg(F.coalesce(F.col("lead") >= c, F.lit(False)).cast("int"))).alias(f"passed_{c}") for c in CUTOFFS]
-    return f.groupBy("eva").agg(F.count("*").alias("arrivals"), *[r6(F.percentile("lead", q)).alias(f"p{round(q * 100)}") for q in (0.1, 0.5, 0.9)], *passed)
+    leads = quantiles.exact_quantiles(f, ["eva"], "lead", (0.1, 0.5, 0.9)).select("eva", *[r6(F.col("quantiles")[i]).alias(f"p{q}") for i, q in enumerate((10, 50, 90))])
+    return quantiles.beside(f.groupBy("eva").agg(F.count("*").alias("arrivals"), *passed), leads, ["eva"])
 
 
 @query
@@ -576,9 +579,9 @@ def all_feature_groups(spark, sf):
 
 @query
 def matched_runs(spark, sf):
-    """How many arrivals have the same run at the same hub, where a departing event is preferred to an arriving one; by kind of match."""
+    """How many arrivals have the same run at the same hub, where a departing event is preferred to an arriving one; the other side knows no buses."""
     p = plan(spark, sf)
-    best = profile.preferred(p.where("stop_id NOT LIKE '%0-1'"), ["eva", "trip"], F.when(F.col("event") == "dp", 0).otherwise(1), ["pt", "stop_id", "event"]).select("eva", "trip", F.col("event").alias("matched_event"))
+    best = profile.preferred(p.where("cat <> 'Bus'"), ["eva", "trip"], F.when(F.col("event") == "dp", 0).otherwise(1), ["pt", "stop_id", "event"]).select("eva", "trip", F.col("event").alias("matched_event"))
     rows = p.where("event = 'ar'").select("eva", "trip").join(best, ["eva", "trip"], "left")
     return rows.groupBy("eva").agg(F.count("*").alias("arrivals"), r6(F.avg(F.col("matched_event").isNotNull().cast("int"))).alias("match_rate"), r6(F.avg((F.col("matched_event") == "dp").cast("int"))).alias("departing"))
 

@@ -173,7 +173,7 @@ SELECT cutoff_min, slice, value, model, n, fail_rate, mean_p, CASE WHEN model <>
     "gain_by_fold": f"""WITH {PRED}, d AS (SELECT day, 1 - avg({ll("p_model")}) / avg({ll("p_base")}) AS gain FROM pred GROUP BY day)
 SELECT day % 4 AS fold, count(*) AS days, round(avg(gain), 6) AS mean_gain, count(*) FILTER (gain > 0) AS days_better FROM d GROUP BY ALL""",
     "psi_of_inputs": """WITH r AS (SELECT *, CASE WHEN l_linenumber <> 7 THEN l_discount END AS discount FROM lineitem),
-t AS (SELECT * FROM r WHERE l_shipdate < TIMESTAMP '1998-01-01'), n AS (SELECT * FROM r WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_quantity > 10),
+t AS (SELECT * FROM r WHERE l_shipdate < TIMESTAMP '1998-01-01'), n AS (SELECT * FROM r WHERE l_shipdate >= TIMESTAMP '1998-01-01'),
 lt AS (SELECT unnest(['l_quantity', 'discount', 'l_extendedprice']) AS input, unnest([l_quantity, discount, l_extendedprice]) AS x FROM t), ln AS (SELECT unnest(['l_quantity', 'discount', 'l_extendedprice']) AS input, unnest([l_quantity, discount, l_extendedprice]) AS x FROM n),
 e AS (SELECT input, list_distinct(quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS edges FROM lt GROUP BY input),
 b AS (SELECT 'e' AS side, input, CASE WHEN x IS NULL THEN 'm' ELSE len(list_filter(edges, lambda q: q <= x))::VARCHAR END AS bin FROM lt JOIN e USING (input) UNION ALL SELECT 'a', input, CASE WHEN x IS NULL THEN 'm' ELSE len(list_filter(edges, lambda q: q <= x))::VARCHAR END FROM ln JOIN e USING (input)

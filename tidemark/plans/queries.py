@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import day_start, is_ambiguous, minutes, raw_to_utc, service_day, shifted
 from ..functions.trains import bucket, display_name, nearest_cutoff, path, segment, trip_key
-from ..operators import asof, drift, features, folds, grid, labels, metrics, models, monitor, pairs, profile
+from ..operators import asof, drift, features, folds, grid, labels, metrics, models, monitor, pairs, profile, quantiles
 from ..sources import raw
 from ..sources.scratch import save
 from ..streaming import live
@@ -278,7 +278,7 @@ def gain_by_fold(spark, sf):
 @query
 def psi_of_inputs(spark, sf):
     rows = table(spark, sf, "lineitem").withColumn("discount", F.when(F.col("l_linenumber") != 7, F.col("l_discount")))
-    training, now = rows.where("l_shipdate < TIMESTAMP '1998-01-01'"), rows.where("l_shipdate >= TIMESTAMP '1998-01-01' AND l_quantity > 10")
+    training, now = rows.where("l_shipdate < TIMESTAMP '1998-01-01'"), rows.where("l_shipdate >= TIMESTAMP '1998-01-01'")
     out = drift.drift_report(training, now, ["l_quantity", "discount", "l_extendedprice"], ["l_returnflag"], exact=True)
     return out.select("input", r6("psi").alias("psi"), "level", "status")
 
@@ -447,7 +447,9 @@ def requests_by_type(spark, sf):
 @query
 def snapshots_per_key(spark, sf):
     per = observations(spark, sf).groupBy("key").agg(F.count("*").alias("snapshots"), F.count_distinct("ct").alias("changes"), F.max((F.col("cs") == "c").cast("int")).alias("cancelled"))
-    return per.agg(F.count("*").alias("keys"), r6(F.percentile("snapshots", 0.5)).alias("p50"), r6(F.percentile("snapshots", 0.9)).alias("p90"), r6(F.percentile("changes", 0.5)).alias("changes_p50"), r6(F.avg(F.coalesce("cancelled", F.lit(0)))).alias("cancelled"))
+    per = save(per)
+    middle = quantiles.quantile_columns(per, [], {"snapshots": ("snapshots", (0.5, 0.9)), "changes": ("changes", (0.5,))}).select(r6("snapshots_p50").alias("p50"), r6("snapshots_p90").alias("p90"), r6("changes_p50").alias("changes_p50"))
+    return quantiles.beside(per.agg(F.count("*").alias("keys"), r6(F.avg(F.coalesce("cancelled", F.lit(0)))).alias("cancelled")), middle, [])
 
 
 @query
@@ -466,7 +468,9 @@ def hour_offsets(spark, sf):
 @query
 def feeder_volume(spark, sf):
     gaps = asof.poll_gap(events(spark, sf).where("event_type = 'click'"), ["eva"], "ts")
-    return gaps.groupBy("eva").agg(F.count_distinct("user_id").alias("runs"), F.count("*").alias("observations"), r6(F.percentile("gap_s", 0.5)).alias("median_gap_s"))
+    gaps = save(gaps.select("eva", "user_id", "gap_s"))
+    middle = quantiles.exact_quantiles(gaps, ["eva"], "gap_s", (0.5,)).select("eva", r6(F.col("quantiles")[0]).alias("median_gap_s"))
+    return quantiles.beside(gaps.groupBy("eva").agg(F.count_distinct("user_id").alias("runs"), F.count("*").alias("observations")), middle, ["eva"])
 
 
 @query
