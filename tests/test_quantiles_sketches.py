@@ -1,11 +1,14 @@
-"""Exact quantiles by selection."""
+"""Exact quantiles by selection, stored daily sketches, snapshots of latest versions."""
 
+import datetime
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import drift, sketches, snapshots
+from tidemark.operators.asof import latest_version
 from tidemark.operators.quantiles import exact_quantiles, quantile_columns
 
 AT = (0.0, 0.1, 0.25, 0.5, 0.5, 0.9, 0.99, 1.0)
@@ -57,3 +60,74 @@ def test_odd_inputs_of_quantiles(spark):
     assert got["_k0"] == "a" and got["quantiles"] == [2.0]
     wide = quantile_columns(clash, ["_k0"], {"n": ("n", (0.5,)), "r": ("_rows", (0.0, 1.0))}).first()
     assert (wide["n_p50"], wide["r_p00"], wide["r_p100"]) == (2.0, 5.0, 6.0)
+
+
+def profiled(spark):
+    r = random.Random(5)
+    rows = [(d, r.gauss(d / 10, 1), float(r.randrange(5)), "ab"[r.randrange(2)] if r.random() > 0.1 else None) for d in range(1, 7) for _ in range(4000)] + [(1, None, float("nan"), "z")]
+    return spark.createDataFrame(rows, "day int, x double, few double, kind string")
+
+
+def test_profiles_of_days_merge_to_the_whole(spark, tmp_path):
+    rows = profiled(spark)
+    sketches.daily_profiles(rows, "day", ["x", "few"], ["kind"]).write.parquet(str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    for days in ((1, 2, 3), (1, 2, 3, 4, 5, 6)):
+        part = rows.where(F.col("day").isin(*days)).toPandas()
+        merged = sketches.merged_profiles(stored.where(F.col("day").isin(*days)))
+        got = {r["input"]: r for r in merged.where("kind = 'numeric'").withColumn("d", F.hll_sketch_estimate("different")).collect()}
+        assert (got["x"]["rows"], got["x"]["missing"], got["few"]["missing"], got["few"]["d"]) == (len(part), 1, 1, 5)
+        assert (got["x"]["low"], got["x"]["high"]) == (part.x.min(), part.x.max())
+        assert got["x"]["d"] == pytest.approx(part.x.nunique(), rel=0.06)
+        values, at = np.sort(part.x.dropna()), (0.01, 0.25, 0.5, 0.9)
+        for q, v in zip(at, sketches.profile_quantiles(merged, at).where("input = 'x'").first()["quantiles"], strict=True):
+            assert abs(np.searchsorted(values, v, "right") / len(values) - q) < 0.005
+
+
+def test_psi_of_stored_profiles(spark):
+    """Against PSI over the rows, whose edges and shares are exact; shares of categories are equal."""
+    rows = profiled(spark)
+    stored = sketches.daily_profiles(rows, "day", ["x"], ["kind"])
+    old, new = (sketches.merged_profiles(stored.where(w)) for w in ("day <= 3", "day > 3"))
+    edges = sketches.profile_edges(old)
+    got = {r["input"]: r["psi"] for r in drift.psi(sketches.profile_shares(old, edges), sketches.profile_shares(new, edges)).collect()}
+    a, b = rows.where("day <= 3"), rows.where("day > 3")
+    bounds = drift.edges(a, ["x"], exact=True)
+    want = {r["input"]: r["psi"] for r in drift.psi(drift.shares(a, ["x"], ["kind"], bounds), drift.shares(b, ["x"], ["kind"], bounds)).collect()}
+    assert got["x"] == pytest.approx(want["x"], abs=0.01) and want["x"] > 0.05
+    assert got["kind"] == pytest.approx(want["kind"])
+    sums = sketches.profile_shares(new, edges).groupBy("input").agg(F.sum("share").alias("s")).collect()
+    assert all(r["s"] == pytest.approx(1) for r in sums)
+
+
+def test_profiles_without_rows_or_numbers(spark):
+    none = spark.createDataFrame([(1, None, "a")], "day int, x double, kind string")
+    merged = sketches.merged_profiles(sketches.daily_profiles(none, "day", ["x"], ["kind"]))
+    edges = sketches.profile_edges(merged)
+    assert edges.first()["edges"] == []
+    assert sorted((r["input"], r["bin"], r["share"]) for r in sketches.profile_shares(merged, edges).collect()) == [("kind", "a", 1.0), ("x", drift.MISSING, 1.0)]
+    assert sketches.merged_profiles(sketches.daily_profiles(none.limit(0), "day", ["x"], ["kind"])).collect() == []
+
+
+def test_snapshots_equal_the_whole_log_and_read_only_dates_since(spark, tmp_path):
+    r = random.Random(9)
+    start = datetime.datetime(2024, 3, 1)
+    rows = []
+    for i in range(1500):
+        t = start + datetime.timedelta(minutes=r.randrange(6 * 1440))
+        rows.append((t.date(), r.choice(["k1", "k1", "k2", None, f"k{r.randrange(40)}"]), t, r.choice([None, "a", "b"]), r.choice([None, 1.5, 2.5]), i))
+    spark.createDataFrame(rows, "date date, key string, at timestamp, line string, delay double, n int").write.partitionBy("date").parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    how = (["key"], "at", ["line", "delay"], ["n"])
+    path = str(tmp_path / "snapshots")
+    t = F.lit(start + datetime.timedelta(days=4, hours=13))
+    want = sorted(map(str, latest_version(log.where(F.col("at") <= t), *how).collect()))
+    assert sorted(map(str, snapshots.latest_at(log, path, t, "2024-03-05", *how).collect())) == want
+    for day in ("2024-03-02", "2024-03-04", "2024-03-04", "2024-03-05"):
+        snapshots.write_snapshot(log, path, day, *how)
+    (tmp_path / "snapshots" / "as_of=2024-03-04" / "half").mkdir()
+    for old in (tmp_path / "log").glob("date=2024-03-0[1-4]/*.parquet"):
+        old.write_bytes(b"not parquet")  # whoever reads it fails
+    fresh = spark.read.schema(log.schema).parquet(str(tmp_path / "log"))
+    assert snapshots.last_snapshot(spark, path, "2024-03-05") == "2024-03-04"
+    assert sorted(map(str, snapshots.latest_at(fresh, path, t, "2024-03-05", *how).collect())) == want

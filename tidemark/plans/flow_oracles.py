@@ -203,4 +203,9 @@ WHERE s_name ILIKE '%SUPPLIER%1%' GROUP BY ALL ORDER BY lines DESC, s_suppkey LI
     "cancellation_shares": f"WITH {EV} SELECT eva, hour(ts)::INT AS hour, count(*) AS rows, round(avg((event_type = 'error')::INT), 6) AS cancelled, round(avg((event_type = 'signup')::INT), 6) AS replaced, round(avg((value > 60)::INT) FILTER (event_type <> 'error'), 6) AS late FROM ev GROUP BY ALL",
     "hub_period_summary": f"WITH {LABELLED} SELECT hub, cutoff_min, week(pta)::INT AS week, count(*) AS rows, round(avg(fail::INT), 6) AS fail_rate, round(avg(slack), 6) AS mean_slack FROM ds WHERE reason IS NULL GROUP BY ALL",
     "gains_per_day_and_slice": f"WITH {PRED} SELECT day, priority, count(*) AS rows, round(1 - avg({ll('p_model')}) / avg({ll('p_base')}), 6) AS gain FROM pred GROUP BY ALL",
+    "latest_from_snapshot": f"""WITH {SPAN}, e AS (SELECT events.* FROM events, span WHERE epoch_us(ts) <= lo + floor((hi - lo) * 0.7::DOUBLE))
+SELECT user_id, arg_max(event_type, row(ts, event_id)) FILTER (event_type <> 'view') AS doing, round(arg_max(value, row(ts, event_id)) FILTER (value > 60), 6) AS late, epoch_us(min(ts)) AS first_us FROM e GROUP BY user_id""",
+    "profiled_months": """WITH o AS (SELECT CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'before' ELSE 'since' END AS stretch, * FROM orders)
+SELECT stretch, 'o_totalprice' AS input, NULL::VARCHAR AS v, count(*) AS rows, count(*) - count(o_totalprice) AS missing, round(min(o_totalprice), 6) AS low, round(max(o_totalprice), 6) AS high, true AS close FROM o GROUP BY stretch
+UNION ALL SELECT stretch, 'o_orderpriority', coalesce(o_orderpriority, '<missing>'), count(*), count(*) - count(o_orderpriority), NULL, NULL, NULL FROM o GROUP BY ALL""",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import ZONE, minutes, shifted
 from ..functions.trains import path, segment
-from ..operators import bundle, folds, labels, metrics, models, monitor, profile, quantiles, selection, serving
+from ..operators import bundle, folds, labels, metrics, models, monitor, profile, quantiles, selection, serving, sketches, snapshots
 from ..sources import raw
 from ..sources.scratch import save, scratch
 from ..streaming import live, scoring, stored
@@ -90,6 +90,37 @@ def loaded_window(spark, sf):
     return plans.unionByName(changes).unionByName(part("polls", w.polls, F.col("eva"), none, none, "t", None)).unionByName(part("span", w.span, none, none, none, "first", "last"))
 
 
+@query
+def latest_from_snapshot(spark, sf):
+    """What each user last did and their last long value at 70 % of the time: from the second of two snapshots and the dates after it."""
+    out = scratch(spark)
+    log = events(spark, sf).select(F.to_date("ts").alias("date"), "user_id", "ts", "event_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("doing"), F.when(F.col("value") > 60, F.col("value")).alias("late"))
+    log.repartition("date", F.hour("ts")).write.partitionBy("date").parquet(f"{out}/log")
+    stored_log = spark.read.parquet(f"{out}/log")
+    how = (["user_id"], "ts", ["doing", "late"], ["event_id"])
+    t = span(spark, sf, 0.7)
+    days = spark.range(1).select(*[F.to_date(x).cast("string") for x in (span(spark, sf, 0.3), span(spark, sf, 0.5), t)]).first()
+    for day in days[:2]:
+        snapshots.write_snapshot(stored_log, f"{out}/snapshots", day, *how)
+    found = snapshots.latest_at(stored_log, f"{out}/snapshots", t, days[2], *how)
+    return found.select("user_id", "doing", r6("late").alias("late"), micros("first_seen").alias("first_us"))
+
+
+@query
+def profiled_months(spark, sf):
+    """Months of orders stored as sketches, merged before and since 1998; `close` tells whether the sketched median is at most 0.5 % of the ranks away."""
+    out = scratch(spark)
+    o = table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_totalprice", "o_orderpriority")
+    sketches.daily_profiles(o, "month", ["o_totalprice"], ["o_orderpriority"]).write.parquet(out)
+    parts = []
+    for name, when in (("before", "< '1998-01'"), ("since", ">= '1998-01'")):
+        merged = save(sketches.merged_profiles(spark.read.parquet(out).where(f"day {when}")))
+        middle = sketches.profile_quantiles(merged, [0.5]).select("input", F.col("quantiles")[0].alias("q"))
+        close = o.where(f"month {when}").crossJoin(F.broadcast(middle)).groupBy("input").agg((F.abs(F.avg((F.col("o_totalprice") <= F.col("q")).cast("int")) - 0.5) <= 0.005).alias("close"))  # one row beside each
+        parts.append(quantiles.beside(merged, close, ["input"]).select(F.lit(name).alias("stretch"), "input", "v", "rows", "missing", r6("low").alias("low"), r6("high").alias("high"), "close"))
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def replaced_days(spark, sf):
     """Days of orders written, every third written anew with other prices, and read back by a few columns with their records."""
