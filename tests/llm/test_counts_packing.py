@@ -251,3 +251,12 @@ def test_level_of_very_many_sources(spark, monkeypatch, points):
         target |= {s: 2 * left.pop(s) for s in over}
     target |= {s: level * weight[s] for s in left}
     assert got == pytest.approx(target)
+
+
+def test_ids_with_marks_behind_letters_equal_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, encode, rng = Tokenizer.from_file(path), packing.chunk_encoder(path), random.Random(5)
+    parts = ["word", "Dog", "é", "É", "ß", "×", "÷", "s'", "'s", "'t", "'", ",", "***", "%%%", "!!", "…", "́", "<", "|>", "<|endoftext|>", "1", "_", "日本", " ", " ", " ", "\n", "\x1c"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    for text, ids in zip(texts, encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text

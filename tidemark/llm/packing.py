@@ -20,8 +20,8 @@ from .common import save, with_rank
 CAPACITY = 2048
 #: Chunks whose ids a task remembers before it starts anew.
 CACHE = 600_000
-#: A mark that ends a word of ASCII letters; the tokenizers here divide before it anyway.
-STOP = re.compile(rb"(?<=[a-z])([.,;:!?])(?=[\x20\x09-\x0D])")
+#: ASCII marks that end a chunk, right behind an ASCII or Latin-1 letter; the tokenizers here divide before them anyway.
+STOP = re.compile(rb"([!-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xC3[\x80-\x96\x98-\xB6\xB8-\xBF].))[!-/:-@\[-`{-~]*+)(?=[\x20\x09-\x0D]|\Z)")
 
 
 def chunk_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
@@ -29,7 +29,7 @@ def chunk_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
 
     For tokenizers that lower-case, divide words from marks, and drop white space: ids of a text are
     those of its chunks in turn, and a chunk seen before is not encoded again. Texts are lower-cased
-    (A-Z) first, unless they may hold a special token, and a single mark after a word stands alone.
+    (A-Z) first, unless they may hold a special token, and marks after a word stand alone.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
