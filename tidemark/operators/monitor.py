@@ -54,17 +54,28 @@ def performance(joined: DataFrame, groups: Sequence[str], label: str, model: str
 
 
 def skew(live: DataFrame, offline: DataFrame, key: Sequence[str], features: Sequence[str], tolerance: float = 1e-6) -> DataFrame:
-    """Per feature: rows compared, share equal (nulls and NaN equal themselves) and mean absolute difference; and `<row>`: shares of rows equal in all."""
-    pairs = live.select(*key, *[F.col(c).cast("double").alias(f"_l{i}") for i, c in enumerate(features)]).join(offline.select(*key, *[F.col(c).cast("double").alias(f"_o{i}") for i, c in enumerate(features)]), list(key))
+    """Per feature: rows compared, share equal (nulls and NaN equal themselves), mean absolute difference of all rows with both
+    numbers, and of those that are not equal; and `<row>`: shares of rows equal in all. Features that are text on either
+    side are compared as text and have no difference.
+    """
+    text = {c for c in features for df in (live, offline) if df.schema[c].dataType.typeName() == "string"}
+    side = lambda df, x: df.select(*key, *[F.col(c).cast("string" if c in text else "double").alias(f"_{x}{i}") for i, c in enumerate(features)])
+    pairs = side(live, "l").join(side(offline, "o"), list(key))
     clean = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
+    none = F.lit(None).cast("double")
     items, all_equal = [], F.lit(True)
     for i, c in enumerate(features):
-        a, b = clean(f"_l{i}"), clean(f"_o{i}")
-        equal = F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(F.abs(a - b) <= tolerance)
+        if c in text:
+            equal, diff = F.col(f"_l{i}").eqNullSafe(F.col(f"_o{i}")), none
+        else:
+            a, b = clean(f"_l{i}"), clean(f"_o{i}")
+            equal, diff = F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(F.abs(a - b) <= tolerance), F.abs(a - b)
         all_equal = all_equal & equal
-        items.append(F.struct(F.lit(c).alias("feature"), equal.alias("equal"), F.abs(a - b).alias("diff")))
-    items.append(F.struct(F.lit("<row>").alias("feature"), all_equal.alias("equal"), F.lit(None).cast("double").alias("diff")))
-    return pairs.select(F.explode(F.array(*items)).alias("_x")).select("_x.*").groupBy("feature").agg(F.count("*").alias("rows"), F.avg(F.col("equal").cast("double")).alias("equal_share"), F.avg("diff").alias("mean_abs_diff"))
+        items.append(F.struct(F.lit(c).alias("feature"), equal.alias("equal"), diff.alias("diff")))
+    items.append(F.struct(F.lit("<row>").alias("feature"), all_equal.alias("equal"), none.alias("diff")))
+    long = pairs.select(F.explode(F.array(*items)).alias("_x")).select("_x.*")
+    differing = F.avg(F.when(~F.col("equal"), F.col("diff")))
+    return long.groupBy("feature").agg(F.count("*").alias("rows"), F.avg(F.col("equal").cast("double")).alias("equal_share"), F.avg("diff").alias("mean_abs_diff"), differing.alias("mean_abs_diff_where_different"))
 
 
 def recomputed(log: DataFrame, obs: DataFrame) -> DataFrame:

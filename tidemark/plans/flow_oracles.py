@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .oracles import EV, HUBS, LABELLED, MSGS, OBS, PAIRS, PLAN, PRED, SEGMENT, SPAN, area, ll, mins, ranks
+from ..operators.features import GROUPS, feature_columns
+from .oracles import BERLIN, EV, GRID, HUBS, LABELLED, MSGS, OBS, PAIRS, PLAN, PRED, SEGMENT, SPAN, area, li, ll, mins, ranks
 
 WIRE = "strftime({0} AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Berlin', '%y%m%d%H%M')"
 
@@ -20,6 +21,33 @@ parsed AS (
     event_type[1] || ':' || (props->>'$.k'), date_trunc('hour', ts) FROM events)"""
 PARSED = f"WITH {RAW} SELECT eva, source, stop_id, trip_key, event, tl_category, tl_number, line, pp, pt_us, ct_us, cs, ppth, wings, tra, event_msgs, epoch_us(seen) AS seen_us, 'Hub ' || eva AS station_name FROM parsed"
 
+CONNECTIONS = f"{PAIRS}, r AS (SELECT *, eva || '|' || sa || '|' || sb AS row, pta - INTERVAL 30 MINUTE AS t_cut, time_bucket(INTERVAL 5 MINUTE, pta - INTERVAL 30 MINUTE) AS gr FROM cand)"
+#: Every feature of a connection: state at several times before, grid, ways in, messages, clock.
+FEATURES = f"""{CONNECTIONS}, {GRID.removeprefix(PLAN + ", ")}, {MSGS},
+asks AS (SELECT row, side || ':' || what AS ask, CASE side WHEN 'a' THEN ka ELSE kb END AS key, CASE side WHEN 'a' THEN pta ELSE ptb END AS pt, CASE what WHEN 'mark' THEN date_trunc('minute', t_cut) ELSE t_cut - to_minutes(back) END AS at
+  FROM r, (VALUES ('a'), ('b')) x(side), (VALUES ('now', 0), ('mark', 0), ('15', 15), ('30', 30)) y(what, back)),
+st AS (SELECT q.row, q.ask, o.cs, coalesce(o.ct, q.pt) AS pred, {mins("coalesce(o.ct, q.pt)", "q.pt")} AS d, {mins("q.at", "date_trunc('minute', o.obs)")} AS age FROM asks q ASOF LEFT JOIN obs o ON q.key = o.key AND q.at >= o.obs),
+pr AS (SELECT row, max(d) FILTER (ask = 'a:now') AS da, max(d) FILTER (ask = 'b:now') AS db, {mins("max(pred) FILTER (ask = 'b:now')", "max(pred) FILTER (ask = 'a:now')")} AS slack_now, coalesce(max(cs) FILTER (ask = 'b:now') = 'c', false) AS known,
+  max(age) FILTER (ask = 'a:mark') AS age_a, max(age) FILTER (ask = 'b:mark') AS age_b, max(d) FILTER (ask = 'a:15') AS a15, max(d) FILTER (ask = 'a:30') AS a30, max(d) FILTER (ask = 'b:15') AS b15 FROM st GROUP BY row),
+feed AS (SELECT 'S' || r_regionkey AS name, r_regionkey::VARCHAR AS eva FROM region),
+ways AS (SELECT r.row, r.gr, r.la, side, {li("p.path")} AS way FROM r, (VALUES ('a'), ('b')) x(side) JOIN plan p ON p.event = 'ar' AND p.eva = r.eva AND p.stop_id = CASE side WHEN 'a' THEN r.sa ELSE r.sb END AND p.first_seen <= r.t_cut),
+via AS (SELECT w.row, w.side, w.gr, w.la, f.eva FROM (SELECT *, unnest(way) AS name FROM ways) w JOIN feed f USING (name)),
+cor AS (SELECT v.row, avg(h.mean_delay) FILTER (side = 'a') AS ca_, avg(l.line_delay) FILTER (side = 'a') AS cl_, avg(h.mean_delay) FILTER (side = 'b') AS cb_
+  FROM via v LEFT JOIN hub h ON h.eva = v.eva AND h.g = v.gr LEFT JOIN line l ON l.eva = v.eva AND l.g = v.gr AND l.line = v.la GROUP BY v.row),
+ma AS (SELECT r.row, count(*) FILTER (f.type = 'c') AS d, count(*) FILTER (f.type = 'e') AS q FROM r JOIN firsts f ON f.key = r.ka AND f.obs <= r.t_cut GROUP BY r.row),
+mb AS (SELECT r.row, count(*) FILTER (f.type = 'c') AS d FROM r JOIN firsts f ON f.key = r.kb AND f.obs <= r.t_cut GROUP BY r.row),
+sm AS (SELECT event_id || '-1' AS stop_id, event_id, ts - to_minutes(event_id % 90) AS obs FROM events),
+clock AS (SELECT *, (hour(loc) + minute(loc) / 60.0::DOUBLE) * (2 * pi() / 24) AS angle FROM (SELECT *, {BERLIN.format("pta")} AS loc FROM r)),
+fx AS (SELECT c.row, round(pr.slack_now, 4) + 0.0 AS db_slack_min, round(pr.da, 4) + 0.0 AS db_delay_a_min, round(pr.db, 4) + 0.0 AS db_delay_b_min, pr.known AS b_cancel_known,
+    round(h.mean_delay, 4) + 0.0 AS hub_mean_delay, round(h.share_late, 4) + 0.0 AS hub_share_late5, round(h.share_cancel, 4) + 0.0 AS hub_share_cancel, round(l.line_delay, 4) + 0.0 AS line_recent_delay_a, round(age_a, 4) + 0.0 AS age_a_min, round(age_b, 4) + 0.0 AS age_b_min,
+    round(c.slack, 4) + 0.0 AS planned_slack_min, round(sin(angle), 4) + 0.0 AS hour_sin, round(cos(angle), 4) + 0.0 AS hour_cos, CASE WHEN loc::DATE = DATE '2024-01-01' OR dayofweek(loc) = 0 THEN 'sunday_holiday' WHEN dayofweek(loc) = 6 THEN 'saturday' ELSE 'weekday' END AS day_type,
+    len(c.pa) AS n_stations_before_a, (c.na::BIGINT % 4 = c.nb::BIGINT % 4)::INT AS same_platform, {SEGMENT.format("c.ca")} AS segment_a, {SEGMENT.format("c.cb")} AS segment_b, c.hub,
+    round(da - a15, 4) + 0.0 AS trend_a_15, round(da - a30, 4) + 0.0 AS trend_a_30, round(db - b15, 4) + 0.0 AS trend_b_15, coalesce(ma.d, 0) AS n_delay_codes_a, coalesce(ma.q, 0) AS n_quality_a, coalesce(mb.d, 0) AS n_delay_codes_b,
+    coalesce(x.event_id % 4 = 0 AND x.obs <= c.t_cut, false)::INT AS h_notice_a, coalesce(y.event_id % 4 = 0 AND y.obs <= c.t_cut, false)::INT AS h_notice_b, coalesce(x.event_id % 6 = 0 AND x.obs <= c.t_cut, false)::INT AS c_notice_a,
+    round(ca_, 4) + 0.0 AS corridor_delay_a, round(cl_, 4) + 0.0 AS corridor_line_delay_a, round(cb_, 4) + 0.0 AS corridor_delay_b
+  FROM clock c JOIN pr USING (row) LEFT JOIN hub h ON h.eva = c.eva AND h.g = c.gr LEFT JOIN line l ON l.eva = c.eva AND l.g = c.gr AND l.line = c.la LEFT JOIN cor USING (row) LEFT JOIN ma USING (row) LEFT JOIN mb USING (row)
+    LEFT JOIN sm x ON x.stop_id = c.sa LEFT JOIN sm y ON y.stop_id = c.sb)"""
+
 #: The draws of the bootstrap: day numbers from MD5(seed:draw:i) for each group of rows, and every day once in draw -1.
 BOOT = """days AS (SELECT {g}, day, count(*) AS n, sum(lm) AS lm, sum(lb) AS lb, sum(bm) AS bm, sum(bb) AS bb, row_number() OVER (PARTITION BY {g} ORDER BY day) - 1 AS d FROM loss GROUP BY {g}, day),
 sizes AS (SELECT {g}, count(*) AS k FROM days GROUP BY {g}),
@@ -166,6 +194,10 @@ SELECT eva, count(*) AS rows, round(avg(abs(feeder - act)), 3) AS feeder_mae, ro
     "poll_within_tolerance": f"""WITH {EV}, q AS (SELECT event_id, eva, ts - INTERVAL 30 MINUTE AS t FROM ev WHERE event_type = 'purchase'), p AS (SELECT eva, ts, max(value) AS value FROM ev WHERE event_type = 'click' GROUP BY ALL),
 j AS (SELECT event_id, t, p.ts AS poll, p.value FROM q ASOF LEFT JOIN p ON q.eva = p.eva AND q.t >= p.ts)
 SELECT event_id, CASE WHEN poll >= t - INTERVAL 15 MINUTE THEN epoch_us(poll) END AS poll_us, CASE WHEN poll >= t - INTERVAL 15 MINUTE THEN round(value, 6) END AS value FROM j""",
+    "connection_features": f"WITH {FEATURES} SELECT * FROM fx",
+    "skew_of_all_features": f"""WITH {CONNECTIONS}, x AS (SELECT na::BIGINT % 9 <> 0 AS slack_same, na::BIGINT % 7 <> 0 AS segment_same FROM r), n AS (SELECT count(*) AS rows, avg(slack_same::INT) AS s, avg(segment_same::INT) AS g, avg((slack_same AND segment_same)::INT) AS b FROM x),
+f AS (SELECT unnest([{", ".join(repr(c) for c in (*feature_columns(list(GROUPS)), "<row>"))}]) AS feature)
+SELECT feature, rows, round(CASE feature WHEN 'planned_slack_min' THEN s WHEN 'segment_a' THEN g WHEN '<row>' THEN b ELSE 1 END, 6) AS equal_share, CASE WHEN feature = 'planned_slack_min' AND s < 1 THEN 2.0 END AS mean_abs_diff_where_different FROM f, n WHERE rows > 0""",
     "message_flags": f"""WITH {PLAN}, rows_ AS (SELECT stop_id, key, pt - INTERVAL 30 MINUTE AS t_cut FROM plan WHERE event = 'ar'), {MSGS} SELECT r.stop_id, count(*) FILTER (f.type = 'c') AS n_delay, count(*) FILTER (f.type = 'e') AS n_quality, count(*) FILTER (f.type = 'v') AS n_other,
   count(*) FILTER (f.type = 'h') > 0 AS h_notice, count(*) FILTER (f.type = 's') > 0 AS s_notice, count(*) FILTER (f.type = 'p') > 0 AS p_notice FROM rows_ r LEFT JOIN firsts f ON f.key = r.key AND f.obs <= r.t_cut GROUP BY r.stop_id""",
     "seeded_examples": "SELECT s_suppkey, s_name FROM supplier ORDER BY md5('3:' || s_suppkey), s_suppkey LIMIT 10",
