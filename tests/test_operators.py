@@ -168,6 +168,26 @@ def test_exclusions_in_order(spark):
     assert len(every) == len(set(every))
 
 
+def test_every_column_has_one_use(spark):
+    c, obs, polls = one_day(spark)
+    rows = labels.at_cutoffs(labels.with_labels(c, obs), obs, polls)
+    rows = rows.select("*", *[F.lit(None).alias(x) for x in labels.usage_columns(*labels.USAGE) if x not in rows.columns and x != "service_day"])
+    table = labels.training_table(rows)
+    assert table.columns == labels.usage_columns(*labels.USAGE) and str(table.first()["service_day"]) == "2026-09-24"
+    safe = labels.feature_safe(table).columns
+    assert "db_slack_min" in safe and not set(safe) & {*labels.USAGE["label"], *labels.USAGE["quality"]}
+    for wrong in (rows.withColumn("new", F.lit(1)), rows.drop("cat_a")):
+        with pytest.raises(ValueError, match="uses without"):
+            labels.training_table(wrong)
+
+
+def test_model_within_a_percent_is_the_simpler(spark):
+    losses = lambda *x: spark.createDataFrame(list(x), "model string, log_loss double")
+    assert models.select_model(losses(("lr", 0.3029), ("gbt", 0.3)), ["lr", "gbt"]) == "lr"
+    assert models.select_model(losses(("lr", 0.3031), ("gbt", 0.3)), ["lr", "gbt"]) == "gbt"
+    assert models.select_model(losses(("rule", 0.1), ("lr", None), ("gbt", 0.3)), ["lr", "gbt"]) == "gbt"
+
+
 def test_grid_windows(spark):
     p = plan_rows(spark, [dict(stop_id=f"s{m}", event="ar", pt=at(m), line="L", trip=f"s{m}") for m in (0, 30, 31, 60)] + [dict(stop_id="late", event="ar", pt=at(30), line="L", trip="x", first_seen=at(29))]).withColumn("key", F.col("trip"))
     obs = spark.createDataFrame([("s0", at(-5), at(10), None), ("s30", at(20), None, "c"), ("s31", at(55), at(41), None)], OBS)
@@ -268,7 +288,7 @@ def test_learners_find_the_signal(spark):
     for name in makers:
         assert metrics.scores(out, [], "y", name).first()["auc"] > 0.75
     table = metrics.metric_table(out.withColumn("c", F.lit(1)), "y", ["lr", "gbt"], "c", [])
-    assert models.select_model(table, ["lr", "gbt"]) in ("lr", "gbt")
+    assert models.select_model(table, ["lr", "gbt"]) == "lr"
     solo = {r["feature"]: r["auc"] for r in models.univariate(df, "y", ["x", "noise"]).collect()}
     assert solo["x"] > solo["noise"] >= 0.5
     for method in ("platt", "isotonic", "none"):

@@ -52,3 +52,13 @@ def test_without_sql(spark, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_years_left_out(spark):
+    if not os.path.isdir(LARGER):
+        pytest.skip("no test tables")
+    got = {r["inputs"]: r for r in __spark_entry__.queries()["dropped_groups"](spark, LARGER).collect()}
+    lines = connected(LARGER).sql("SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey").fetchall()[0][0]
+    assert set(got) == {"all", "without score", "without base", "without place"}
+    assert {r["n"] for r in got.values()} == {lines}  # every year is predicted once
+    assert all(0 < r["log_loss"] < 0.7 and 0.4 < r["auc"] < 0.6 for r in got.values())  # labels are random here

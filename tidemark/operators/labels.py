@@ -7,21 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.times import minutes, shifted
+from ..functions.times import minutes, service_day, shifted
 from .asof import asof_join, last_state, last_time
 from .metrics import auc
 
 #: The first reason that holds, in this order, is a row's exclusion reason.
 EXCLUSIONS = ("not_known_at_cutoff", "collector_gap", "a_cancelled_at_cutoff", "unobserved", "stale_label", "dst_ambiguous")
-#: Use of each column of the training table; every column has one.
+#: The five classes of columns of the training table; every column is in one. Inputs come from `planned` and `at_cutoff` alone.
 USAGE = {
     "key": ("service_day", "cutoff_min", "t_cut", "eva", "hub", "stop_id_a", "stop_id_b", "trip_a", "trip_b", "key_a", "key_b"),
-    "feature": ("planned_slack_min", "db_delay_a_min", "db_delay_b_min", "db_slack_min", "b_cancel_known", "segment_a", "segment_b", "n_stations_before_a", "n_stations_after_b", "pt_a", "pt_b"),
-    "description": ("cat_a", "cat_b", "num_a", "num_b", "line_a", "line_b", "pp_a", "pp_b", "origin_a", "prev_station_a", "next_station_b", "destination_b", "path_a", "path_b"),
-    "label": ("label_fail", "fail_reason", "delay_a_final_min", "delay_b_final_min", "real_slack_min", "a_obs_final", "a_ct_final", "a_cs_final", "b_obs_final", "b_ct_final", "b_cs_final", "observed", "stale"),
-    "state": ("first_seen_a", "first_seen_b", "a_ct_cut", "a_cs_cut", "a_obs_cut", "b_ct_cut", "b_cs_cut", "b_obs_cut", "collector_age_min"),
-    "audit": ("exclusion_reason", "eligible"),
+    "planned": ("pt_a", "pt_b", "planned_slack_min", "cat_a", "cat_b", "num_a", "num_b", "line_a", "line_b", "segment_a", "segment_b", "pp_a", "pp_b", "origin_a", "prev_station_a", "n_stations_before_a", "next_station_b", "destination_b", "n_stations_after_b", "path_a", "path_b"),
+    "at_cutoff": ("a_ct_cut", "a_cs_cut", "a_obs_cut", "b_ct_cut", "b_cs_cut", "b_obs_cut", "db_delay_a_min", "db_delay_b_min", "db_slack_min", "b_cancel_known", "collector_age_min"),
+    "label": ("a_ct_final", "a_cs_final", "a_obs_final", "b_ct_final", "b_cs_final", "b_obs_final", "delay_a_final_min", "delay_b_final_min", "real_slack_min", "label_fail", "fail_reason", "observed", "stale"),
+    "quality": ("first_seen_a", "first_seen_b", "exclusion_reason", "eligible"),
 }
+FEATURE_SAFE = ("planned", "at_cutoff")
 
 
 def first_reason(conditions: dict[str, Column]) -> Column:
@@ -129,3 +129,17 @@ def usage_columns(*kinds: str) -> list[str]:
     if unknown:
         raise ValueError(f"no such use of columns: {sorted(unknown)}")
     return [c for k in kinds for c in USAGE[k]]
+
+
+def training_table(rows: DataFrame) -> DataFrame:
+    """at_cutoffs' rows with their service day, in the order of the classes; a column in no class, or one that lacks, is an error."""
+    out = rows.withColumn("service_day", service_day(F.col("pt_a")))
+    wanted = usage_columns(*USAGE)
+    if wrong := set(out.columns) ^ set(wanted):
+        raise ValueError(f"columns without a use, or uses without a column: {sorted(wrong)}")
+    return out.select(*wanted)
+
+
+def feature_safe(table: DataFrame) -> DataFrame:
+    """Keys and what was known by the cutoff: nothing else may be an input."""
+    return table.select(*usage_columns("key", *FEATURE_SAFE))

@@ -194,6 +194,11 @@ SELECT eva, count(*) AS rows, round(avg(abs(feeder - act)), 3) AS feeder_mae, ro
     "poll_within_tolerance": f"""WITH {EV}, q AS (SELECT event_id, eva, ts - INTERVAL 30 MINUTE AS t FROM ev WHERE event_type = 'purchase'), p AS (SELECT eva, ts, max(value) AS value FROM ev WHERE event_type = 'click' GROUP BY ALL),
 j AS (SELECT event_id, t, p.ts AS poll, p.value FROM q ASOF LEFT JOIN p ON q.eva = p.eva AND q.t >= p.ts)
 SELECT event_id, CASE WHEN poll >= t - INTERVAL 15 MINUTE THEN epoch_us(poll) END AS poll_us, CASE WHEN poll >= t - INTERVAL 15 MINUTE THEN round(value, 6) END AS value FROM j""",
+    "training_days": f"""WITH {LABELLED} SELECT strftime(({BERLIN.format("pta")} - INTERVAL 4 HOUR)::DATE, '%Y-%m-%d') AS service_day, cutoff_min, count(*) AS rows, count(*) FILTER (reason IS NULL) AS eligible, count(*) FILTER (fail) AS failed, 32 AS safe_columns FROM ds GROUP BY ALL""",
+    "single_inputs": f"""WITH {PRED}, x AS (SELECT label, unnest(['p_model', 'p_base', 'flag', 'turned', 'with_nulls']) AS feature, unnest([p_model, p_base, flag::DOUBLE, -p_base, CASE WHEN l_linenumber <> 3 THEN p_model END]) AS s FROM pred),
+r AS (SELECT *, {ranks('s', 'feature')} AS r FROM x WHERE s IS NOT NULL), a AS (SELECT feature, {area('r', 'label')} AS a FROM r GROUP BY feature) SELECT feature, round(greatest(a, 1 - a), 6) AS auc FROM a""",
+    "chosen_model": f"""WITH {PRED}, l AS (SELECT unnest(['p_base', 'p_mean', 'p_model']) AS model, unnest([avg({ll('p_base')}), avg({ll('(p_base + p_model) / 2')}), avg({ll('p_model')})]) AS loss FROM pred)
+SELECT model, round(loss, 6) AS log_loss, model = (SELECT min(model) FROM l WHERE loss <= (SELECT min(loss) FROM l) * 1.01) AS chosen FROM l""",
     "connection_features": f"WITH {FEATURES} SELECT * FROM fx",
     "skew_of_all_features": f"""WITH {CONNECTIONS}, x AS (SELECT na::BIGINT % 9 <> 0 AS slack_same, na::BIGINT % 7 <> 0 AS segment_same FROM r), n AS (SELECT count(*) AS rows, avg(slack_same::INT) AS s, avg(segment_same::INT) AS g, avg((slack_same AND segment_same)::INT) AS b FROM x),
 f AS (SELECT unnest([{", ".join(repr(c) for c in (*feature_columns(list(GROUPS)), "<row>"))}]) AS feature)

@@ -429,6 +429,45 @@ def chosen_groups(spark, sf):
     return judged.select("subject", "kind", r6("gain").alias("gain"), "passes", chosen, F.lit(choice.together).cast("double").alias("together"), F.lit(choice.best_alone).cast("double").alias("best_alone"))
 
 
+@query
+def training_days(spark, sf):
+    """The training table by service day and cutoff, each column in its class."""
+    t = labels.training_table(_dataset(spark, sf))
+    out = t.groupBy(F.date_format("service_day", "yyyy-MM-dd").alias("service_day"), "cutoff_min")
+    safe = len(labels.feature_safe(t).columns) - len(labels.USAGE["key"])
+    return out.agg(F.count("*").alias("rows"), F.count_if("eligible").alias("eligible"), F.count_if("label_fail").alias("failed"), F.lit(safe).alias("safe_columns"))
+
+
+@query
+def single_inputs(spark, sf):
+    """How well each number alone orders the label, in either direction."""
+    p = predictions(spark, sf).select("label", "p_model", "p_base", F.col("flag").cast("double").alias("flag"), (-F.col("p_base")).alias("turned"), F.when(F.col("l_linenumber") != 3, F.col("p_model")).alias("with_nulls"))
+    return models.univariate(p, "label", ["p_model", "p_base", "flag", "turned", "with_nulls"]).select("feature", r6("auc").alias("auc"))
+
+
+@query
+def chosen_model(spark, sf):
+    """The simplest of three models whose log loss is within 1 % of the best."""
+    p = save(predictions(spark, sf).select("label", "p_base", "p_model", ((F.col("p_base") + F.col("p_model")) / 2).alias("p_mean")))
+    order = ("p_base", "p_mean", "p_model")
+    long = p.select("label", F.explode(F.array(*[F.struct(F.lit(c).alias("model"), F.col(c).alias("p")) for c in order])).alias("_x")).select("label", "_x.*")
+    losses = save(metrics.scores(long, ["model"], "label", "p").select("model", "log_loss"))
+    return losses.select("model", r6("log_loss").alias("log_loss"), (F.col("model") == models.select_model(losses, order)).alias("chosen"))
+
+
+@query
+def dropped_groups(spark, sf):
+    """Each year left out once: log loss with all groups of columns and without each of them."""
+    p = predictions(spark, sf).withColumn("year", F.floor((F.col("day") - 1) / 12).cast("int"))
+    rows = save(p.select("year", "label", "p_model", "p_base", "priority"))
+    groups = {"score": ["p_model"], "base": ["p_base"], "place": ["priority"]}
+    make = lambda cs: models.Learner([c for c in cs if c != "priority"], [c for c in cs if c == "priority"])
+    out = save(models.drop_one_group(rows, "label", "year", folds.leave_one_out(rows, "year"), groups, make))
+    names = ["all", *[f"without {g}" for g in groups]]
+    long = out.select("label", F.explode(F.array(*[F.struct(F.lit(c).alias("inputs"), F.col(c).alias("p")) for c in names])).alias("_x")).select("label", "_x.*")
+    return metrics.scores(long, ["inputs"], "label", "p").select("inputs", "n", r6("log_loss").alias("log_loss"), r6("auc").alias("auc"))
+
+
 @query
 def calibrated_baselines(spark, sf):
     """The timetable model, calibrated over day blocks, one per cutoff, on the later half of the days."""
