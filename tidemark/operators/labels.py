@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import minutes, service_day, shifted
+from ..sources.scratch import save
 from .asof import asof_join, last_state, last_time
 from .metrics import auc
 
@@ -36,9 +37,10 @@ def first_reason(conditions: dict[str, Column]) -> Column:
 def with_labels(pairs: DataFrame, obs: DataFrame, min_transfer: float = 4.0) -> DataFrame:
     """Adds final states and the label: cancelled on either side, or too little real time to change.
 
-    pairs: key_a, key_b, pt_a, pt_b. obs: key, obs, ct, cs. Missing times make no delay failure.
+    pairs: key_a, key_b, pt_a, pt_b. obs: key, obs, ct, cs. Missing times make no delay failure. The final states are
+    written first, so that Spark knows their size and need not shuffle the pairs when they are few.
     """
-    final = last_state(obs, ["key"], "obs", ["ct", "cs"])
+    final = save(last_state(obs, ["key"], "obs", ["ct", "cs"]))
     out = pairs
     for side in ("a", "b"):
         renamed = final.select(F.col("key").alias("_k"), *[F.col(c).alias(f"{side}_{c}_final") for c in ("obs", "ct", "cs")])
@@ -63,19 +65,25 @@ def with_labels(pairs: DataFrame, obs: DataFrame, min_transfer: float = 4.0) ->
 def at_cutoffs(pairs: DataFrame, obs: DataFrame, polls: DataFrame, cutoffs: Sequence[int] = (60, 30, 10), max_gap: float = 45.0, ambiguous: Column | None = None) -> DataFrame:
     """One row per pair and cutoff with what was known then, and the first reason to exclude it.
 
-    All cutoffs and both sides of all pairs go through one as-of pass, which carries only their names, keys and
-    times. pairs: labelled, with eva, stop_id_a/b (which name a pair) and first_seen_a/b. polls: eva, t.
+    What an arrival and its hub's polls tell is found once for each arrival, not for each of its pairs; of departures, the
+    as-of pass carries only names, keys and times. Pairs travel once for either, and become a row per cutoff
+    last. pairs: labelled, with eva, stop_id_a/b (which name a pair) and first_seen_a/b, read twice. polls: eva, t.
     """
-    cut = F.explode(F.array(*[F.lit(c) for c in cutoffs])).alias("cutoff_min")
-    rows = pairs.select("*", cut).withColumn("t_cut", shifted(F.col("pt_a"), -F.col("cutoff_min")))
-    named = ["eva", "stop_id_a", "stop_id_b", "cutoff_min"]
-    sides = F.explode(F.array(*[F.struct(F.lit(x).alias("side"), F.col(f"key_{x}").alias("_key")) for x in "ab"])).alias("_x")
-    asked = rows.select(*named, "t_cut", sides).select(*named, "t_cut", "_x.*")
-    known = asof_join(asked, obs.select(F.col("key").alias("_key"), "obs", "ct", "cs"), ["_key"], "t_cut", "obs", ["ct", "cs"], tie=["ct", "cs"])
-    at = lambda c, x: F.max(F.when(F.col("side") == x, F.col(c))).alias(f"{x}_{c}_cut")
-    states = known.groupBy(*named).agg(*[at(c, x) for x in "ab" for c in ("obs", "ct", "cs")])
-    rows = rows.join(states, named)
-    rows = last_time(rows, polls, "eva", "t_cut", "t", "_poll")
+    facts = obs.select(F.col("key").alias("_key"), "obs", "ct", "cs")
+    cuts = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(c).alias("cutoff_min")) for i, c in enumerate(cutoffs)])).alias("_c")
+    ask = lambda df, *names: df.select(*names, cuts).select(*names, "_c.*").withColumn("t_cut", shifted(F.col("pt_a"), -F.col("cutoff_min")))
+    know = lambda df: asof_join(df, facts, ["_key"], "t_cut", "obs", ["ct", "cs"], tie=["ct", "cs"])
+    wide = lambda of: [F.max(F.when(F.col("_i") == i, F.struct(*of))).alias(f"_{of[-1]}{i}") for i in range(len(cutoffs))]
+    arrivals = ask(pairs.select("eva", "stop_id_a", F.col("key_a").alias("_key"), "pt_a").distinct(), "eva", "stop_id_a", "_key", "pt_a")
+    polled = last_time(know(arrivals), polls, "eva", "t_cut", "t", "poll").withColumn("a", F.lit("a"))
+    polled = polled.groupBy(*[F.col(c).alias(f"_{c}") for c in ("eva", "stop_id_a", "pt_a")], F.col("_key").alias("_key_a")).agg(*wide(["t_cut", "obs", "ct", "cs", "poll", "a"]))
+    named = ["eva", "stop_id_a", "stop_id_b"]
+    left = know(ask(pairs.select(*named, F.col("key_b").alias("_key"), "pt_a"), *named, "_key", "pt_a")).withColumn("b", F.lit("b")).groupBy(*named).agg(*wide(["obs", "ct", "cs", "b"]))
+    on = (F.col("eva") == F.col("_eva")) & (F.col("stop_id_a") == F.col("_stop_id_a")) & F.col("key_a").eqNullSafe(F.col("_key_a")) & F.col("pt_a").eqNullSafe(F.col("_pt_a"))
+    met = pairs.join(left, named).join(polled, on)
+    each = [F.struct(F.lit(c).alias("cutoff_min"), F.col(f"_a{i}").alias("a"), F.col(f"_b{i}").alias("b")) for i, c in enumerate(cutoffs)]
+    states = [F.col(f"_x.{x}.{c}").alias(f"{x}_{c}_cut") for x in "ab" for c in ("obs", "ct", "cs")]
+    rows = met.select(*pairs.columns, F.explode(F.array(*each)).alias("_x")).select(*pairs.columns, "_x.cutoff_min", "_x.a.t_cut", *states, F.col("_x.a.poll").alias("_poll"))
     a, b = F.coalesce("a_ct_cut", "pt_a"), F.coalesce("b_ct_cut", "pt_b")
     rows = rows.select(
         "*",

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions.times import ZONE, minutes, shifted
 from ..functions.trains import path, segment
-from ..operators import bundle, folds, grid, labels, metrics, models, monitor, offline, pairs, profile, quantiles, selection, serving, sketches, snapshots
+from ..operators import bundle, folds, grid, labels, metrics, models, monitor, offline, profile, quantiles, selection, serving, sketches, snapshots
 from ..sources import raw
 from ..sources.scratch import save, scratch
 from ..streaming import live, scoring, stored
 from .bindings import CUTOFFS, events, hubs, observations, plan, predictions, span, table
-from .queries import QUERIES, _dataset, _grid, _judged, _messages, micros, query, r6
+from .queries import QUERIES, _candidates, _dataset, _grid, _judged, _messages, micros, query, r6
 
 __all__ = ["QUERIES"]
 
@@ -294,10 +294,8 @@ def one_connection(spark, sf):
 
 def _fixed_scores(spark, sf) -> DataFrame:
     """Pairs that pass the rules and arrive after 60 % of the time, with a risk that is a function of their slack."""
-    from ..operators.pairs import candidates
-
     now = span(spark, sf, 0.6)
-    c = candidates(_judged(spark, sf), hubs(spark, sf)).where(F.col("pt_a") > now)
+    c = _candidates(spark, sf).where(F.col("pt_a") > now)
     status = F.when(F.col("num_a").cast("long") % 11 == 0, "collector_gap").otherwise("ok")
     return save(c.withColumn("scored_at", now).withColumn("status", status).withColumn("p_model", F.when(F.col("status") == "ok", 1 / (1 + F.exp((F.col("planned_slack_min") - 8) / 4)))))
 
@@ -649,7 +647,7 @@ def all_feature_groups(spark, sf):
 
 def _connections(spark, sf) -> DataFrame:
     """All candidates, half an hour before they arrive."""
-    c = pairs.candidates(_judged(spark, sf), hubs(spark, sf)).withColumn("key_a", F.col("trip_a").cast("long")).withColumn("key_b", F.col("trip_b").cast("long"))
+    c = _candidates(spark, sf).withColumn("key_a", F.col("trip_a").cast("long")).withColumn("key_b", F.col("trip_b").cast("long"))
     return save(c.withColumn("row", F.concat_ws("|", "eva", "stop_id_a", "stop_id_b")).withColumn("t_cut", shifted(F.col("pt_a"), -30)))
 
 

@@ -97,6 +97,10 @@ def _judged(spark, sf):
     return save(pairs.judged_pairs(plan(spark, sf), hubs(spark, sf), min_slack=4, max_slack=60))
 
 
+def _candidates(spark, sf):
+    return pairs.connections(plan(spark, sf), hubs(spark, sf), min_slack=4, max_slack=60)
+
+
 @query
 def interval_pairs(spark, sf):
     p = plan(spark, sf)
@@ -113,12 +117,12 @@ def candidate_funnel(spark, sf):
 
 @query
 def transfer_candidates(spark, sf):
-    c = pairs.candidates(_judged(spark, sf), hubs(spark, sf))
+    c = _candidates(spark, sf)
     return c.select("hub", "stop_id_a", "stop_id_b", r6("planned_slack_min").alias("planned_slack_min"), "segment_a", "segment_b", "origin_a", "prev_station_a", F.col("n_stations_before_a").cast("long").alias("n_before"), "next_station_b", "destination_b", F.col("n_stations_after_b").cast("long").alias("n_after"))
 
 
 def _dataset(spark, sf):
-    c = pairs.candidates(_judged(spark, sf), hubs(spark, sf)).withColumn("key_a", F.col("trip_a").cast("long")).withColumn("key_b", F.col("trip_b").cast("long"))
+    c = save(_candidates(spark, sf)).withColumn("key_a", F.col("trip_a").cast("long")).withColumn("key_b", F.col("trip_b").cast("long"))
     obs = observations(spark, sf).select("key", "obs", "ct", "cs")
     polls = observations(spark, sf).select("eva", F.col("obs").alias("t"))
     return labels.at_cutoffs(labels.with_labels(c, obs), obs, polls, CUTOFFS, ambiguous=F.col("num_a").cast("long") % 23 == 0)
@@ -145,7 +149,7 @@ def dataset_exclusions(spark, sf):
 
 @query
 def label_sensitivity(spark, sf):
-    c = pairs.candidates(_judged(spark, sf), hubs(spark, sf)).withColumn("key_a", F.col("trip_a").cast("long")).withColumn("key_b", F.col("trip_b").cast("long"))
+    c = _candidates(spark, sf).withColumn("key_a", F.col("trip_a").cast("long")).withColumn("key_b", F.col("trip_b").cast("long"))
     rows = labels.with_labels(c, observations(spark, sf)).select("real_slack_min", F.explode(F.array(*[F.lit(m) for m in (3, 4, 5, 7)])).alias("min_transfer"))
     return rows.groupBy("min_transfer").agg(F.count("*").alias("pairs"), r6(F.avg(F.coalesce(F.col("real_slack_min") < F.col("min_transfer"), F.lit(False)).cast("int"))).alias("delay_fail"))
 
@@ -512,7 +516,7 @@ def period_pivot(spark, sf):
 
 @query
 def hub_connection_counts(spark, sf):
-    c = pairs.candidates(_judged(spark, sf), hubs(spark, sf)).groupBy("hub").agg(F.count("*").alias("n"))
+    c = _candidates(spark, sf).groupBy("hub").agg(F.count("*").alias("n"))
     return hubs(spark, sf).join(c, "hub", "left").select("hub", F.coalesce("n", F.lit(0)).alias("connections"))
 
 

@@ -12,7 +12,7 @@ from ..functions.times import minutes
 from ..operators.asof import asof_join
 from ..operators.bundle import Bundle
 from ..operators.models import score_batch
-from ..operators.pairs import candidates, judged_pairs
+from ..operators.pairs import connections
 from .live import carried_state, drop_old_snapshots, upcoming
 
 #: Of the hub's events, those planned at most so many minutes from now, and trains at least so many minutes late.
@@ -54,8 +54,8 @@ def score_now(plan: DataFrame, hubs: DataFrame, states: DataFrame, polls: DataFr
     polls: eva, last (the last poll of each hub). Statuses, in this order: a_cancelled, collector_gap, ok.
     """
     soon = lambda m: F.timestamp_micros(F.unix_micros(now) + F.lit(int(m * 60_000_000)))
-    judged = judged_pairs(plan.where(F.col("first_seen") <= now), hubs, soon(low_min), soon(high_min + 1), min_slack, max_slack)
-    pairs = upcoming(candidates(judged, hubs), now, low_min, high_min).withColumn("key_a", F.col("trip_a").cast("long")).withColumn("key_b", F.col("trip_b").cast("long"))
+    found = connections(plan.where(F.col("first_seen") <= now), hubs, soon(low_min), soon(high_min + 1), min_slack, max_slack)
+    pairs = upcoming(found, now, low_min, high_min).withColumn("key_a", F.col("trip_a").cast("long")).withColumn("key_b", F.col("trip_b").cast("long"))
     rows = live_features(pairs, plan, states, now).join(F.broadcast(polls.select(F.col("eva").alias("_p"), "last")), F.col("eva") == F.col("_p"), "left").drop("_p")
     silent = F.col("last").isNull() | (minutes(now, F.col("last")) > max_gap_min)
     rows = rows.withColumn("status", F.when(F.col("a_cancelled"), "a_cancelled").when(silent, "collector_gap").otherwise("ok")).drop("last")
