@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import pairs
+from tidemark.operators import pairs, profile
 
 PLAN = "eva string, stop_id string, event string, trip string, pt timestamp, pp string, line string, path string, wings string, tra string, cat string, num string, first_seen timestamp"
 T0 = dt.datetime(2026, 9, 24, 22, 30)
@@ -46,3 +46,11 @@ def test_connections_list_no_pairs(spark):
     assert 300 < df.count() < 300 * 7
     met = pairs.first_departures(*pairs._sides(p, hubs, None, None), 4, 60)
     assert met.count() <= 300 * 7
+
+
+def test_distinct_keys_are_counted_without_a_row_a_key(spark):
+    rows = spark.createDataFrame([(1, 1), (1, None), (None, None), (None, None)], "a int, b int")
+    out = profile.uniqueness(rows, {"a": ["a"], "a,b": ["a", "b"]})
+    assert sorted(map(tuple, out.collect())) == [("a", 4, 2), ("a,b", 4, 3)]
+    assert "Expand" not in out._jdf.queryExecution().toString()
+    assert [tuple(r) for r in profile.uniqueness(rows.limit(0), {"a": ["a"]}).collect()] == [("a", 0, 0)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,10 +19,15 @@ def null_shares(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def uniqueness(rows: DataFrame, keys: dict[str, Sequence[str]], approximate: bool = False) -> DataFrame:
-    """(key, rows, distinct): how far each candidate key identifies rows."""
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    wide = rows.agg(F.count("*").alias("_n"), *[count(F.struct(*c)).alias(f"_{i}") for i, c in enumerate(keys.values())])
-    return wide.select("_n", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"_{i}").alias("distinct")) for i, k in enumerate(keys)])).alias("x")).select("x.key", F.col("_n").alias("rows"), "x.distinct")
+    """(key, rows, distinct): how far each candidate key identifies rows.
+
+    Exact counts shuffle each key's own columns once; counted together, Spark would make a wide row a key of every row.
+    """
+    if approximate:
+        wide = rows.agg(F.count("*").alias("_n"), *[F.approx_count_distinct(F.struct(*c)).alias(f"_{i}") for i, c in enumerate(keys.values())])
+        return wide.select("_n", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"_{i}").alias("distinct")) for i, k in enumerate(keys)])).alias("x")).select("x.key", F.col("_n").alias("rows"), "x.distinct")
+    each = [rows.groupBy(*c).agg(F.count("*").alias("_n")).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count("*").alias("distinct")).select(F.lit(k).alias("key"), "rows", "distinct") for k, c in keys.items()]
+    return reduce(DataFrame.unionByName, each)
 
 
 def shares_of(rows: DataFrame, groups: Sequence[str], conditions: dict[str, Column]) -> DataFrame:
