@@ -54,3 +54,11 @@ def test_distinct_keys_are_counted_without_a_row_a_key(spark):
     assert sorted(map(tuple, out.collect())) == [("a", 4, 2), ("a,b", 4, 3)]
     assert "Expand" not in out._jdf.queryExecution().toString()
     assert [tuple(r) for r in profile.uniqueness(rows.limit(0), {"a": ["a"]}).collect()] == [("a", 0, 0)]
+
+
+def test_pairs_are_judged_once_a_rule(spark):
+    """The condition of a passed pair names each rule once; flags made out of flags doubled it with every rule."""
+    hubs = spark.createDataFrame([("1", "One")], "eva string, hub string")
+    p = random_plan(spark, 20, 1)
+    plan = pairs.judged_pairs(p, hubs).where("passed").select("slack_min")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("= Bus") <= 4

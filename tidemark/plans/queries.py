@@ -94,7 +94,8 @@ def realtime_coverage(spark, sf):
 
 
 def _judged(spark, sf):
-    return save(pairs.judged_pairs(plan(spark, sf), hubs(spark, sf), min_slack=4, max_slack=60))
+    """All pairs, for queries that count them in one pass: never written."""
+    return pairs.judged_pairs(plan(spark, sf), hubs(spark, sf), min_slack=4, max_slack=60)
 
 
 def _candidates(spark, sf):
@@ -111,8 +112,7 @@ def interval_pairs(spark, sf):
 
 @query
 def candidate_funnel(spark, sf):
-    judged = _judged(spark, sf)
-    return pairs.funnel(judged, pairs.first_reach(judged.where("passed")), hubs(spark, sf)).select("hub", "step", F.col("pairs").cast("long").alias("pairs"))
+    return pairs.funnel(_judged(spark, sf), _candidates(spark, sf), hubs(spark, sf)).select("hub", "step", F.col("pairs").cast("long").alias("pairs"))
 
 
 @query
