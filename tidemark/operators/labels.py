@@ -65,9 +65,10 @@ def with_labels(pairs: DataFrame, obs: DataFrame, min_transfer: float = 4.0) ->
 def at_cutoffs(pairs: DataFrame, obs: DataFrame, polls: DataFrame, cutoffs: Sequence[int] = (60, 30, 10), max_gap: float = 45.0, ambiguous: Column | None = None) -> DataFrame:
     """One row per pair and cutoff with what was known then, and the first reason to exclude it.
 
-    What an arrival and its hub's polls tell is found once for each arrival, not for each of its pairs; of departures, the
-    as-of pass carries only names, keys and times. Pairs travel once for either, and become a row per cutoff
-    last. pairs: labelled, with eva, stop_id_a/b (which name a pair) and first_seen_a/b, read twice. polls: eva, t.
+    What an arrival and its hub's polls tell is found once for each arrival, not for each of its pairs; what is known of a
+    departure once for each time of its arrivals, however many of them share it. Pairs travel once for either, and
+    become a row per cutoff last. pairs: labelled, with eva, stop_id_a (which name an arrival) and first_seen_a/b, read
+    three times. polls: eva, t.
     """
     facts = obs.select(F.col("key").alias("_key"), "obs", "ct", "cs")
     cuts = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(c).alias("cutoff_min")) for i, c in enumerate(cutoffs)])).alias("_c")
@@ -77,10 +78,11 @@ def at_cutoffs(pairs: DataFrame, obs: DataFrame, polls: DataFrame, cutoffs: Sequ
     arrivals = ask(pairs.select("eva", "stop_id_a", F.col("key_a").alias("_key"), "pt_a").distinct(), "eva", "stop_id_a", "_key", "pt_a")
     polled = last_time(know(arrivals), polls, "eva", "t_cut", "t", "poll").withColumn("a", F.lit("a"))
     polled = polled.groupBy(*[F.col(c).alias(f"_{c}") for c in ("eva", "stop_id_a", "pt_a")], F.col("_key").alias("_key_a")).agg(*wide(["t_cut", "obs", "ct", "cs", "poll", "a"]))
-    named = ["eva", "stop_id_a", "stop_id_b"]
-    left = know(ask(pairs.select(*named, F.col("key_b").alias("_key"), "pt_a"), *named, "_key", "pt_a")).withColumn("b", F.lit("b")).groupBy(*named).agg(*wide(["obs", "ct", "cs", "b"]))
+    departing = know(ask(pairs.select(F.col("key_b").alias("_key"), "pt_a").distinct(), "_key", "pt_a")).withColumn("b", F.lit("b"))
+    left = departing.groupBy(F.col("_key").alias("_key_b"), F.col("pt_a").alias("_pt_b")).agg(*wide(["obs", "ct", "cs", "b"]))
+    same = F.col("key_b").eqNullSafe(F.col("_key_b")) & F.col("pt_a").eqNullSafe(F.col("_pt_b"))
     on = (F.col("eva") == F.col("_eva")) & (F.col("stop_id_a") == F.col("_stop_id_a")) & F.col("key_a").eqNullSafe(F.col("_key_a")) & F.col("pt_a").eqNullSafe(F.col("_pt_a"))
-    met = pairs.join(left, named).join(polled, on)
+    met = pairs.join(left, same).join(polled, on)
     each = [F.struct(F.lit(c).alias("cutoff_min"), F.col(f"_a{i}").alias("a"), F.col(f"_b{i}").alias("b")) for i, c in enumerate(cutoffs)]
     states = [F.col(f"_x.{x}.{c}").alias(f"{x}_{c}_cut") for x in "ab" for c in ("obs", "ct", "cs")]
     rows = met.select(*pairs.columns, F.explode(F.array(*each)).alias("_x")).select(*pairs.columns, "_x.cutoff_min", "_x.a.t_cut", *states, F.col("_x.a.poll").alias("_poll"))
@@ -113,7 +115,8 @@ def at_cutoffs(pairs: DataFrame, obs: DataFrame, polls: DataFrame, cutoffs: Sequ
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """Per cutoff: rows, eligible rows, failures in percent, AUC of the planned and of the predicted slack."""
+    """Per cutoff: rows, eligible rows, failures in percent, AUC of the planned and of the predicted slack; the columns that this takes are written once."""
+    rows = save(rows.select("cutoff_min", "eligible", "label_fail", "planned_slack_min", "db_slack_min", "b_cancel_known"))
     counts = rows.groupBy("cutoff_min").agg(F.count("*").alias("rows"), F.count_if("eligible").alias("eligible"), F.round(100 * F.avg(F.when(F.col("eligible"), F.col("label_fail").cast("int"))), 4).alias("fail_pct"))
     known = F.when(F.col("b_cancel_known"), F.lit(1e9)).otherwise(-F.col("db_slack_min"))
     scored = rows.where("eligible").select("cutoff_min", "label_fail", (-F.col("planned_slack_min")).alias("planned"), known.alias("predicted"))
