@@ -367,3 +367,38 @@ def test_asof_in_parts_equals_asof(spark, seed):
         got = asof.asof_join_in_parts(asked, facts, ["k"], "t", "at", ["v", "w"], tie)
         assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert asof.asof_join_in_parts(asked, facts.where("false"), ["k"], "t", "at", ["v"], ["v"]).where("at IS NULL").count() == 150
+
+
+def test_repeated_rows_are_fitted_once(spark, monkeypatch):
+    """Rows that repeat others count by their weight: one fit over the different rows, the same model as over all."""
+    from pyspark.ml.classification import LogisticRegression
+
+    from tidemark.operators import models
+
+    sizes, fit = [], LogisticRegression._fit
+
+    def spied(self, data):
+        sizes.append(data.count())
+        return fit(self, data)
+
+    monkeypatch.setattr(LogisticRegression, "_fit", spied)
+    kinds = [(float(i % 7), None if i % 5 == 0 else float(i % 3), "abc"[i % 3], int((i * 7919) % 11 < i % 7), 1.0) for i in range(105)]
+    rows = spark.createDataFrame(kinds, "x double, y double, s string, label int, always double")
+    many = rows.crossJoin(spark.range(40)).drop("id")
+    inputs = (["x", "y", "always"], ["s"])
+    b = models.Learner(*inputs).fit(many, "label")
+    different = rows.distinct().count()
+    assert sizes == [different] and different < 105 * 40
+    got = {tuple(r)[:4]: r["p"] for r in b.predict(rows, "p").select("x", "y", "s", "label", "p").collect()}
+    once = models.Learner(*inputs)
+    once.bounds, n = b.bounds, 105 * 40
+    data = once._prepared(many).withColumn("_y", F.col("label").cast("double"))
+    plain = b.fitted.stages
+    for s in plain[:-2]:
+        data = s.transform(data)
+    data = plain[-2].transform(data)
+    scaler = models.StandardScaler(inputCol="_raw", outputCol="_z", withMean=True).fit(data)
+    assert scaler.mean.toArray() == pytest.approx(plain[1].mean.toArray(), abs=1e-9) and scaler.std.toArray() == pytest.approx(plain[1].std.toArray(), abs=1e-9)
+    whole = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / n, standardization=False, maxIter=100).fit(data.drop("rawPrediction", "probability", "prediction"))
+    want = {tuple(r)[:4]: r["probability"][1] for r in whole.transform(data).select("x", "y", "s", "label", "probability").collect()}
+    assert got == pytest.approx(want, abs=1e-4)
