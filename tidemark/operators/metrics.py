@@ -41,6 +41,14 @@ def _beside(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "in
     return left.join(renamed, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(on, names, strict=True)], how).drop(*names)
 
 
+def collapsed(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Each different row of the columns once, with its count as `_c`: written once, so that nothing below makes the rows again.
+
+    Figures of labels and scores depend on nothing else. Where all rows differ this costs one shuffle of the columns.
+    """
+    return save(rows.groupBy(*dict.fromkeys(columns)).agg(F.count("*").alias("_c")))
+
+
 def _by_score(rows: DataFrame, groups: Sequence[str], label: str, score: str, weight: Column | None = None) -> DataFrame:
     """(groups, score, pos, neg) with `below_pos`, `below_neg`: totals of the smaller scores of the group.
 
@@ -69,19 +77,20 @@ def auc(rows: DataFrame, groups: Sequence[str], label: str, score: str, out: str
     return s.groupBy(*groups).agg(F.try_divide(wins.cast("double"), (F.sum("pos") * F.sum("neg")).cast("double")).alias(out))
 
 
-def flag_metrics(rows: DataFrame, groups: Sequence[str], label: str, flag: str) -> DataFrame:
+def flag_metrics(rows: DataFrame, groups: Sequence[str], label: str, flag: str, weight: Column | None = None) -> DataFrame:
     """Precision, recall and false alarms of a flag; null where undefined."""
     y, f = F.col(label).cast("int") == 1, F.coalesce(F.col(flag).cast("boolean"), F.lit(False))
-    share = lambda a, b: F.try_divide(F.count_if(a).cast("double"), F.count_if(b).cast("double"))
+    n = lambda c: (F.count_if(c) if weight is None else F.sum(F.when(c, weight).otherwise(0))).cast("double")
+    share = lambda a, b: F.try_divide(n(a), n(b))
     return rows.groupBy(*groups).agg(share(f & y, f).alias("precision"), share(f & y, y).alias("recall"), share(f & ~y, ~y).alias("false_alarms"))
 
 
-def recall_at_precision(rows: DataFrame, groups: Sequence[str], label: str, score: str, target: float | str) -> DataFrame:
+def recall_at_precision(rows: DataFrame, groups: Sequence[str], label: str, score: str, target: float | str, weight: Column | None = None) -> DataFrame:
     """The highest recall with a precision of at least `target`, and the lowest threshold that gives it.
 
     `target` is a number or a column of the groups' rows. No positives, or no threshold that precise: nulls.
     """
-    s = _by_score(rows, groups, label, score)
+    s = _by_score(rows, groups, label, score, weight)
     totals = s.groupBy(*groups).agg(F.sum("pos").alias("_all_pos"), F.sum("neg").alias("_all_neg"))
     s = _beside(s, totals, groups)
     if isinstance(target, float):
@@ -111,15 +120,17 @@ def decision_layer(rows: DataFrame, groups: Sequence[str], label: str, score: st
     return cut.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*on, "precision", "threshold", "recall").agg(share(f & y).alias("hit"), share(f & ~y).alias("false_alarm"), share(~f & y).alias("missed"), share(~f & ~y).alias("quiet"))
 
 
-def scores(rows: DataFrame, groups: Sequence[str], label: str, p: str) -> DataFrame:
+def scores(rows: DataFrame, groups: Sequence[str], label: str, p: str, weight: Column | None = None) -> DataFrame:
     """n, failure rate, mean prediction, log loss, Brier score and AUC; the last and log loss are null for 0/1 rules."""
     y, q = F.col(label).cast("double"), F.col(p)
     rows = rows.where(y.isNotNull() & q.isNotNull())
     rule = F.every(q.isin(0.0, 1.0))
+    n = F.count("*") if weight is None else F.sum(weight)
+    mean = lambda x: F.avg(x) if weight is None else F.try_divide(F.sum(x * weight), n)
     point = rows.groupBy(*groups).agg(
-        F.count("*").alias("n"), F.avg(y).alias("fail_rate"), F.avg(q).alias("mean_p"), F.when(~rule, F.avg(log_loss(y, q))).alias("log_loss"), F.avg((q - y) * (q - y)).alias("brier"), rule.alias("_rule")
+        n.alias("n"), mean(y).alias("fail_rate"), mean(q).alias("mean_p"), F.when(~rule, mean(log_loss(y, q))).alias("log_loss"), mean((q - y) * (q - y)).alias("brier"), rule.alias("_rule")
     )
-    area = auc(rows, groups, label, p)
+    area = auc(rows, groups, label, p, weight=weight)
     both = _beside(point, area, groups, "left")
     return both.withColumn("auc", F.when(~F.col("_rule"), F.col("auc"))).drop("_rule")
 
@@ -156,24 +167,27 @@ def per_day(rows: DataFrame, day: str, label: str, models: Sequence[str]) -> Dat
     return rows.groupBy(day).agg(F.count("*").alias("n"), *[F.avg(log_loss(y, F.col(m))).alias(m) for m in models])
 
 
-def bootstrap_gain(rows: DataFrame, day: str, label: str, model: str, base: str, draws: int = 1000, auc_draws: int = 200, seed: int = 0, groups: Sequence[str] = ()) -> DataFrame:
+def bootstrap_gain(rows: DataFrame, day: str, label: str, model: str, base: str, draws: int = 1000, auc_draws: int = 200, seed: int = 0, groups: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Relative log-loss and Brier gains of a model over a base, and its AUC lead, with 95 % intervals over whole days.
 
-    Rows shrink to sums per day, and for the AUC to counts per day and score, which are shuffled once whatever the
+    Rows collapse to different ones with their counts, unless they come so with the column `weight`. These shrink to sums per day, and for the AUC to counts per day and score, which are shuffled once whatever the
     number of draws: they are laid out by score in ranges, each range gives one row of vectors with a place for
     every draw, and the ranges of a group are added up. One row per group: days, rows, day_share (days on
     which the model's log loss is lower), the three figures and their ends. Rows without label or
     prediction don't count. A figure is null where it is undefined, as an AUC of one class.
     """
     on = [*groups, "_g"]
+    if weight is None:
+        rows, weight = collapsed(rows, [*groups, day, label, model, base]), "_c"
+    c = F.col(weight)
     y, m, b = F.col(label).cast("double"), F.col(model).cast("double"), F.col(base).cast("double")
     rows = rows.where(y.isNotNull() & m.isNotNull() & b.isNotNull()).withColumn("_g", F.lit(1))
     sums = {"lm": log_loss(y, m), "lb": log_loss(y, b), "bm": (m - y) * (m - y), "bb": (b - y) * (b - y)}
     both = F.explode(F.array(F.struct(F.lit(1).alias("sign"), m.alias("p")), F.struct(F.lit(-1).alias("sign"), b.alias("p")))).alias("_x")
-    daily = save(rows.groupBy(*on, day).agg(F.count("*").alias("_n"), *[F.sum(x).alias(k) for k, x in sums.items()]))
+    daily = save(rows.groupBy(*on, day).agg(F.sum(c).alias("_n"), *[F.sum(x * c).alias(k) for k, x in sums.items()]))
     of = Window.partitionBy(*on)  # one row a day
     numbered = daily.select(*on, F.col(day).alias("_day"), (F.row_number().over(of.orderBy(day)) - 1).alias("day"), F.count("*").over(of).alias("days"))
-    counts = rows.select(*on, F.col(day).alias("_day"), y.cast("int").alias("_y"), both).groupBy(*on, "_day", "_x.sign", F.col("_x.p").alias("score")).agg(F.sum("_y").cast("double").alias("pos"), F.sum(1 - F.col("_y")).cast("double").alias("neg"))
+    counts = rows.select(*on, F.col(day).alias("_day"), y.cast("int").alias("_y"), c.alias("_w"), both).groupBy(*on, "_day", "_x.sign", F.col("_x.p").alias("score")).agg(F.sum(F.col("_y") * F.col("_w")).cast("double").alias("pos"), F.sum((1 - F.col("_y")) * F.col("_w")).cast("double").alias("neg"))
     counts = _beside(counts, numbered, [*on, "_day"])
     keys = [*on, "sign"]
     laid = counts.select(*keys, "score", "day", "days", "pos", "neg").repartitionByRange(*keys, "score").sortWithinPartitions(*keys, "score")

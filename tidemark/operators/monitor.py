@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.times import minutes
 from ..sources.scratch import save
 from .asof import asof_join
-from .metrics import bootstrap_gain, flag_metrics, recall_at_precision, scores
+from .metrics import bootstrap_gain, collapsed, flag_metrics, recall_at_precision, scores
 from .quantiles import beside, quantile_columns
 
 
@@ -97,9 +97,9 @@ def recomputed(log: DataFrame, obs: DataFrame) -> DataFrame:
 
 def pooled(joined: DataFrame, day: str, cutoff: str, label: str, model: str, base: str, draws: int = 1000, auc_draws: int = 200, seed: int = 0) -> DataFrame:
     """Model against base over the evaluated rows of all days, by cutoff, with intervals over whole days."""
-    rows = joined.where(F.col("outcome") == "evaluated")
-    losses = scores(rows, [cutoff], label, model).select(cutoff, "fail_rate", F.col("log_loss").alias("model_log_loss")).join(scores(rows, [cutoff], label, base).select(cutoff, F.col("log_loss").alias("base_log_loss")), cutoff)
-    gain = bootstrap_gain(rows, day, label, model, base, draws, auc_draws, seed, [cutoff])
+    rows, c = collapsed(joined.where(F.col("outcome") == "evaluated"), [cutoff, day, label, model, base]), F.col("_c")
+    losses = scores(rows, [cutoff], label, model, c).select(cutoff, "fail_rate", F.col("log_loss").alias("model_log_loss")).join(scores(rows, [cutoff], label, base, c).select(cutoff, F.col("log_loss").alias("base_log_loss")), cutoff)
+    gain = bootstrap_gain(rows, day, label, model, base, draws, auc_draws, seed, [cutoff], "_c")
     return losses.join(gain, cutoff).select(cutoff, "days", "rows", "fail_rate", "model_log_loss", "base_log_loss", "log_loss_gain", "log_loss_gain_low", "log_loss_gain_high", "auc_diff", "auc_diff_low", "auc_diff_high")
 
 
