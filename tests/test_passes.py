@@ -33,3 +33,20 @@ def test_pooled_summary_makes_its_rows_once(counted):
     rows, made = counted
     got = monitor.pooled(rows, "day", "cutoff_min", "label", "model", "base", 20, 5).collect()
     assert made.value == 300 and {r["cutoff_min"] for r in got} == {30, 10}
+
+
+def test_performance_makes_its_rows_once(counted):
+    rows, made = counted
+    got = {r["cutoff_min"]: r for r in monitor.performance(rows, ["cutoff_min"], "label", "model", "base", "flag").collect()}
+    assert made.value == 300
+    used = rows.where("outcome = 'evaluated'").cache()
+    plain = {r["cutoff_min"]: r for r in metrics.scores(used, ["cutoff_min"], "label", "model").collect()}
+    rule = {r["cutoff_min"]: r for r in metrics.flag_metrics(used, ["cutoff_min"], "label", "flag").collect()}
+    at = {r["cutoff_min"]: r for r in metrics.recall_at_precision(used, ["cutoff_min"], "label", "model", 0.5).collect()}
+    some = metrics.collapsed(used, ["cutoff_min", "label", "model"])
+    weighted = {r["cutoff_min"]: r for r in metrics.recall_at_precision(some, ["cutoff_min"], "label", "model", 0.5, F.col("_c")).collect()}
+    assert set(got) == {30, 10} and at == weighted
+    for c, g in got.items():
+        assert g["model_n"] == plain[c]["n"]
+        assert [g[f"model_{k}"] for k in ("fail_rate", "mean_p", "log_loss", "brier", "auc")] == pytest.approx([plain[c][k] for k in ("fail_rate", "mean_p", "log_loss", "brier", "auc")])
+        assert [g["rule_precision"], g["rule_recall"]] == pytest.approx([rule[c]["precision"], rule[c]["recall"]])

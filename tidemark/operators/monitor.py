@@ -42,13 +42,13 @@ def operations(joined: DataFrame, groups: Sequence[str], lag: str, age: str, exa
 
 def performance(joined: DataFrame, groups: Sequence[str], label: str, model: str, base: str, rule: str) -> DataFrame:
     """Scores of model and base, the rule's precision and recall, the gain, and the model's recall at the rule's precision."""
-    rows = joined.where(F.col("outcome") == "evaluated")
+    rows, c = collapsed(joined.where(F.col("outcome") == "evaluated"), [*groups, label, model, base, rule]), F.col("_c")
     names = ("n", "fail_rate", "mean_p", "log_loss", "brier", "auc")
-    m = scores(rows, groups, label, model).select(*groups, *[F.col(c).alias(f"model_{c}") for c in names])
-    b = scores(rows, groups, label, base).select(*groups, F.col("log_loss").alias("base_log_loss"), F.col("auc").alias("base_auc"))
-    r = flag_metrics(rows, groups, label, rule).select(*groups, F.col("precision").alias("rule_precision"), F.col("recall").alias("rule_recall"))
+    m = scores(rows, groups, label, model, c).select(*groups, *[F.col(c).alias(f"model_{c}") for c in names])
+    b = scores(rows, groups, label, base, c).select(*groups, F.col("log_loss").alias("base_log_loss"), F.col("auc").alias("base_auc"))
+    r = flag_metrics(rows, groups, label, rule, c).select(*groups, F.col("precision").alias("rule_precision"), F.col("recall").alias("rule_recall"))
     goal = rows.join(r.select(*groups, "rule_precision"), list(groups))
-    at = recall_at_precision(goal, groups, label, model, "rule_precision").select(*groups, F.col("recall").alias("recall_at_rule_precision"), "threshold")
+    at = recall_at_precision(goal, groups, label, model, "rule_precision", c).select(*groups, F.col("recall").alias("recall_at_rule_precision"), "threshold")
     out = m.join(b, list(groups)).join(r, list(groups)).join(at, list(groups), "left")
     return out.withColumn("gain", 1 - F.col("model_log_loss") / F.col("base_log_loss"))
 
