@@ -61,3 +61,16 @@ def test_comparisons_make_their_rows_once(counted):
     plain = metrics.bootstrap_gain(rows.where("cutoff_min = 30").cache(), "day", "label", "model", "base", 20, 5).first()
     assert (got["add"]["days"], got["add"]["rows"]) == (plain["days"], plain["rows"]) == (got["drop"]["days"], got["drop"]["rows"])
     assert [got["add"][k] for k in ("gain", "low", "high", "day_share", "auc_diff")] == pytest.approx([plain[k] for k in ("log_loss_gain", "log_loss_gain_low", "log_loss_gain_high", "day_share", "auc_diff")])
+
+
+def test_first_logged_in_parts(spark):
+    log = spark.range(600).select((F.col("id") % 200).alias("k"), (F.col("id") * 7 % 13).alias("t"), "id")
+    whole, parts = monitor.first_logged(log, ["k"], "t"), monitor.first_logged(log, ["k"], "t", 7)
+    assert sorted(whole.collect()) == sorted(parts.collect()) and parts.rdd.getNumPartitions() == 7
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_logged_rows_have_as_many_parts_as_their_number_asks(spark, monkeypatch):
+    monkeypatch.setattr(queries, "LOGGED_ROWS_A_TASK", 200)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert queries._logged(spark, SF).rdd.getNumPartitions() == lines // 200 + 1

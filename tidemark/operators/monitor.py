@@ -14,10 +14,16 @@ from .metrics import bootstrap_gain, collapsed, flag_metrics, recall_at_precisio
 from .quantiles import beside, quantile_columns
 
 
-def first_logged(log: DataFrame, key: Sequence[str], time: str) -> DataFrame:
-    """The first logged row of each key; rows equal in time are ordered by their other columns."""
+def first_logged(log: DataFrame, key: Sequence[str], time: str, parts: int | None = None) -> DataFrame:
+    """The first logged row of each key; rows equal in time are ordered by their other columns.
+
+    With `parts` rows are dealt to so many parts by key before they are compared, so that no task sorts more than a part:
+    for logs whose keys repeat little, of which a first comparison inside each task would drop next to nothing.
+    """
     rest = [c for c in log.columns if c not in key and c != time]
     best = F.min(F.struct(time, *rest)).alias("_m")
+    if parts is not None:
+        log = log.repartition(parts, *key)
     return log.groupBy(*key).agg(best).select(*key, "_m.*").select(*log.columns)
 
 

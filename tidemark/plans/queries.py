@@ -314,13 +314,18 @@ def learned_models(spark, sf):
 # ---- monitoring
 
 
+LOGGED_ROWS_A_TASK = 250_000
+
+
 def _logged(spark, sf):
     """A log with repeats, and the outcomes of all its rows."""
     p = predictions(spark, sf)
     key = ["l_orderkey", "l_linenumber"]
+    # a task sorts about as many rows whatever the size of the tables
+    parts = max(spark.sparkContext.defaultParallelism, table(spark, sf, "lineitem").count() // LOGGED_ROWS_A_TASK + 1)
     log = p.select(*key, "p_model", "p_base", "flag", "cutoff_min", (F.col("l_orderkey") % 40 + F.round(F.col("p_model") * 10)).alias("lag_s"), (F.col("l_orderkey") % 200 + F.col("p_base")).alias("age_s"))
-    first = monitor.first_logged(log, key, "lag_s")
-    outcome = p.groupBy(*key).agg(F.max("label").alias("label"), (F.max("l_linenumber") != 5).alias("eligible"))
+    first = monitor.first_logged(log, key, "lag_s", parts)
+    outcome = p.repartition(parts, *key).groupBy(*key).agg(F.max("label").alias("label"), (F.max("l_linenumber") != 5).alias("eligible"))
     return monitor.outcomes(first, outcome, key)
 
 
