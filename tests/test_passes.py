@@ -2,12 +2,14 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics, monitor, selection
 from tidemark.plans import queries
+from tidemark.sources import raw
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "day int, cutoff_min int, label int, model double, base double, flag int, outcome string"
@@ -74,3 +76,15 @@ def test_logged_rows_have_as_many_parts_as_their_number_asks(spark, monkeypatch)
     monkeypatch.setattr(queries, "LOGGED_ROWS_A_TASK", 200)
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert queries._logged(spark, SF).rdd.getNumPartitions() == lines // 200 + 1
+
+
+def test_bodies_are_parsed_once(spark, tmp_path, capsys):
+    """A step of the plan that names from_xml() parses each body, as a filter that Spark infers does."""
+    body = '<timetable station="A"><s id="7-1-1"><ar pt="2401010000"/></s><s/><s id="8-1-1"><m t="c"/></s></timetable>'
+    rows = [("2024-01-01T00:00:00Z", "plan", "1", "u", 200, 5, b) for b in (body, "<timetable/>", "503 <busy", None)]
+    spark.createDataFrame(rows, raw.RAW_SCHEMA.removesuffix(", _bad string")).write.json(str(tmp_path / "raw"))
+    got = raw.parse_responses(raw.read_raw(spark, str(tmp_path / "raw")).where("_bad IS NULL"))
+    got.explain("formatted")
+    steps = [step for step in capsys.readouterr().out.split("\n\n") if "from_xml(" in step.replace("Output", "Arguments").split("Arguments", 1)[0] or re.search(r"(Condition|Arguments) ?:.*size\(from_xml", step)]
+    assert steps == []
+    assert sorted((r["stop_id"] or "", r["event"]) for r in got.collect()) == [("", "s"), ("7-1-1", "ar"), ("8-1-1", "s")]

@@ -61,7 +61,8 @@ def _with_xml(raw: DataFrame) -> DataFrame:
 
 
 def _parsed(root: DataFrame) -> DataFrame:
-    stop = root.select(F.to_timestamp("collected_at").alias("collected_at"), "source", "eva", F.col("_x._station").alias("station_name"), F.explode("_x.s").alias("_s"))
+    stop = root.select(F.to_timestamp("collected_at").alias("collected_at"), "source", "eva", F.col("_x._station").alias("station_name"), F.posexplode_outer("_x.s").alias("_at", "_s"))
+    stop = stop.where("_at IS NOT NULL")  # explode() would have Spark infer a filter on the stops, which parses each body again
     events = F.filter(F.array(F.struct(F.lit("ar").alias("event"), F.col("_s.ar").alias("e")), F.struct(F.lit("dp").alias("event"), F.col("_s.dp").alias("e"))), lambda x: x["e"].isNotNull())
     rows = stop.withColumn("_e", F.explode_outer(events))
     out = {
