@@ -1,4 +1,4 @@
-"""How often queries on predictions make their rows, what a task of theirs sorts, and that counts in the place of rows change nothing."""
+"""How often queries make their rows, what a task sorts, what a stream carries; and that none of it changes what they tell."""
 
 import os
 import random
@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics, monitor, selection
-from tidemark.plans import queries
+from tidemark.plans import flows, queries
+from tidemark.plans.bindings import observations
 from tidemark.sources import raw
+from tidemark.streaming import stored
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "day int, cutoff_min int, label int, model double, base double, flag int, outcome string"
@@ -88,3 +90,27 @@ def test_bodies_are_parsed_once(spark, tmp_path, capsys):
     steps = [step for step in capsys.readouterr().out.split("\n\n") if "from_xml(" in step.replace("Output", "Arguments").split("Arguments", 1)[0] or re.search(r"(Condition|Arguments) ?:.*size\(from_xml", step)]
     assert steps == []
     assert sorted((r["stop_id"] or "", r["event"]) for r in got.collect()) == [("", "s"), ("7-1-1", "ar"), ("8-1-1", "s")]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_parts_of_a_stream_are_batches_of_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(flows, "ROWS_A_FILE", 60)
+    obs, seen = observations(spark, SF), []
+
+    def look(batch, n):
+        seen.append((*batch.agg(F.min("obs"), F.max("obs"), F.count("*")).first(), batch.select(F.input_file_name()).distinct().count()))
+
+    flows._in_parts(spark, obs, "obs", SF).writeStream.foreachBatch(look).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 3 and seen[0][1] < seen[1][0] and seen[1][1] < seen[2][0] and sum(s[2] for s in seen) == obs.count()
+    assert len({s[3] for s in seen}) == 1 and seen[0][3] > 1
+
+
+def test_join_of_streams_keeps_one_store_a_partition(spark, tmp_path):
+    folder = str(tmp_path / "p")
+    spark.range(20).select("id", F.timestamp_seconds(F.col("id") * 60 + 1_700_000_000).alias("ts")).write.parquet(folder)
+    p = spark.readStream.schema("id long, ts timestamp").parquet(folder)
+    labels = p.select("id", F.col("ts").alias("known"), F.lit(True).alias("eligible"))
+    stored.start_stored(stored.online_outcomes(p, labels, ["id"], "ts", "known", "60 minutes"), str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
+    kept = {f for f in os.listdir(tmp_path / "c" / "state" / "0" / "0") if not f.startswith((".", "_"))}
+    assert not any(f.startswith(("left-", "right-")) for f in kept)
+    assert spark.read.parquet(str(tmp_path / "o")).where("outcome = 'evaluated'").count() == 20

@@ -142,18 +142,25 @@ def historic_stop_keys(spark, sf):
 # ---- streams
 
 
+#: A file of a stream's part has at least so many rows, so each task that writes a part leaves a file.
+ROWS_A_FILE = 200_000
+
+
 def _in_parts(spark: SparkSession, rows: DataFrame, time: str, sf: str, shares=(1 / 3, 2 / 3)) -> DataFrame:
-    """A stream of the rows, in parts by time that come one after another."""
+    """A stream of the rows, in parts by time that come one after another.
+
+    A part is a batch: all parts have as many files, and a batch takes so many. Tasks write a file each, as many as the
+    smallest part has rows for.
+    """
     folder = scratch(spark)
     marks = [span(spark, sf, s) for s in shares]
-    for i in range(len(marks) + 1):
-        part = rows
-        if i:
-            part = part.where(F.col(time) > marks[i - 1])
-        if i < len(marks):
-            part = part.where(F.col(time) <= marks[i])
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    lows, highs = [None, *marks], [*marks, None]
+    inside = [(F.lit(True) if low is None else F.col(time) > low) & (F.lit(True) if high is None else F.col(time) <= high) for low, high in zip(lows, highs, strict=True)]
+    files = max(1, min(rows.agg(*[F.count_if(c) for c in inside]).first()) // ROWS_A_FILE)
+    for c in inside:
+        part = rows.where(c)
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 @query
