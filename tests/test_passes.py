@@ -7,11 +7,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import metrics, monitor, selection
+from tidemark.functions.times import floor_to, shifted
+from tidemark.operators import grid, metrics, monitor, selection
 from tidemark.plans import flows, queries
-from tidemark.plans.bindings import observations
+from tidemark.plans.bindings import observations, plan
 from tidemark.sources import raw
-from tidemark.streaming import stored
+from tidemark.streaming import live, stored
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "day int, cutoff_min int, label int, model double, base double, flag int, outcome string"
@@ -114,3 +115,15 @@ def test_join_of_streams_keeps_one_store_a_partition(spark, tmp_path):
     kept = {f for f in os.listdir(tmp_path / "c" / "state" / "0" / "0") if not f.startswith((".", "_"))}
     assert not any(f.startswith(("left-", "right-")) for f in kept)
     assert spark.read.parquet(str(tmp_path / "o")).where("outcome = 'evaluated'").count() == 20
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_hub_state_carries_one_observation_a_key(spark, tmp_path):
+    """And tells what all observations at once tell."""
+    obs, p, out = observations(spark, SF), plan(spark, SF).withColumn("key", F.col("trip").cast("long")), str(tmp_path / "o")
+    live.grid_state_stream(flows._in_parts(spark, obs, "obs", SF), p, out, str(tmp_path / "c"), keep="3650 days").awaitTermination()
+    assert spark.read.parquet(f"{out}-carried/n=2").count() == obs.select("key").distinct().count()
+    low, high = obs.agg(F.min("obs"), F.max("obs")).first()
+    want = grid.hub_state(grid.events_on_grid(p, obs, shifted(floor_to(F.lit(low), 5), 5), F.lit(high)))
+    plain = lambda df: sorted(tuple(map(str, r)) for r in df.select("eva", "g", *[F.round(c, 6) for c in want.columns if c.startswith("hub_")]).collect())
+    assert plain(spark.read.parquet(out)) == plain(want) != []

@@ -96,8 +96,9 @@ def overall_status(ages: DataFrame) -> DataFrame:
 def grid_state_stream(rows: DataFrame, plan: DataFrame, path: str, checkpoint: str, step: int = 5, every: str | None = None, keep: str = "48 hours") -> StreamingQuery:
     """Point-in-time state of the hubs at each grid time that a batch of observations completes, in `path`/n=<batch>.
 
-    rows: key, obs, ct, cs, eva. A batch carries the observations of the last `keep` along (under `path`-carried) and
-    writes hub_state() of the grid times after the newest observation before it, up to its own newest one.
+    rows: key, obs, ct, cs, eva. A batch carries the last observation of each key along (under `path`-carried) if it is of the
+    last `keep`, and writes hub_state() of the grid times after the newest observation before it, up to its own newest
+    one. All of these times are later than what is carried, so older observations of a key cannot show.
     """
     from ..functions.times import floor_to, shifted
     from ..operators.grid import events_on_grid, hub_state
@@ -112,8 +113,8 @@ def grid_state_stream(rows: DataFrame, plan: DataFrame, path: str, checkpoint: s
             return
         before = None if n == 0 else spark.read.parquet(f"{path}-carried/n={n - 1}").agg(F.max("obs")).first()[0]
         first = F.lit(before or batch.agg(F.min("obs")).first()[0])
-        held.where(F.col("obs") >= F.lit(newest) - F.expr(f"INTERVAL {keep}")).write.mode("overwrite").parquet(f"{path}-carried/n={n}")
-        grid = events_on_grid(plan, held, shifted(floor_to(first, step), step), F.lit(newest), step)
+        last_state(held.where(F.col("obs") >= F.lit(newest) - F.expr(f"INTERVAL {keep}")), ["key"], "obs", ["ct", "cs"]).write.mode("overwrite").parquet(f"{path}-carried/n={n}")
+        grid = events_on_grid(plan, held, shifted(floor_to(first, step), step), F.lit(newest), step, back=0)  # hub_state() looks no further than `around`
         hub_state(grid).write.mode("overwrite").parquet(f"{path}/n={n}")
         drop_old_snapshots(spark, f"{path}-carried", n - 2)
 
